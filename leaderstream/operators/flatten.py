@@ -50,38 +50,39 @@ def decode_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     return envelopes.withColumn("event_time", event_time(F.col("timestamp"))).drop("timestamp")
 
 
-def route_payloads(envelopes: DataFrame) -> DataFrame:
-    """One row per payload present: ``entity_type`` and ``payload``."""
+def route_payloads(envelopes: DataFrame, keep_others: bool = False) -> DataFrame:
+    """One row per payload of a categorised event: ``entity_type`` and ``payload``.
+
+    ``keep_others`` also gives events without a payload or category a row each
+    instead of none. The conditions are part of the generated rows: as filters
+    on the envelope they would move below the JSON parse and repeat it.
+    """
     present = [c for c in PAYLOADS if c in envelopes.columns]
-    entries = F.array(
-        *[F.struct(F.lit(PAYLOADS[c]).alias("entity_type"), F.col(c).alias("payload")) for c in present]
-    )
+    usable = F.lit(True) if keep_others else F.col("stat_category").isNotNull()
+    entries = [(F.lit(PAYLOADS[c]), F.when(usable, F.col(c)), F.lit(False)) for c in present]
+    if keep_others:
+        entries.append((F.lit(None), F.lit(None).cast("string"), F.coalesce(*present).isNull()))
+    names = ["entity_type", "payload", "_without"]
+    rows = F.array(*[F.struct(*[v.alias(n) for v, n in zip(e, names, strict=True)]) for e in entries])
     rest = [F.col(c) for c in envelopes.columns if c not in PAYLOADS]
-    return envelopes.select(*rest, F.inline(F.filter(entries, lambda e: e["payload"].isNotNull())))
+    routed = envelopes.select(*rest, F.inline(rows))
+    return routed.where(F.col("payload").isNotNull() | F.col("_without")).drop("_without")
 
 
-def flatten(envelopes: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:
-    """Rows of all metrics in one plan: ``Name, Team, Cl, Position, Value`` as text.
-
-    One struct holds every field a value can sit in, so each payload is parsed
-    once. Rows without a category belong to no table and are left to
-    ``rejected_events``.
-    """
+def _parse_payloads(routed: DataFrame, metrics: Sequence[Metric], carried: Sequence[str]) -> DataFrame:
     fields = value_fields(metrics)
     names = ["Name", "Team", "Cl", "Position", *[f for f in fields if f not in STATS_COLUMNS[:4]]]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     entity, category = F.col("entity_type"), F.col("stat_category")
-    parsed = (
-        route_payloads(envelopes.where(category.isNotNull()))
-        .withColumn("_p", F.from_json("payload", schema))
-        .withColumn("_field", value_field(metrics, entity, category))
+    # One struct with every field a value can sit in: each payload is parsed once.
+    parsed = routed.withColumn("_p", F.from_json("payload", schema)).withColumn(
+        "_field", value_field(metrics, entity, category)
     )
     value = F.coalesce(*[F.when(F.col("_field") == f, F.col("_p").getField(f)) for f in fields])
 
     def individual(field: str) -> Column:
         return F.when(entity == INDIVIDUAL, F.col("_p").getField(field)).alias(field)
 
-    rest = [c for c in envelopes.columns if c not in {*PAYLOADS, "stat_category", "stat_type"}]
     return parsed.select(
         table_name_of(metrics, entity, category).alias("table_name"),
         "entity_type",
@@ -91,34 +92,58 @@ def flatten(envelopes: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFr
         individual("Cl"),
         individual("Position"),
         value.alias("Value"),
-        *rest,
+        *carried,
     )
 
 
+def flatten(envelopes: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:
+    """Rows of all metrics in one plan: ``Name, Team, Cl, Position, Value`` as text.
+
+    Events without a category belong to no table and are left to
+    ``judge_events``.
+    """
+    carried = [c for c in envelopes.columns if c not in {*PAYLOADS, "stat_category", "stat_type"}]
+    return _parse_payloads(route_payloads(envelopes), metrics, carried)
+
+
 def null_key() -> Column:
     """True for rows whose entity key has a NULL part: they can never be replaced."""
     return F.col("Team").isNull() | (F.col("Name").isNull() & (F.col("entity_type") == INDIVIDUAL))
 
 
-def reject_reason() -> Column:
-    """Why a decoded envelope gives no row; NULL when it gives one."""
-    fields = ["stat_category", "stat_type", "event_time", *PAYLOADS]
-    no_payload = F.coalesce(*PAYLOADS).isNull()
-    return (
-        F.when(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNull(), "bad_envelope")
-        .when(no_payload, "no_payload")
+def judge_events(raw: DataFrame, metrics: Sequence[Metric] = METRICS, value: str = "value") -> DataFrame:
+    """Every message as rows of ``flatten`` with its ``message`` and ``reason``.
+
+    ``reason`` is NULL for sound rows. It is ``bad_envelope``, ``no_payload`` or
+    ``no_category`` for messages that reach no table, and ``null_key`` for rows
+    that reach one without a usable key. Filter a persisted result, so that the
+    messages are parsed once.
+    """
+    decoded = decode_envelopes(raw.withColumn("message", F.col(value).cast("string")), value)
+    nothing = F.coalesce("stat_category", "stat_type", F.col("event_time").cast("string"))
+    marked = decoded.withColumn("_empty", nothing.isNull())
+    rest = [c for c in raw.columns if c != value]
+    rows = _parse_payloads(
+        route_payloads(marked, keep_others=True), metrics, [*rest, "event_time", "message", "_empty"]
+    )
+    reason = (
+        F.when(F.col("entity_type").isNull(), F.when(F.col("_empty"), "bad_envelope").otherwise("no_payload"))
         .when(F.col("stat_category").isNull(), "no_category")
+        .when(null_key(), "null_key")
     )
+    return rows.withColumn("reason", reason).drop("_empty")
 
 
-def rejected_events(raw: DataFrame, metrics: Sequence[Metric] = METRICS, value: str = "value") -> DataFrame:
+def accepted_rows(judged: DataFrame) -> DataFrame:
+    """Rows that belong to a table, a NULL key part allowed."""
+    return judged.where(F.col("table_name").isNotNull()).drop("message", "reason")
+
+
+def rejected_events(judged: DataFrame) -> DataFrame:
     """Messages that reach no table or carry no usable key, with the reason."""
-    decoded = decode_envelopes(raw.withColumn("message", F.col(value).cast("string")), value)
-    unrouted = decoded.withColumn("reason", reject_reason()).where(F.col("reason").isNotNull())
-    unkeyed = flatten(decoded, metrics).where(null_key()).withColumn("reason", F.lit("null_key"))
-    rest = [c for c in raw.columns if c != value]
-    columns = [*rest, "event_time", "message", "reason"]
-    return unrouted.select(*columns).unionByName(unkeyed.select(*columns))
+    return judged.where(F.col("reason").isNotNull()).drop(
+        "table_name", "entity_type", "stat_category", *STATS_COLUMNS
+    )
 
 
 def empty_stats(spark) -> DataFrame:

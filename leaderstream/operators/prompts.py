@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from leaderstream.functions.naming import WHITESPACE, display_title, strip_text
 from leaderstream.metrics import INDIVIDUAL, TEAM
-from leaderstream.operators.balance import top_k_per_group, with_key_facts
+from leaderstream.operators.balance import salted_join, top_k_per_group
+from leaderstream.session import settled
 
 # Tasks get the helper below by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,61 +54,46 @@ def query_words(query: Column) -> Column:
     return F.filter(F.split(F.lower(query), _BLANKS), lambda w: w != "")
 
 
-def _name_parts(tables: DataFrame) -> DataFrame:
-    """Every text that occurs inside a table name, once per name."""
+def _name_parts(tables: DataFrame, fill: int) -> DataFrame:
+    """``type, word, table_name``: every text inside a table name, once per name.
+
+    The empty word stands for the first ``fill`` names of a type.
+    """
+    typed = tables.select(F.element_at(F.split("table_name", "_"), 1).alias("type"), "table_name")
     length = F.length("table_name")
-    starts = tables.select("table_name", F.explode(F.sequence(F.lit(1), length)).alias("_from"))
+    starts = typed.select("*", F.explode(F.sequence(F.lit(1), length)).alias("_from"))
     ends = F.sequence(F.lit(1), length - F.col("_from") + 1)
-    parts = starts.select("table_name", "_from", F.explode(ends).alias("_len"))
-    return parts.select("table_name", F.expr("substr(table_name, _from, _len)").alias("word")).distinct()
+    parts = starts.select("*", F.explode(ends).alias("_len"))
+    words = parts.select("type", F.expr("substr(table_name, _from, _len)").alias("word"), "table_name").distinct()
+    first = top_k_per_group(typed, ["type"], [F.col("table_name")], fill)
+    return words.unionByName(first.select("type", F.lit("").alias("word"), "table_name"))
 
 
-def relevance(asked: DataFrame, tables: DataFrame, **balance: int) -> DataFrame:
+def relevance(asked: DataFrame, tables: DataFrame, fill: int = 0) -> DataFrame:
     """``question_id, table_name, score`` for every score above zero.
 
     The score is the number of words of the question that occur inside the
     table name, repeats counted. Names are few and short, so all their parts
-    are listed once and words meet names by an equi-join on equal text.
+    are listed once and words meet names by an equi-join on equal text, salted
+    as some words are in every question. With ``fill``, the first ``fill``
+    names of the type come along whatever their score.
     """
-    words = (
-        asked.select("question_id", "type", F.explode(query_words(F.col("query"))).alias("word"))
-        .groupBy("question_id", "type", "word")
-        .agg(F.count("*").alias("times"))
-    )
-    names = _name_parts(tables).groupBy("word").agg(F.collect_set("table_name").alias("names"))
-    hits = words.groupBy("word").agg(F.count("*").alias("_n")).join(names, "word")
-    placed = with_key_facts(words, hits, ["word"], "names", ["question_id"], **balance)
-    return (
-        placed.where(F.col("names").isNotNull())
-        .select("question_id", "type", "times", F.explode("names").alias("table_name"))
-        .where(F.col("table_name").startswith(F.col("type")))
-        .groupBy("question_id", "type", "table_name")
-        .agg(F.sum("times").alias("score"))
-    )
+    words = query_words(F.col("query"))
+    if fill:
+        words = F.concat(words, F.array(F.lit("")))
+    exploded = asked.select("question_id", "type", F.posexplode(words).alias("_pos", "word"))
+    hits = salted_join(exploded, _name_parts(tables, fill), ["type", "word"], ["question_id", "_pos"])
+    counted = F.when(F.col("word") != "", 1).otherwise(0)
+    return hits.groupBy("question_id", "table_name").agg(F.sum(counted).alias("score"))
 
 
-def relevant_tables(asked: DataFrame, tables: DataFrame, k: int = PROMPT_TABLES, **balance: int) -> DataFrame:
+def relevant_tables(asked: DataFrame, tables: DataFrame, k: int = PROMPT_TABLES) -> DataFrame:
     """The ``k`` tables per question by score, equal scores by table name.
 
     Tables without a hit fill free places. Only the first ``2k - 1`` names of a
     type can get there, since fewer than ``k`` tables are ahead of them.
     """
-    typed = tables.select(F.element_at(F.split("table_name", "_"), 1).alias("type"), "table_name")
-    first = top_k_per_group(typed, ["type"], [F.col("table_name")], 2 * k - 1)
-    fillers = first.groupBy("type").agg(F.collect_list("table_name").alias("names"))
-    # One row per type, of which there are two, with 2k - 1 names.
-    fillers = fillers.where(F.col("type").isin(INDIVIDUAL, TEAM))
-    filled = (
-        asked.select("question_id", "type")
-        .join(F.broadcast(fillers), "type")
-        .select("question_id", "type", F.explode("names").alias("table_name"), F.lit(0).cast("bigint").alias("score"))
-    )
-    scores = (
-        relevance(asked, tables, **balance)
-        .unionByName(filled)
-        .groupBy("question_id", "type", "table_name")
-        .agg(F.sum("score").alias("score"))
-    )
+    scores = relevance(asked, tables, fill=2 * k - 1)
     order = [F.col("score").desc(), F.col("table_name").asc()]
     return top_k_per_group(scores, ["question_id"], order, k, position="place")
 
@@ -134,9 +120,7 @@ def table_sections(records: DataFrame, rows: int = PROMPT_ROWS) -> DataFrame:
     )
 
 
-def build_prompts(
-    questions: DataFrame, records: DataFrame, category: str | None = None, **balance: int
-) -> DataFrame:
+def build_prompts(questions: DataFrame, records: DataFrame, category: str | None = None) -> DataFrame:
     """``question_id, prompt, message``: the prompt, or the reason there is none.
 
     ``records`` are rows ``table_name, place, record``: the record as JSON and
@@ -146,11 +130,10 @@ def build_prompts(
     asked = requests.where("valid").select("question_id", "query", "type")
     if category:
         records = records.where(F.col("table_name") == category)
-    sections = table_sections(records)
-    tables = records.select("table_name").distinct()
-    picks = relevant_tables(asked, tables, **balance)
-    facts = picks.groupBy("table_name").agg(F.count("*").alias("_n")).join(sections, "table_name")
-    placed = with_key_facts(picks, facts, ["table_name"], "section", ["question_id"], **balance)
+    # One text per table, used three times below: worked out once.
+    sections = settled(table_sections(records))
+    tables = sections.select("table_name")
+    placed = salted_join(relevant_tables(asked, tables), sections, ["table_name"], ["question_id"])
     joined = F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda s: s["section"])
     bodies = placed.groupBy("question_id").agg(F.array_join(joined, "\n\n").alias("_body"))
     # question_id is unique, so neither side of this join can be skewed.

@@ -12,7 +12,7 @@ from leaderstream.metrics import INDIVIDUAL, TEAM
 from leaderstream.operators import flatten as fl
 from leaderstream.operators import prompts, ranking, serving, upsert
 from leaderstream.plans import fixtures as fx
-from leaderstream.session import shared_dir
+from leaderstream.session import settled, shared_dir
 from leaderstream.sources import messages, pages
 from leaderstream.streaming import ingest, latest
 from leaderstream.streaming.epoch_log import EpochLog
@@ -49,7 +49,7 @@ def payload_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quarantine_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rejected = fl.rejected_events(fx.damaged_messages(spark, sf))
+    rejected = fl.rejected_events(fl.judge_events(fx.damaged_messages(spark, sf)))
     return rejected.groupBy("reason").agg(F.count("*").alias("messages"))
 
 
@@ -139,9 +139,10 @@ def rank_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: messages, parsed, upserted and ranked."""
-    rows = fl.flatten(fl.decode_envelopes(fx.player_messages(spark, sf)))
-    return ranking.leaderboards(upsert.resolve_batches(rows)).select(*PLAYER, "Rank")
+    """The flagship: messages parsed into a log, upserted and ranked."""
+    log = EpochLog(spark, shared_dir(spark, "leaderboard"))
+    log.append(fl.flatten(fl.decode_envelopes(fx.player_messages(spark, sf))), 0)
+    return ranking.leaderboards(log.state()).select(*PLAYER, "Rank")
 
 
 def unranked_limit(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +204,7 @@ def request_check(spark: SparkSession, sf: str) -> DataFrame:
 def _asked_and_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     both = fx.players(spark, sf).unionByName(fx.teams(spark, sf))
     tables = serving.list_tables(both, INDIVIDUAL).unionByName(serving.list_tables(both, TEAM))
-    return prompts.check_requests(fx.questions(spark, sf)).where("valid"), tables
+    return prompts.check_requests(fx.questions(spark, sf)).where("valid"), settled(tables)
 
 
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:

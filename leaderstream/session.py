@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -39,3 +39,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="leaderstream-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the checkpoint folder."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+    return frame.checkpoint()

@@ -25,6 +25,10 @@ VOID = frozenset(
 HIDDEN = frozenset("rp rt script style template".split())
 
 
+class _TableClosed(Exception):
+    """Raised at the end of the first table: nothing behind it matters."""
+
+
 class _FirstTable(HTMLParser):
     """Collects header cells and rows of the first table, nested ones included.
 
@@ -36,18 +40,17 @@ class _FirstTable(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, list[str] | None]] = []
         self.table_at: int | None = None
-        self.found = self.done = False
         self.headers: list[list[str]] = []
         self.rows: list[list[list[str]]] = []
         self.open_rows: list[tuple[int, list[list[str]]]] = []
 
     def handle_starttag(self, tag, attrs):
-        if self.done or tag in VOID:
+        if tag in VOID:
             return
         text: list[str] | None = None
         if self.table_at is None:
             if tag == "table":
-                self.table_at, self.found = len(self.open), True
+                self.table_at = len(self.open)
         elif tag == "tr":
             row: list[list[str]] = []
             self.rows.append(row)
@@ -67,17 +70,17 @@ class _FirstTable(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.done or all(name != tag for name, _ in self.open):
+        if all(name != tag for name, _ in self.open):
             return
         while self.open.pop()[0] != tag:
             pass
         while self.open_rows and self.open_rows[-1][0] >= len(self.open):
             self.open_rows.pop()
         if self.table_at is not None and len(self.open) <= self.table_at:
-            self.done = True
+            raise _TableClosed
 
     def handle_data(self, data):
-        if self.table_at is None or self.done or any(name in HIDDEN for name, _ in self.open):
+        if self.table_at is None or any(name in HIDDEN for name, _ in self.open):
             return
         for _, text in self.open:
             if text is not None:
@@ -89,9 +92,12 @@ def first_table(html: str | None) -> dict | None:
     if html is None:
         return None
     parser = _FirstTable()
-    parser.feed(html)
-    parser.close()
-    if not parser.found:
+    try:
+        parser.feed(html)
+        parser.close()
+    except _TableClosed:
+        pass
+    if parser.table_at is None:
         return None
 
     def text(parts):
@@ -104,7 +110,7 @@ def first_table(html: str | None) -> dict | None:
 
 
 @F.pandas_udf(TABLE_TYPE)
-def first_table_udf(html: pd.Series) -> pd.DataFrame:
+def _first_tables(html: pd.Series) -> pd.DataFrame:
     tables = [first_table(h) for h in html]
     return pd.DataFrame(
         {
@@ -112,3 +118,8 @@ def first_table_udf(html: pd.Series) -> pd.DataFrame:
             "rows": [t and t["rows"] for t in tables],
         }
     )
+
+
+# Declared so that a filter on the result stays above it: pushed below, it would
+# parse every page a second time.
+first_table_udf = _first_tables.asNondeterministic()

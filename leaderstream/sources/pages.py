@@ -37,13 +37,12 @@ def newest_copies(pages: DataFrame, newest: Sequence[Column]) -> DataFrame:
 
 
 def with_table(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``table`` (``headers``, ``rows``), NULL for a page without one.
+    """Adds ``table`` (``headers``, ``rows``), both NULL for a page without one.
 
     Only pages that contain a table tag are handed to Python.
     """
     candidate = F.when(F.col(html).rlike("(?i)<table"), F.col(html))
-    table = first_table_udf(candidate)
-    return pages.withColumn("table", F.when(table["headers"].isNotNull(), table))
+    return pages.withColumn("table", first_table_udf(candidate))
 
 
 def usable_page() -> Column:
@@ -83,7 +82,7 @@ def table_records(pages: DataFrame) -> DataFrame:
     Expects ``with_table``; adds ``row_no`` (from 1) and the ``record`` map.
     """
     rest = [c for c in pages.columns if c not in {"table", "html"}]
-    rows = pages.where(F.col("table").isNotNull()).select(
+    rows = pages.select(
         *rest, F.col("table.headers").alias("_headers"), F.posexplode("table.rows").alias("_pos", "_cells")
     )
     valid = (F.size("_cells") > 0) & (F.size("_cells") == F.size("_headers"))

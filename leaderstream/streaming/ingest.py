@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
-from leaderstream.operators.flatten import decode_envelopes, flatten, rejected_events
+from leaderstream.operators.flatten import accepted_rows, judge_events, rejected_events
 from leaderstream.operators.ranking import leaderboards
 from leaderstream.operators.serving import snapshots
 from leaderstream.streaming.epoch_log import EpochLog
@@ -21,15 +21,15 @@ def ingest_batch(
     """The callback of one micro-batch: its rows to the log, its rejects aside."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        judged = judge_events(batch, metrics).persist()
         try:
-            if batch.isEmpty():
+            if judged.isEmpty():
                 return
-            log.append(flatten(decode_envelopes(batch), metrics), epoch)
-            rejects = rejected_events(batch, metrics).select("event_time", "message", "reason")
+            log.append(accepted_rows(judged), epoch)
+            rejects = rejected_events(judged).select("event_time", "message", "reason")
             rejects.write.mode("overwrite").parquet(f"{log.root}/rejects/epoch={epoch}")
         finally:
-            batch.unpersist()
+            judged.unpersist()
         if compact_every and (epoch + 1) % compact_every == 0:
             log.compact()
 
