@@ -25,8 +25,9 @@ class Board:
     def ingest(self, messages: DataFrame, **trigger) -> StreamingQuery:
         return ingest.start_ingest(messages, self.log, self.metrics, **trigger)
 
-    def stats(self) -> DataFrame:
-        return self.log.state()
+    def stats(self, name: str | None = None) -> DataFrame:
+        """Current rows of one table or of all."""
+        return self.log.state(name)
 
     def tables(self, prefix: str = INDIVIDUAL) -> DataFrame:
         return serving.list_tables(self.log.read(), prefix)
@@ -38,7 +39,7 @@ class Board:
         if name is None:
             served = leaderboards(self.stats(), self.metrics, self.by)
         else:
-            served = leaderboard(self.stats(), name, self.metrics, self.by)
+            served = leaderboard(self.stats(name), name, self.metrics, self.by)
         return serving.filter_rows(served, team, cl, position)
 
     def records(self, name: str) -> DataFrame:
@@ -51,7 +52,11 @@ class Board:
         return serving.snapshots(self.leaderboard(), prefix)
 
     def register_views(self) -> list[str]:
-        return serving.register_views(self.stats())
+        """Name every table as a view for ``spark.sql``."""
+        names = serving.table_names(self.log.read())
+        for name in names:
+            serving.register_view(self.stats(name), name)
+        return names
 
     def prompts(self, questions: DataFrame, category: str | None = None) -> DataFrame:
         best = leaderboards(self.stats(), self.metrics, self.by, rows=prompts.PROMPT_ROWS)

@@ -44,53 +44,61 @@ def top_k_per_group(
     return rows.withColumn(position, F.row_number().over(final)).where(F.col(position) <= k)
 
 
+def key_facts(rows: DataFrame, keys: Sequence[str], fact: Column, counted: Column) -> DataFrame:
+    """One row per key without NULLs: ``fact``, an aggregate, and ``_n``, its rows.
+
+    ``_salt`` is 0 in every row. It is part of the grouping, so that the result
+    is already distributed the way ``with_key_facts`` joins it. A literal would
+    be folded away, and with it the salt of the other side.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    # The join asks for these conditions too. Said here, they are the same in
+    # both uses of the facts, which then share one shuffle.
+    for key in (*keys, "_salt"):
+        rows = rows.where(F.col(key).isNotNull())
+    return rows.groupBy(*keys, "_salt").agg(fact, F.sum(counted).alias("_n"))
+
+
 def with_key_facts(
     rows: DataFrame,
     facts: DataFrame,
     keys: Sequence[str],
     fact: str,
     spread_by: Sequence[str],
-    rows_column: str = "_n",
     hot_key_rows: int = HOT_KEY_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Left-join one fact per key to the rows of that key, balanced by key size.
-
-    ``facts`` has one row per key: the keys, ``fact`` (never NULL) and
-    ``rows_column``, the number of ``rows`` the key has. The largest keys above
-    ``hot_key_rows`` rows reach their rows by a broadcast of at most
-    ``hot_keys`` facts. Their rows, and rows with a NULL key, take a salt from
-    ``spread_by`` (columns that tell rows of one key apart) and so spread over
-    the shuffle instead of meeting in one task. Every row comes out once.
+    """Left-join one fact per key (see ``key_facts``) to the rows of that key.
+
+    The largest keys above ``hot_key_rows`` rows reach their rows by a broadcast
+    of at most ``hot_keys`` facts. Their rows, and rows with a NULL key, take a
+    salt from ``spread_by`` (columns that tell rows of one key apart) and so
+    spread over the shuffle instead of meeting in one task. Every row comes out
+    once.
     """
     keys = list(keys)
-    # Said here once, or the join would add it to one use of the facts only and
-    # both could not share their shuffle.
-    facts = facts.dropna(subset=keys)
     hot = (
-        facts.where(F.col(rows_column) > hot_key_rows)
-        .orderBy(F.col(rows_column).desc(), *keys)
+        facts.where(F.col("_n") > hot_key_rows)
+        .orderBy(F.col("_n").desc(), *keys)
         .limit(hot_keys)
-        .select(*keys, F.col(fact).alias("_hot"))
+        .select(*keys, F.col(fact).alias("_hot"), F.col("_salt").alias("_hot_salt"))
     )
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(_SALTS)) + 1
+    spread = F.col("_hot_salt").isNotNull() | null_key
     rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | null_key, salt).otherwise(F.lit(0).cast("bigint"))
-    )
-    # Not a plain literal: the optimizer would fold that into the condition and
-    # the salt would drop out of the shuffle key.
-    cold = facts.select(
-        *keys,
-        F.col(fact).alias("_cold"),
-        F.when(F.col(rows_column) >= 0, F.lit(0).cast("bigint")).alias("_salt"),
+        "_salt", F.when(spread, salt).otherwise(F.lit(0).cast("bigint"))
     )
+    # ``_n`` is asked for as well, and in this order, to keep the aggregates of
+    # both uses equal.
+    counted = F.col(fact).isNotNull() & (F.col("_n") >= 0)
+    cold = facts.select(*keys, "_salt", F.when(counted, F.col(fact)).alias("_cold"))
     return (
         rows.join(cold, [*keys, "_salt"], "left")
         .withColumn(fact, F.coalesce("_hot", "_cold"))
-        .drop("_hot", "_cold", "_salt")
+        .drop("_hot", "_hot_salt", "_cold", "_salt")
     )
 
 

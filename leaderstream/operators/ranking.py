@@ -22,7 +22,8 @@ from leaderstream.operators.serving import read_table
 
 # Lanes of the level between the tasks' own cut and the final one per table.
 LANES = 64
-TIES = ("Name", "Team", "offset")
+# Equal values: total up to rows that are served alike.
+TIES = ("Name", "Team", "offset", "Value", "Cl", "Position")
 
 
 def _order(by: str, direction: Column, ties: Sequence[str]) -> list[Column]:

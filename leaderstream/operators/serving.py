@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,24 +32,21 @@ def read_table(stats: DataFrame, name: str) -> DataFrame:
     return stats.where(F.col("table_name") == name)
 
 
-def register_views(stats: DataFrame, names: Iterable[str] | None = None) -> list[str]:
-    """Name every metric table as a view for ``spark.sql``.
-
-    The names come from the catalog unless given: a few dozen in practice, and
-    refused beyond ``_MAX_VIEWS``.
-    """
-    if names is None:
-        found = stats.select("table_name").where(F.col("table_name").isNotNull()).distinct()
-        names = [r["table_name"] for r in found.limit(_MAX_VIEWS + 1).collect()]
-        if len(names) > _MAX_VIEWS:
-            raise ValueError(f"more than {_MAX_VIEWS} tables: pass the names to register")
-    names = sorted(names)
-    for name in names:
-        columns = ["Team", "Value"] if name.startswith(TEAM) else ["Name", "Team", "Cl", "Position", "Value"]
-        read_table(stats, name).select(*columns).createOrReplaceTempView(name)
+def table_names(stats: DataFrame) -> list[str]:
+    """The names of all tables: a few dozen in practice, refused beyond ``_MAX_VIEWS``."""
+    found = stats.select("table_name").where(F.col("table_name").isNotNull()).distinct()
+    names = sorted(r["table_name"] for r in found.limit(_MAX_VIEWS + 1).collect())
+    if len(names) > _MAX_VIEWS:
+        raise ValueError(f"more than {_MAX_VIEWS} tables")
     return names
 
 
+def register_view(stats: DataFrame, name: str) -> None:
+    """Name one metric table as a view for ``spark.sql``, replacing an older one."""
+    columns = ["Team", "Value"] if name.startswith(TEAM) else ["Name", "Team", "Cl", "Position", "Value"]
+    read_table(stats, name).select(*columns).createOrReplaceTempView(name)
+
+
 def filter_rows(rows: DataFrame, team: str = "", cl: str = "", position: str = "") -> DataFrame:
     """Rows with the chosen facet values; an empty text chooses all.
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaderstream.metrics import INDIVIDUAL
-from leaderstream.operators.balance import with_key_facts
+from leaderstream.operators.balance import key_facts, with_key_facts
 from leaderstream.operators.flatten import null_key
 
 KEY = ["table_name", "_name", "Team"]
+# Offsets of several topic partitions may be equal, so the row itself decides last.
+LATEST = ("event_time", "offset", "Value", "Cl", "Position")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def resolve_batches(log: DataFrame, batch: str = "batch_id", spread_by: str = "o
     are never replaced.
     """
     rows = _keyed(log)
-    newest = rows.where(~null_key()).groupBy(*KEY).agg(F.max(batch).alias("_newest"), F.count("*").alias("_n"))
+    newest = key_facts(rows, KEY, F.max(batch).alias("_newest"), F.lit(1))
     placed = with_key_facts(rows, newest, KEY, "_newest", [spread_by], **balance)
     kept = placed.where(null_key() | (F.col(batch) == F.col("_newest")))
     return kept.select(*log.columns)
@@ -36,14 +40,11 @@ def anti_join_keys(state: DataFrame, batch: DataFrame, spread_by: str = "offset"
     """State rows whose key does not occur in the batch (NULL keys never do)."""
     marked = (
         _keyed(state)
-        .select(*KEY, null_key().alias("_null"), F.lit(0).alias("_in_batch"))
-        .unionByName(_keyed(batch).select(*KEY, null_key().alias("_null"), F.lit(1).alias("_in_batch")))
-    )
-    facts = (
-        marked.where(~F.col("_null"))
-        .groupBy(*KEY)
-        .agg(F.max("_in_batch").alias("_replaced"), F.sum(1 - F.col("_in_batch")).alias("_n"))
+        .select(*KEY, F.lit(0).alias("_in_batch"))
+        .unionByName(_keyed(batch).select(*KEY, F.lit(1).alias("_in_batch")))
     )
+    in_batch = F.col("_in_batch")
+    facts = key_facts(marked, KEY, F.max(in_batch).alias("_replaced"), 1 - in_batch)
     placed = with_key_facts(_keyed(state), facts, KEY, "_replaced", [spread_by], **balance)
     return placed.where(F.coalesce(F.col("_replaced"), F.lit(0)) == 0).select(*state.columns)
 
@@ -53,7 +54,7 @@ def apply_batch(state: DataFrame, batch: DataFrame, **balance: int) -> DataFrame
     return anti_join_keys(state, batch, **balance).unionByName(batch)
 
 
-def upsert_latest(log: DataFrame, order: tuple[str, ...] = ("event_time", "offset")) -> DataFrame:
+def upsert_latest(log: DataFrame, order: Sequence[str] = LATEST) -> DataFrame:
     """Exactly one row per key, the last one in ``order``. NULL keys are left out.
 
     Plain aggregates, so each task first cuts a hot key down to one row.

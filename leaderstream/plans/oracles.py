@@ -84,7 +84,7 @@ def _ranked(source: str, name: str, by: str, ties: str) -> str:
 
 
 _IND_TIES = '"Name" asc nulls first, "Team" asc nulls first, "offset" asc'
-_TEAM_TIES = '"Team" asc nulls first, "offset" asc'
+_TEAM_TIES = '"Team" asc nulls first, "offset" asc, "Value" asc'
 
 
 def _with(*ctes: str) -> str:

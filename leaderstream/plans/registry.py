@@ -117,7 +117,7 @@ def upsert_team(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    latest_rows = upsert.upsert_latest(fx.teams(spark, sf), ("event_time", "offset", "Value"))
+    latest_rows = upsert.upsert_latest(fx.teams(spark, sf))
     return latest_rows.select("table_name", "Team", "Value", _time(), "offset")
 
 
@@ -172,7 +172,7 @@ def table_by_name(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_view(spark: SparkSession, sf: str) -> DataFrame:
-    serving.register_views(fx.players(spark, sf), ["individual_whip"])
+    serving.register_view(fx.players(spark, sf), "individual_whip")
     return spark.sql("SELECT Name, Team, Cl, Position, Value FROM individual_whip WHERE Team = 'Team 3'")
 
 

@@ -70,9 +70,13 @@ class EpochLog:
             parts.append(self._read("epochs", [path for _, path in epochs]))
         return reduce(DataFrame.unionByName, parts) if parts else empty_stats(self.spark)
 
-    def state(self) -> DataFrame:
-        """The current rows of every table."""
-        return resolve_batches(self.read())
+    def state(self, table: str | None = None) -> DataFrame:
+        """The current rows of one table or of all.
+
+        One table reads the folders of that table only.
+        """
+        log = self.read()
+        return resolve_batches(log if table is None else log.where(F.col("table_name") == table))
 
     def compact(self) -> int | None:
         """Fold everything committed so far into a new base; returns its epoch."""
