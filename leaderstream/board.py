@@ -27,7 +27,7 @@ class Board:
 
     def stats(self, name: str | None = None) -> DataFrame:
         """Current rows of one table or of all."""
-        return self.log.state(name)
+        return self.log.state(None if name is None else [name])
 
     def tables(self, prefix: str = INDIVIDUAL) -> DataFrame:
         return serving.list_tables(self.log.read(), prefix)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaderstream.metrics import INDIVIDUAL, METRICS, TEAM, table_name_of, value_field
+from leaderstream.metrics import INDIVIDUAL, METRICS, STAT_PAGES, TEAM, table_name_of, value_field
 from leaderstream.operators.flatten import STATS, encode_events
+from leaderstream.sources.pages import page_url
 
 # Metric each event type stands for. ``Saves`` is in no dimension: unranked.
 EVENT_METRICS = {
@@ -144,12 +145,10 @@ def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(value.alias("value"), "offset")
 
 
-def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given pages with their navigation list turned into a statistics table.
-
-    Around it stay scripts, comments and entities. Cells hold blanks, tags and
-    an entity, one row is short, and a second table follows.
-    """
+def _with_table(html: Column) -> Column:
+    # The navigation list becomes a statistics table. Around it stay scripts,
+    # comments and entities. Cells hold blanks, tags and an entity, one row is
+    # short, and a second table follows.
     table = F.lit("<table class='stats'>\n<tr><th> Name</th><th>Team\n</th><th>BA</th></tr>")
     end = F.lit(
         "<tr><td>too short</td></tr></table><!-- <table> --><table><tr><th>Name</th></tr><tr><td>other</td></tr></table>"
@@ -159,9 +158,27 @@ def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("string"),
         F.lit("<br></td></tr>"),
     )
-    html = F.replace(F.replace(F.col("html"), F.lit("<nav><ul>"), table), F.lit("</ul></nav>"), end)
-    html = F.regexp_replace(html, F.lit('<li><a href="[^"]*">([^<]*)</a></li>'), row)
-    return read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    opened = F.replace(F.replace(html, F.lit("<nav><ul>"), table), F.lit("</ul></nav>"), end)
+    return F.regexp_replace(opened, F.lit('<li><a href="[^"]*">([^<]*)</a></li>'), row)
+
+
+def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, each with a statistics table."""
+    return read(spark, sf_dir, "pages").select("page_id", "url", _with_table(F.col("html")).alias("html"))
+
+
+def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages as the pages of all listed metrics, some without a table."""
+    paths = F.array(*[F.lit(path) for _, _, path in STAT_PAGES])
+    count = F.lit(len(STAT_PAGES))
+    path = F.get(paths, (F.col("page_id") % count).cast("int"))
+    number = F.floor(F.col("page_id") / count) % 12 + 1
+    links = F.regexp_count("html", F.lit("<li>"))
+    return read(spark, sf_dir, "pages").select(
+        "page_id",
+        page_url("https://www.example.com", path, number).alias("url"),
+        F.when(links > 4, _with_table(F.col("html"))).otherwise(F.col("html")).alias("html"),
+    )
 
 
 def page_visits(spark: SparkSession, sf_dir: str) -> DataFrame:

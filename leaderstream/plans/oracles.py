@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leaderstream.metrics import STAT_PAGES
 from leaderstream.plans.fixtures import EVENT_METRICS, LINE_METRICS
 
 
@@ -176,6 +177,8 @@ html_rows as (
   select page_id, cast(row_no as integer) as row_no, trim("Name") as "Name", trim("Name") || ' & Co' as "Team",
          '.' || cast(page_id as varchar) as "BA" from links)"""
 
+_STAT_PAGES = ", ".join(f"({i}, '{e}', '{m}', '{p}')" for i, (e, m, p) in enumerate(STAT_PAGES))
+
 _UPSERT_IND = _with(_IND, _IND_STATE) + f'select "offset", {_PLAYER}, batch_id from ind_state'
 _UPSERT_TEAM = _with(_TEAM, _TEAM_STATE) + 'select "offset", table_name, "Team", "Value", batch_id from team_state'
 _LATEST_IND = (
@@ -317,6 +320,25 @@ first_gap as (
 select '/stats/' || site as path, page_no, 'https://www.example.com/stats/' || site
        || case when page_no > 1 then '/p' || cast(page_no as varchar) else '' end as url, page_id
 from newest join first_gap using (site) where page_no < stop""",
+    "scrape_events": _with(_LINKS)
+    + f""", listed as (select * from (values {_STAT_PAGES}) v(slot, entity, metric, path)),
+visits as (
+  select page_id, entity, metric, path, cast((page_id // {len(STAT_PAGES)}) % 12 + 1 as integer) as page_no,
+         len(regexp_extract_all(html, '<li>')) > 4 as usable
+  from pages join listed on slot = page_id % {len(STAT_PAGES)}),
+newest as (select * from visits qualify row_number() over (partition by path, page_no order by page_id desc) = 1),
+first_gap as (
+  select paths.path, min(n) as stop
+  from (select distinct path from visits) paths cross join range(1, 12) r(n)
+  left join newest on newest.path = paths.path and newest.page_no = n
+  where not coalesce(usable, false) or n = 11 group by paths.path)
+select 'https://www.example.com' || path || case when page_no > 1 then '/p' || cast(page_no as varchar) else '' end as url,
+       page_no, row_no, '{{"stat_category":"' || metric || '","stat_type":"' || kind || '","timestamp":"'
+       || strftime(timestamp '2024-01-01' + to_seconds(cast(page_id as integer)), '%Y-%m-%d %H:%M:%S') || '","'
+       || kind || '_stats":{{"Name":' || cast(to_json("Name") as varchar) || ',"Team":'
+       || cast(to_json("Team") as varchar) || ',"BA":"' || "BA" || '"}}}}' as value
+from (select *, case entity when 'team' then 'team' else 'player' end as kind
+      from newest join first_gap using (path) join html_rows using (page_id) where page_no < stop)""",
     "stream_upsert": _UPSERT_IND,
     "stream_upsert_team": _UPSERT_TEAM,
     "stream_latest": _LATEST_IND,

@@ -253,6 +253,12 @@ def page_sequence_cut(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("path", "page_no", "url", "page_id")
 
 
+def scrape_events(spark: SparkSession, sf: str) -> DataFrame:
+    time = F.timestamp_seconds(1704067200 + F.col("page_id"))
+    events = pages.scrape_events(fx.scraped_pages(spark, sf), [F.col("page_id").desc()], time)
+    return events.select("url", "page_no", "row_no", "value")
+
+
 # Streams
 
 
@@ -331,6 +337,7 @@ QUERIES: dict[str, Query] = {
         html_table_rows,
         page_events,
         page_sequence_cut,
+        scrape_events,
         stream_upsert,
         stream_upsert_team,
         stream_latest,

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leaderstream.metrics import STAT_PAGES
 from leaderstream.operators.balance import top_k_per_group
+from leaderstream.operators.flatten import encode_events
 from leaderstream.sources.html_table import first_table_udf
 
 # Fixed value: pages read per metric.
@@ -91,3 +94,45 @@ def table_records(pages: DataFrame) -> DataFrame:
         (F.col("_pos") + 1).alias("row_no"),
         zip_record(F.col("_headers"), F.col("_cells")).alias("record"),
     )
+
+
+def known_pages(
+    pages: DataFrame, stat_pages: Sequence[tuple[str, str, str]] = STAT_PAGES, max_pages: int = MAX_PAGES
+) -> DataFrame:
+    """Pages of the listed metrics with ``path, page_no, entity_type, stat_category``."""
+
+    def lookup(pairs: list[tuple[str, str]]) -> Column:
+        literal = F.create_map(*[F.lit(v) for v in chain.from_iterable(pairs)])
+        return F.try_element_at(literal, F.col("path"))
+
+    located = pages.withColumns({"path": page_path(F.col("url")), "page_no": page_number(F.col("url"))})
+    named = located.withColumns(
+        {
+            "entity_type": lookup([(path, entity) for entity, _, path in stat_pages]),
+            "stat_category": lookup([(path, metric) for _, metric, path in stat_pages]),
+        }
+    )
+    return named.where(F.col("entity_type").isNotNull() & F.col("page_no").between(1, max_pages))
+
+
+def scrape_events(
+    pages: DataFrame,
+    newest: Sequence[Column],
+    time: Column | None = None,
+    cycle: Sequence[str] = (),
+    stat_pages: Sequence[tuple[str, str, str]] = STAT_PAGES,
+) -> DataFrame:
+    """Stored pages (``url, html`` and, if known, ``status``) to event messages.
+
+    Per metric, pages count in order up to the first that is missing, failed or
+    without table rows. A page stored more than once counts in its ``newest``
+    copy; with ``cycle`` columns each scrape cycle stands for itself. ``time``
+    is the time of the events, now by default.
+    """
+    once = top_k_per_group(known_pages(pages, stat_pages), [*cycle, "url"], newest, 1).drop("_pos")
+    parsed = with_table(once)
+    usable = usable_page()
+    if "status" in pages.columns:
+        usable = usable & (F.col("status") == 200)
+    read = cut_page_sequence(parsed, [*cycle, "path"], usable)
+    return encode_events(table_records(read), F.col("record"), time)

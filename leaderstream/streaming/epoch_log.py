@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,13 +71,10 @@ class EpochLog:
             parts.append(self._read("epochs", [path for _, path in epochs]))
         return reduce(DataFrame.unionByName, parts) if parts else empty_stats(self.spark)
 
-    def state(self, table: str | None = None) -> DataFrame:
-        """The current rows of one table or of all.
-
-        One table reads the folders of that table only.
-        """
+    def state(self, tables: Sequence[str] | None = None) -> DataFrame:
+        """The current rows of the given tables, whose folders alone are read, or of all."""
         log = self.read()
-        return resolve_batches(log if table is None else log.where(F.col("table_name") == table))
+        return resolve_batches(log if tables is None else log.where(F.col("table_name").isin(*tables)))
 
     def compact(self) -> int | None:
         """Fold everything committed so far into a new base; returns its epoch."""

@@ -11,12 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
 from leaderstream.operators.flatten import accepted_rows, judge_events, rejected_events
 from leaderstream.operators.ranking import leaderboards
-from leaderstream.operators.serving import snapshots
+from leaderstream.operators.serving import snapshots, table_names
 from leaderstream.streaming.epoch_log import EpochLog
 
 
 def ingest_batch(
-    log: EpochLog, metrics: Sequence[Metric] = METRICS, compact_every: int | None = None
+    log: EpochLog,
+    metrics: Sequence[Metric] = METRICS,
+    compact_every: int | None = None,
+    snapshots_to: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """The callback of one micro-batch: its rows to the log, its rejects aside."""
 
@@ -28,6 +31,8 @@ def ingest_batch(
             log.append(accepted_rows(judged), epoch)
             rejects = rejected_events(judged).select("event_time", "message", "reason")
             rejects.write.mode("overwrite").parquet(f"{log.root}/rejects/epoch={epoch}")
+            if snapshots_to:
+                publish_snapshots(log, snapshots_to, epoch, metrics, "", table_names(judged))
         finally:
             judged.unpersist()
         if compact_every and (epoch + 1) % compact_every == 0:
@@ -43,14 +48,16 @@ def start_ingest(
     processing_time: str | None = None,
     available_now: bool = False,
     compact_every: int | None = None,
+    snapshots_to: str | None = None,
 ) -> StreamingQuery:
     """Run a stream of messages (``value`` and, if known, ``offset``) into the log.
 
     The checkpoint lies next to the log, so the two cannot drift apart. Give
-    ``compact_every`` to fold the log after every so many epochs.
+    ``compact_every`` to fold the log after every so many epochs, and
+    ``snapshots_to`` to publish the tables each epoch changed.
     """
     writer = (
-        messages.writeStream.foreachBatch(ingest_batch(log, metrics, compact_every))
+        messages.writeStream.foreachBatch(ingest_batch(log, metrics, compact_every, snapshots_to))
         .outputMode("append")
         .option("checkpointLocation", f"{log.root}/checkpoint")
     )
@@ -62,10 +69,15 @@ def start_ingest(
 
 
 def publish_snapshots(
-    log: EpochLog, path: str, version: int, metrics: Sequence[Metric] = METRICS, prefix: str = INDIVIDUAL
+    log: EpochLog,
+    path: str,
+    version: int,
+    metrics: Sequence[Metric] = METRICS,
+    prefix: str = INDIVIDUAL,
+    tables: Sequence[str] | None = None,
 ) -> None:
-    """Write the current JSON document of every table as one version."""
-    documents = snapshots(leaderboards(log.state(), metrics), prefix)
+    """Write the current JSON document of every table, or of ``tables``, as one version."""
+    documents = snapshots(leaderboards(log.state(tables), metrics), prefix)
     documents.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
         f"{path.rstrip('/')}/run={version}"
     )

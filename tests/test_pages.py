@@ -69,3 +69,20 @@ def test_newest_copy_and_usable(spark):
     assert sorted((r.url, r.page_id) for r in once.collect()) == [("u1", 2), ("u2", 3)]
     usable = pages.with_table(frame).select("page_id", pages.usable_page().alias("ok")).orderBy("page_id")
     assert [r.ok for r in usable.collect()] == [True, False, False]
+
+
+def test_cycles_and_status(spark):
+    table = "<table><tr><th>Name</th><th>Team</th><th>BA</th></tr><tr><td>%s</td><td>T</td><td>.3</td></tr></table>"
+    path = "https://h.example/stats/baseball/d1/current/individual/200"
+    rows = [
+        (1, path, 1, table % "old", 200),
+        (1, path, 2, table % "a", 200),
+        (1, path + "/p2", 3, table % "b", 500),
+        (2, path, 4, table % "c", 200),
+        (2, path + "/p2", 5, table % "d", 200),
+        (2, "https://h.example/other", 6, table % "e", 200),
+    ]
+    frame = spark.createDataFrame(rows, "cycle int, url string, page_id int, html string, status int")
+    events = pages.scrape_events(frame, [F.col("page_id").desc()], cycle=["cycle"])
+    got = [(r.cycle, r.stat_category, r.record["Name"]) for r in events.orderBy("page_id").collect()]
+    assert got == [(1, "Batting Average", "a"), (2, "Batting Average", "c"), (2, "Batting Average", "d")]

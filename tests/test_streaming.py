@@ -7,6 +7,7 @@ from test_upsert import literal_fold, some_rows
 
 from leaderstream import Board
 from leaderstream.operators import flatten as fl
+from leaderstream.operators import serving
 from leaderstream.sources import messages
 from leaderstream.streaming import ingest, latest
 from leaderstream.streaming.epoch_log import EpochLog
@@ -74,6 +75,20 @@ def test_restart_and_replay(spark, tmp_path):
     assert rows_of(log.state()) == wanted(rows)
 
 
+def test_snapshots_of_each_epoch(spark, tmp_path):
+    rows = [("individual_whip", "A", "T", "1", 0, 0), ("team_whip", None, "T", "5", 0, 1)]
+    rows += [("individual_whip", "B", "T", ".5", 1, 2), ("individual_whip", "A", "T", "2", 2, 3)]
+    write_batches(str(tmp_path / "in"), rows)
+    run(spark, str(tmp_path / "in"), EpochLog(spark, str(tmp_path / "log")), snapshots_to=str(tmp_path / "snap"))
+    published = spark.read.parquet(str(tmp_path / "snap"))
+    assert sorted((r.table_name, r.version) for r in published.collect()) == [
+        ("individual_whip", 0), ("individual_whip", 1), ("individual_whip", 2), ("team_whip", 0),
+    ]
+    latest_ones = {r.category: json.loads(r.snapshot)["rows"] for r in serving.latest_snapshots(published).collect()}
+    assert [(r["Name"], r["Rank"]) for r in latest_ones["Individual Whip"]] == [("B", 1), ("A", 2)]
+    assert latest_ones["Team Whip"] == [{"Team": "T", "Value": "5", "Rank": 1}]
+
+
 def test_unfinished_epoch_is_not_read(spark, tmp_path, stats):
     log = EpochLog(spark, str(tmp_path))
     assert log.state().count() == 0 and log.compact() is None
@@ -151,9 +166,9 @@ def test_board(spark, tmp_path):
 def test_table_filter_prunes_partitions(spark, tmp_path, stats):
     log = EpochLog(spark, str(tmp_path))
     log.append(stats(some_rows(16, 50)), 0)
-    plan = log.state("individual_era")._jdf.queryExecution().executedPlan().toString()
+    plan = log.state(["individual_era"])._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
-    assert scans and all("PartitionFilters: [isnotnull(table_name" in line for line in scans)
+    assert scans and all("PartitionFilters: [isnotnull(table_name" in line or "PartitionFilters: [(table_name" in line for line in scans)
 
 
 def test_event_files_round_trip(spark, tmp_path):
