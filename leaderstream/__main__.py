@@ -41,7 +41,8 @@ def _arguments() -> argparse.Namespace:
     ask = steps.add_parser("prompt", help="prompt for one question")
     ask.add_argument("question")
     ask.add_argument("--type", default="individual")
-    steps.add_parser("compact", help="fold the log into a new base")
+    compact = steps.add_parser("compact", help="fold the epochs since the last time")
+    compact.add_argument("--full", action="store_true", help="fold everything into a new base")
     return parser.parse_args()
 
 
@@ -75,7 +76,7 @@ def main() -> None:
         answer = board.prompts(asked).first()
         print(answer.prompt or answer.message)
     elif args.step == "compact":
-        print(board.compact())
+        print(board.compact(args.full))
 
 
 if __name__ == "__main__":

@@ -62,5 +62,5 @@ class Board:
         best = leaderboards(self.stats(), self.metrics, self.by, rows=prompts.PROMPT_ROWS)
         return prompts.build_prompts(questions, serving.records(best), category)
 
-    def compact(self) -> int | None:
-        return self.log.compact()
+    def compact(self, full: bool = False) -> int | None:
+        return self.log.compact(full)

@@ -281,7 +281,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def stream_upsert_team(spark: SparkSession, sf: str) -> DataFrame:
     source = fx.messages(fx.team_rows(_stream(spark, sf, "lineitem")))
     log = _ingested(spark, source, "stream-upsert-team")
-    log.compact()
+    log.compact(full=True)
     return log.state().select("offset", "table_name", "Team", "Value", "batch_id")
 
 

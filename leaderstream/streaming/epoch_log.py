@@ -17,9 +17,11 @@ class EpochLog:
     """Statistic rows in ``<root>/epochs/epoch=N/table_name=…`` parquet folders.
 
     Writing costs one pass over the batch. A replayed batch overwrites its own
-    folder, so it counts once. ``compact`` folds all epochs up to one into
-    ``<root>/bases/upto=N``; readers take the newest base and the epochs after
-    it. A folder counts once its ``_SUCCESS`` marker is there.
+    folder, so it counts once. ``compact`` folds the epochs since the last time
+    into ``<root>/folds/upto=N``, at the cost of those epochs; a full one folds
+    everything into ``<root>/bases/upto=N``. Readers take the newest base, the
+    folds after it and the epochs after those. A folder counts once its
+    ``_SUCCESS`` marker is there.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -43,10 +45,6 @@ class EpochLog:
         # Rebalancing gives few files per table and still splits a hot table.
         rows.hint("rebalance", "table_name").write.mode("overwrite").partitionBy("table_name").parquet(path)
 
-    def _read(self, kind: str, paths: list[str]) -> DataFrame:
-        reader = self.spark.read.schema(STATS).option("basePath", f"{self.root}/{kind}")
-        return reader.parquet(*paths).select(*STATS.fieldNames())
-
     def append(self, rows: DataFrame, epoch: int) -> None:
         """Write one batch. ``batch_id`` is the epoch unless the rows carry one."""
         if "batch_id" not in rows.columns:
@@ -59,28 +57,46 @@ class EpochLog:
         """Committed epochs."""
         return [n for n, _ in self._committed("epochs")]
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        """Unresolved rows: the newest base and the epochs after it."""
-        bases = [b for b in self._committed("bases") if upto is None or b[0] <= upto]
-        after = bases[-1][0] if bases else -1
-        epochs = [e for e in self._committed("epochs") if e[0] > after and (upto is None or e[0] <= upto)]
-        parts = []
-        if bases:
-            parts.append(self._read("bases", [bases[-1][1]]))
-        if epochs:
-            parts.append(self._read("epochs", [path for _, path in epochs]))
-        return reduce(DataFrame.unionByName, parts) if parts else empty_stats(self.spark)
+    def _parts(self) -> dict[str, list[tuple[int, str]]]:
+        """The folders that make up the log."""
+        bases = self._committed("bases")[-1:]
+        folded = max([n for n, _ in bases], default=-1)
+        folds = [f for f in self._committed("folds") if f[0] > folded]
+        folded = max([folded, *[n for n, _ in folds]])
+        epochs = [e for e in self._committed("epochs") if e[0] > folded]
+        return {"bases": bases, "folds": folds, "epochs": epochs}
+
+    def _read(self, parts: dict[str, list[tuple[int, str]]]) -> DataFrame:
+        frames = []
+        for kind, folders in parts.items():
+            if folders:
+                reader = self.spark.read.schema(STATS).option("basePath", f"{self.root}/{kind}")
+                frames.append(reader.parquet(*[path for _, path in folders]).select(*STATS.fieldNames()))
+        return reduce(DataFrame.unionByName, frames) if frames else empty_stats(self.spark)
+
+    def read(self) -> DataFrame:
+        """All rows that may still count, unresolved."""
+        return self._read(self._parts())
 
     def state(self, tables: Sequence[str] | None = None) -> DataFrame:
         """The current rows of the given tables, whose folders alone are read, or of all."""
         log = self.read()
         return resolve_batches(log if tables is None else log.where(F.col("table_name").isin(*tables)))
 
-    def compact(self) -> int | None:
-        """Fold everything committed so far into a new base; returns its epoch."""
-        epochs = self.epochs()
-        bases = self._committed("bases")
-        if not epochs or (bases and bases[-1][0] >= epochs[-1]):
+    def compact(self, full: bool = False) -> int | None:
+        """Fold the epochs since the last time, or all there is; returns the last one.
+
+        Rows that an epoch of the fold replaces go; the rest still counts
+        against older folders, so folds of folds give the same state.
+        """
+        parts = self._parts()
+        upto = max((n for folders in parts.values() for n, _ in folders), default=-1)
+        if full:
+            if not (parts["folds"] or parts["epochs"]):
+                return None
+            self._write(resolve_batches(self._read(parts)), f"{self.root}/bases/upto={upto}")
+            return upto
+        if not parts["epochs"]:
             return None
-        self._write(resolve_batches(self.read(epochs[-1])), f"{self.root}/bases/upto={epochs[-1]}")
-        return epochs[-1]
+        self._write(resolve_batches(self._read({"epochs": parts["epochs"]})), f"{self.root}/folds/upto={upto}")
+        return upto

@@ -53,7 +53,7 @@ def start_ingest(
     """Run a stream of messages (``value`` and, if known, ``offset``) into the log.
 
     The checkpoint lies next to the log, so the two cannot drift apart. Give
-    ``compact_every`` to fold the log after every so many epochs, and
+    ``compact_every`` to fold the epochs after every so many of them, and
     ``snapshots_to`` to publish the tables each epoch changed.
     """
     writer = (

@@ -98,16 +98,20 @@ def test_unfinished_epoch_is_not_read(spark, tmp_path, stats):
     assert [r.Value for r in log.state().collect()] == ["1"]
 
 
-def test_compaction_keeps_the_state(spark, tmp_path, stats):
+@pytest.mark.parametrize("full_at", [set(), {1}, {3}, {1, 3, 5}])
+def test_compaction_keeps_the_state(spark, tmp_path, stats, full_at):
     rows = some_rows(13, 200)
     log = EpochLog(spark, str(tmp_path))
-    for batch in range(4):
-        log.append(stats([r for r in rows if r[4] == batch]), batch)
-    assert log.compact() == 3 and log.compact() is None
-    for batch in (4, 5):
+    for batch in range(6):
         log.append(stats([r for r in rows if r[4] == batch]), batch)
+        if batch in full_at:
+            assert log.compact(full=True) == batch and log.compact() is None
+        elif batch in (2, 4):
+            assert log.compact() == batch and log.compact() is None
     assert sorted(r.offset for r in log.state().collect()) == literal_fold(rows)
-    assert log.compact() == 5
+    if 5 not in full_at:
+        assert log.compact(full=True) == 5
+    assert log.compact(full=True) is None
     assert sorted(r.offset for r in log.state().collect()) == literal_fold(rows)
 
 

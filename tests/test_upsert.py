@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leaderstream.operators import upsert
 
@@ -91,3 +92,22 @@ def test_salt_is_shuffled_and_facts_are_shared(spark, tmp_path, stats):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_rows_of_a_hot_key_spread(spark, stats):
+    rows = [("individual_era", "A", "T", "1", 0, i) for i in range(3000)]
+    rows += [("individual_era", None, "T", "1", 0, 3000 + i) for i in range(3000)]
+    rows += [("individual_era", f"P{i}", "T", "1", 0, 6000 + i) for i in range(300)]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        state = upsert.resolve_batches(stats(rows), hot_key_rows=1000)
+        placed = state.groupBy("Name", F.spark_partition_id().alias("task")).count().where("count > 1").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for name in ("A", None):
+        per_task = [r["count"] for r in placed if r.Name == name]
+        assert sum(per_task) == 3000 and len(per_task) == 4 and max(per_task) < 900
