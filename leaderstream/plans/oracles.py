@@ -157,9 +157,15 @@ picks as (
   select *, cast(row_number() over (partition by question_id order by score desc, table_name) as integer) as place
   from scores qualify place <= 5)"""
 
-_INDENTED = "    \"{0}\": ' || " + _QUOTED
-_IND_DUMP = "'  {\n" + " || ',\n".join(_INDENTED.format(c).replace('coalesce(\'"\' || ' + c, 'coalesce(\'"\' || "' + c + '"') for c in ("Name", "Team", "Cl", "Position", "Value")) + " || '\n  }'"
-_TEAM_DUMP = "'  {\n" + " || ',\n".join(_INDENTED.format(c).replace('coalesce(\'"\' || ' + c, 'coalesce(\'"\' || "' + c + '"') for c in ("Team", "Value")) + " || '\n  }'"
+
+def _dump(columns: tuple[str, ...]) -> str:
+    """A record as indented JSON text, two levels deep in a list."""
+    fields = [f"""'    "{c}": ' || """ + _QUOTED.format(f'"{c}"') for c in columns]
+    return "'  {\n' || " + " || ',\n' || ".join(fields) + " || '\n  }'"
+
+
+_IND_DUMP = _dump(("Name", "Team", "Cl", "Position", "Value"))
+_TEAM_DUMP = _dump(("Team", "Value"))
 
 _SECTIONS = f"""
 sections as (
@@ -218,9 +224,7 @@ select category, table_name,
             else regexp_replace(title, '^Team ', '') end as metric,
        title, regexp_replace(replace(table_name, '_', ' '), '^team ', '') as label,
        'section-' || regexp_replace(lower(title), '\\s+', '-', 'g') as section,
-       coalesce(nullif(regexp_extract(category, 'Brand#[0-9]+'), ''), 'Unknown') as brand from titled""".replace(
-        "\nnamed", "\nnamed"
-    ),
+       coalesce(nullif(regexp_extract(category, 'Brand#[0-9]+'), ''), 'Unknown') as brand from titled""",
     "list_tables": _with(_IND, _TEAM)
     + "select distinct table_name from ind union all select distinct table_name from team",
     "anti_join_keys": _with(_IND)

@@ -13,8 +13,13 @@ def envelope(category="Slugging Percentage", kind="player", **extra):
 
 
 def flat(spark, *texts):
+    """Rows of the messages, the same whether parsed step by step or together."""
     raw = spark.createDataFrame([(i, bytearray(t, "utf8")) for i, t in enumerate(texts)], "offset long, value binary")
-    return fl.flatten(fl.decode_envelopes(raw)).orderBy("offset", "entity_type").collect()
+    rows = fl.flatten(fl.decode_envelopes(raw))
+    together = fl.accepted_rows(fl.judge_events(raw)).select(*rows.columns)
+    got = rows.orderBy("offset", "entity_type").collect()
+    assert together.orderBy("offset", "entity_type").collect() == got
+    return got
 
 
 def payload_text(payload: str) -> str:
@@ -77,6 +82,26 @@ def test_judgement(spark, text, reason):
     judged.unpersist()
 
 
+ODD = [
+    '{"stat_category":"X","player_stats":"no","team_stats":{"Team":"T","Value":"1"}}',
+    '{"stat_category":"X","player_stats":{"Name":"A","Team":"T"},"team_stats":[]}',
+    '{"stat_category":"X","player_stats":{"Name":"team_stats","Team":"T","Value":{"a":[1,2.50]}}}',
+    '{"stat_category":"X","player_stats":null,"team_stats":{"Team":null}}',
+    '{"stat_category":7,"timestamp":1704067200,"team_stats":{"Team":8,"Value":0.50}}',
+    '{"stat_category":"X","team_stats":{}}',
+    '[{"stat_category":"X","team_stats":{"Team":"T"}}]',
+    '{"stat_category":"X","team_stats":{"Team":"T"}',
+    '{"stat_category":"X","team_stats":[{"Team":"T"}]}',
+    '{"stat_category":"X","team_stats":{"Team":"a"},"team_stats":{"Team":"b"}}',
+    "{}",
+    "",
+]
+
+
+def test_odd_messages_parse_alike_step_by_step(spark):
+    assert len(flat(spark, *ODD)) >= 10
+
+
 def test_missing_payload_column(spark):
     frame = spark.createDataFrame([("X", '{"Team":"T","Value":"1"}')], "stat_category string, team_stats string")
     assert [r.Value for r in fl.flatten(frame).collect()] == ["1"]
