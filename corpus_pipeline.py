@@ -4,16 +4,31 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaderstream.llm import exact, mixing, packing
+from leaderstream.llm import exact, minhash, mixing, packing, toxicity
 from leaderstream.llm.queries import BYTE_BPE
-from leaderstream.llm.tables import kept, table
+from leaderstream.llm.tables import free_name, kept, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold, by a model of all documents and labels that there are."""
+    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    score = free_name(docs, "score")
+    return toxicity.scored(docs, model, column=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs).where("kept").select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; one with a NULL id stays only where it is in no group."""
+    groups = minhash.near_groups(docs)
+    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -22,7 +37,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path(BYTE_BPE))
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Toxicity is learned, so SQL can't express the result.
 ORACLE_SQL = None

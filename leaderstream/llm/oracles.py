@@ -45,4 +45,83 @@ SQL = {
         from documents
         window same as (partition by coalesce(text, ''))
     """,
+    "op5_warc": """
+        with payloads as (
+            select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex,
+                   max(page_id) over (partition by coalesce(html, '')) as first
+            from pages
+        ),
+        digits as (
+            select page_id, string_agg(
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              ((('0x' || substr(hex, 5 * (d // 4) + 1, 5))::bigint >> (15 - 5 * (d % 4))) & 31)::int + 1, 1),
+                       '' order by d) as payload_digest
+            from payloads, range(32) as digit(d)
+            group by page_id
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from payloads join digits using (page_id)
+    """,
+    "op7_embeddings": """
+        with recursive vectors as (
+            select vec_id, label, embedding::double[] as v, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n
+            from embeddings
+            where label is not null and embedding is not null and list_count(embedding) = len(embedding)
+                  and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+                  and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links as (
+            select a.vec_id as a, b.vec_id as b
+            from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+            where list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98
+        ),
+        reach(a, b) as (select vec_id, vec_id from embeddings union select reach.a, links.b from reach join links on reach.b = links.a)
+        select vec_id, (select count(*) from links where a = vec_id) as n_links, min(b) as component_id, min(b) = vec_id as kept
+        from embeddings join reach on vec_id = reach.a
+        group by vec_id
+    """,
+    "op4_minhash": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') as w
+            from documents
+        ),
+        shingles as (
+            select distinct doc_id, array_to_string(w[k:k + 3], ' ') as s
+            from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as k from words where len(w) > 0)
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        links as (
+            select a.doc_id as a, b.doc_id as b
+            from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+            join sizes m on a.doc_id = m.doc_id join sizes n on b.doc_id = n.doc_id
+            group by a.doc_id, b.doc_id, m.n, n.n
+            having 100 * count(*) >= 80 * (m.n + n.n - count(*))
+        ),
+        reach(a, b) as (select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a)
+        select doc_id, coalesce(any_value(sizes.n), 0) as n_shingles, min(b) as component_id, min(b) = doc_id as kept
+        from documents join reach on doc_id = reach.a left join sizes using (doc_id)
+        group by doc_id
+    """,
+    "op8_chat": r"""
+        with turns as (
+            select conv_id, turn, role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+            union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        joined as (
+            select conv_id, count(*) as n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns_text,
+                   coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
+                   sum(len(role) + len(text) + 9
+                       + len(regexp_extract_all(role, '[\\<\[\n]')) + len(regexp_extract_all(text, '[\\<\[]'))) as chars
+            from turns group by conv_id
+        )
+        select conv_id, n_turns, sha256(turns_text) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256,
+               chars::bigint as formatted_chars
+        from joined
+    """,
 }

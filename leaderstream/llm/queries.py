@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, token_blocks
+from leaderstream.session import shared_dir
+
+from . import chat, embeddings, exact, minhash, mixing, packing, secrets, token_blocks, toxicity, warc
 from .tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    held_out = toxicity.held_out().alias("held_out")
+    return toxicity.scored(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
@@ -23,18 +33,55 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read_warc(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = exact.exact_groups(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.vector_groups(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+#: A conversation that says control strings itself.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
+    return chat.digest(chat.formatted(turns.unionByName(hard)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.found(docs, secrets.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_blocks": op2_token_blocks,
     "op3_mixing": op3_mixing,
+    "op4_minhash": op4_minhash,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_embeddings": op7_embeddings,
+    "op8_chat": op8_chat,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
