@@ -53,9 +53,10 @@ def exact_groups(
             {copies: F.lit(None).cast("bigint"), best: F.lit(None).cast(dict(docs.dtypes)[doc_id])}
         )
     else:
-        hot = hot.toDF("_hot_hash", "_hot_sha", copies, best)
-        same = (F.col(hashed) == F.col("_hot_hash")) & (F.sha2(norm, 256) == F.col("_hot_sha"))
-        rows = rows.join(F.broadcast(hot), same, "left").drop("_hot_hash", "_hot_sha")
+        hot_hash, hot_sha = free_names(rows, ["_hot_hash", "_hot_sha"])
+        hot = hot.toDF(hot_hash, hot_sha, copies, best)
+        same = (F.col(hashed) == F.col(hot_hash)) & (F.sha2(norm, 256) == F.col(hot_sha))
+        rows = rows.join(F.broadcast(hot), same, "left").drop(hot_hash, hot_sha)
         rows = rows.withColumn(
             slice_, F.when(F.col(copies).isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(slices))).otherwise(F.lit(0))
         )
@@ -88,7 +89,7 @@ def _hot_texts(rows: DataFrame, norm: str, hashed: str, doc_id: str, end, tasks:
     largest = hot.agg(F.max("_n")).first()[0]
     if largest is None:
         return None, 1
-    few = rows.join(F.broadcast(hot.select(F.col(hashed).alias("_h"))), F.col(hashed) == F.col("_h"))
+    few = rows.join(F.broadcast(hot.select(hashed)), hashed, "left_semi")
     facts = few.groupBy(hashed, F.sha2(norm, 256).alias("_sha")).agg(
         F.count(F.lit(1)).alias("_copies"), end(doc_id).alias("_best")
     )

@@ -89,6 +89,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     key, slice_, place, tie = free_names(docs, ["_key", "_slice", "_place", "_tie"])
+    c_key, c_size, c_slice, rate, start = free_names(docs, ["_c_key", "_c_size", "_c_slice", "_rate", "_start"])
     # One text for each source, NULL apart from all others, that joins by plain equality.
     rows = docs.withColumns(
         {
@@ -126,15 +127,23 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         .withColumn("_start", F.col("_earlier") + F.col("_smaller"))
         .drop("_earlier", "_smaller")
     )
-    starts = kept(starts, "mixing-starts")
+    starts = kept(starts, "mixing-starts").select(
+        F.col("_c_key").alias(c_key),
+        F.col("_c_size").alias(c_size),
+        F.col("_c_slice").alias(c_slice),
+        F.col("_rate").alias(rate),
+        F.col("_start").alias(start),
+        "source_size",
+        "target",
+    )
     rank = W.partitionBy(key, "size", slice_).orderBy(F.col(doc_id).asc_nulls_first(), tie)
-    same = (F.col(key) == F.col("_c_key")) & (F.col("size") == F.col("_c_size")) & (F.col(slice_) == F.col("_c_slice"))
-    whole = lambda n: F.floor(n * F.col("_rate") + PHASE)
+    same = (F.col(key) == F.col(c_key)) & (F.col("size") == F.col(c_size)) & (F.col(slice_) == F.col(c_slice))
+    whole = lambda n: F.floor(n * F.col(rate) + PHASE)
     return (
         rows.join(starts, same)
-        .withColumn(place, F.col("_start") + F.row_number().over(rank))
+        .withColumn(place, F.col(start) + F.row_number().over(rank))
         .withColumn("copies", (whole(F.col(place)) - whole(F.col(place) - 1)).cast("int"))
-        .drop(key, slice_, place, tie, "_c_key", "_c_size", "_c_slice", "_start", "_rate")
+        .drop(key, slice_, place, tie, c_key, c_size, c_slice, start, rate)
     )
 
 
