@@ -8,12 +8,13 @@ are looked up. Texts with other runs of white space go to the tokenizer as a who
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _ENDS = ".,;:!?"
 
 
@@ -24,26 +25,54 @@ class _Odd(Exception):
 class _Words(dict):
     """Word to the bytes of its ids as 16-bit numbers; a word that begins with a line break has no space before it."""
 
-    def __init__(self, encode, one):
-        self.encode, self.one = encode, one
+    def __init__(self, tokenizer):
+        model, letters = tokenizer.model, _byte_letters()
+        space = letters[0x20]
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.ends: dict[str, bytes] = {}
+
+        def one(piece: str) -> bytes:
+            """Ids of a text that the pattern doesn't cut."""
+            return array("H", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        def spaced(word: str) -> bytes:
+            """The same for an ASCII word, with a space before it."""
+            return array("H", [t.id for t in model.tokenize(chr(space) + word)]).tobytes()
+
+        self.one, self.spaced = one, spaced
 
     def __missing__(self, word: str) -> bytes:
-        rest = word[1:] if word[:1] == "\n" else word
-        if not rest or rest[0].isspace() or rest[-1].isspace():
-            raise _Odd
-        ids = self.one("\n") + self.bare(rest) if rest is not word else self.bare(" " + word)
-        found = np.array(ids, dtype="<u2").tobytes()
+        core = word.rstrip(_ENDS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            if len(core) < len(word):
+                found = self[core] + self.end(word[len(core) :])
+            elif core.isascii():
+                found = self.spaced(core)
+            else:
+                found = self.one(" " + core)
+        else:
+            rest = word[1:] if word[:1] == "\n" else word
+            if not rest or rest[0].isspace() or rest[-1].isspace():
+                raise _Odd
+            found = self.one("\n") + self.bare(rest) if rest is not word else self.bare(" " + word)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = found
         return found
 
-    def bare(self, word: str) -> list[int]:
-        core = word.rstrip(_ENDS)
-        letters = core[1:] if core[:1] == " " else core
-        if letters.isalpha() and max(letters) < "ɐ":
-            return self.one(core) + (self.one(word[len(core) :]) if len(core) < len(word) else [])
-        return self.encode(word)
+    def end(self, marks: str) -> bytes:
+        if marks not in self.ends:
+            if len(self.ends) >= REMEMBERED:
+                self.ends.clear()
+            self.ends[marks] = self.one(marks)
+        return self.ends[marks]
+
+    def bare(self, text: str) -> bytes:
+        """Ids of a text as it is, without a space before it."""
+        core = text.rstrip(_ENDS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return self.one(core) + (self.end(text[len(core) :]) if len(core) < len(text) else b"")
+        return array("H", self.encode(text)).tobytes()
 
 
 class Encoder:
@@ -57,17 +86,7 @@ class Encoder:
         self.size = tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        model = tokenizer.model
-        letters = _byte_letters()
-
-        def encode(text: str) -> list[int]:
-            return tokenizer.encode(text, add_special_tokens=False).ids
-
-        def one(piece: str) -> list[int]:
-            """Ids of a text that the pattern doesn't cut."""
-            return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
-
-        self.words = _Words(encode, one)
+        self.words = _Words(tokenizer)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -76,10 +95,10 @@ class Encoder:
         try:
             if not words[0] or words[0].isspace() or text[0].isspace() or words[0][-1].isspace():
                 raise _Odd
-            first = np.array(self.words.bare(words[0]), dtype="<u2").tobytes()
-            return np.frombuffer(first + b"".join(map(self.words.__getitem__, words[1:])), dtype="<u2")
+            found = self.words.bare(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+            return np.frombuffer(found, dtype="=u2")
         except _Odd:
-            return np.array(self.words.encode(text), dtype="<u2")
+            return np.array(self.words.encode(text), dtype="=u2")
 
 
 def _byte_letters() -> dict[int, int]:
