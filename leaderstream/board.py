@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
 from leaderstream.operators import prompts, serving
 from leaderstream.operators.ranking import leaderboard, leaderboards
+from leaderstream.session import check_time_zone
 from leaderstream.streaming import ingest
 from leaderstream.streaming.epoch_log import EpochLog
 
@@ -18,6 +19,7 @@ class Board:
     """Ingest events, then list, rank, filter and export the metric tables."""
 
     def __init__(self, spark: SparkSession, root: str, metrics: Sequence[Metric] = METRICS, by: str = "number") -> None:
+        check_time_zone(spark)
         self.log = EpochLog(spark, root)
         self.metrics = metrics
         self.by = by
@@ -27,7 +29,7 @@ class Board:
 
     def stats(self, name: str | None = None) -> DataFrame:
         """Current rows of one table or of all."""
-        return self.log.state(None if name is None else [name])
+        return self.log.state(name)
 
     def tables(self, prefix: str = INDIVIDUAL) -> DataFrame:
         return serving.list_tables(self.log.read(), prefix)
@@ -52,12 +54,20 @@ class Board:
         return serving.snapshots(self.leaderboard(), prefix)
 
     def register_views(self) -> list[str]:
-        """Name every table as a view for ``spark.sql``."""
+        """Name every table as a view for ``spark.sql``, as of now: call again to follow the stream."""
+        state = self.stats()
         names = serving.table_names(self.log.read())
         for name in names:
-            serving.register_view(self.stats(name), name)
+            serving.register_view(state, name)
         return names
 
+    def ingest_views(self, messages: DataFrame, **trigger) -> StreamingQuery:
+        """``ingest``, with the views replaced after each epoch."""
+        return self.ingest(messages, after=lambda _: self.register_views(), **trigger)
+
+    def vacuum(self, retention_seconds: float = 3600) -> list[str]:
+        return self.log.vacuum(retention_seconds)
+
     def prompts(self, questions: DataFrame, category: str | None = None) -> DataFrame:
         best = leaderboards(self.stats(), self.metrics, self.by, rows=prompts.PROMPT_ROWS)
         return prompts.build_prompts(questions, serving.records(best), category)

@@ -11,9 +11,11 @@ _LEADING_NUMBER = r"^\s*([-+]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+
 
 
 def number(text: Column) -> Column:
-    """The whole text as a double; NULL when it is not a number."""
-    value = text.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """The whole text as a double; NULL when it is not a number.
+
+    A cast alone would also take type suffixes like ``10d``.
+    """
+    return F.when(text.rlike(_LEADING_NUMBER + r"\s*$"), text.try_cast("double"))
 
 
 def leading_number(text: Column) -> Column:

@@ -16,27 +16,30 @@ TEAM = "team"
 
 
 class Metric(NamedTuple):
+    """``safe_name`` is what ``naming.safe_name`` makes of ``name``."""
+
     name: str
+    safe_name: str
     individual_field: str | None
     team_field: str | None
     direction: str | None
 
 
-# Payload field per entity type and rank direction of each metric.
+# Table name part, payload field per entity type and rank direction of each metric.
 METRICS: tuple[Metric, ...] = (
-    Metric("Stolen Bases Per Game", "PG", "PG", "desc"),
-    Metric("Batting Average", "BA", "BA", "desc"),
-    Metric("Earned Run Average", "ERA", "ERA", "asc"),
-    Metric("Slugging Percentage", "SLG PCT", "SLG PCT", "desc"),
-    Metric("WHIP", "WHIP", "WHIP", "asc"),
-    Metric("Home Runs Per Game", "PG", "PG", "desc"),
-    Metric("On Base Percentage", "PCT", "PCT", "desc"),
-    Metric("Complete Games", "CG", "CG", "desc"),
-    Metric("Hits Allowed Per Nine Innings", "PG", "PG", "asc"),
-    Metric("Strikeouts Per Nine Innings", "K/9", "K/9", "desc"),
-    Metric("Walks Allowed Per Nine Innings", "PG", "PG", "asc"),
-    Metric("WL Pct", None, "PCT", "desc"),
-    Metric("Fielding Percentage", None, "PCT", "desc"),
+    Metric("Stolen Bases Per Game", "stolen_bases_per_game", "PG", "PG", "desc"),
+    Metric("Batting Average", "batting_average", "BA", "BA", "desc"),
+    Metric("Earned Run Average", "earned_run_average", "ERA", "ERA", "asc"),
+    Metric("Slugging Percentage", "slugging_percentage", "SLG PCT", "SLG PCT", "desc"),
+    Metric("WHIP", "whip", "WHIP", "WHIP", "asc"),
+    Metric("Home Runs Per Game", "home_runs_per_game", "PG", "PG", "desc"),
+    Metric("On Base Percentage", "on_base_percentage", "PCT", "PCT", "desc"),
+    Metric("Complete Games", "complete_games", "CG", "CG", "desc"),
+    Metric("Hits Allowed Per Nine Innings", "hits_allowed_per_nine_innings", "PG", "PG", "asc"),
+    Metric("Strikeouts Per Nine Innings", "strikeouts_per_nine_innings", "K/9", "K/9", "desc"),
+    Metric("Walks Allowed Per Nine Innings", "walks_allowed_per_nine_innings", "PG", "PG", "asc"),
+    Metric("WL Pct", "wl_pct", None, "PCT", "desc"),
+    Metric("Fielding Percentage", "fielding_percentage", None, "PCT", "desc"),
 )
 
 # Payload field of a metric that is not listed, rows per served
@@ -101,7 +104,7 @@ def table_name_of(metrics: Sequence[Metric], entity_type: Column, category: Colu
     Listed metrics take the name from a literal map: a regular expression per
     row would cost more than the rest of the plan.
     """
-    known = _lookup([(m.name, naming.safe_name_of(m.name)) for m in metrics], category)
+    known = _lookup([(m.name, m.safe_name) for m in metrics], category)
     return F.concat(entity_type, F.lit("_"), F.coalesce(known, naming.safe_name(category)))
 
 
@@ -115,10 +118,9 @@ def rank_direction(metrics: Sequence[Metric], table: Column) -> Column:
     """
     directions = {m.name: m.direction for m in metrics if m.direction}
     pairs = []
-    for name, direction in directions.items():
-        safe = naming.safe_name_of(name)
-        if naming.metric_name_of(safe) == name:
-            pairs += [(f"{INDIVIDUAL}_{safe}", direction), (f"{TEAM}_{safe}", direction)]
+    for m in metrics:
+        if m.direction:
+            pairs += [(f"{entity}_{m.safe_name}", m.direction) for entity in (INDIVIDUAL, TEAM)]
     return (
         F.when(naming.reads_as_whip(table), F.lit(directions.get("WHIP")))
         .when(unranked_individual(table), F.lit(None))

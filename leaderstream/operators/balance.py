@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over many tasks.
+# A key with more rows than this is spread over many tasks. There are at most
+# as many such keys as the rows divided by it: 10^12 rows have a million at most.
 HOT_KEY_ROWS = 1_000_000
-# At most this many hot keys are broadcast; any further key holds at most
-# 1 / (HOT_KEYS + 1) of all rows.
-HOT_KEYS = 4096
 _SALTS = 1 << 20
 
 
@@ -66,22 +64,18 @@ def with_key_facts(
     fact: str,
     spread_by: Sequence[str],
     hot_key_rows: int = HOT_KEY_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left-join one fact per key (see ``key_facts``) to the rows of that key.
 
-    The largest keys above ``hot_key_rows`` rows reach their rows by a broadcast
-    of at most ``hot_keys`` facts. Their rows, and rows with a NULL key, take a
+    Keys above ``hot_key_rows`` rows, however many, reach their rows by a
+    broadcast of one fact per so many rows at most. Their rows, and rows with a NULL key, take a
     salt from ``spread_by`` (columns that tell rows of one key apart) and so
     spread over the shuffle instead of meeting in one task. Every row comes out
     once.
     """
     keys = list(keys)
-    hot = (
-        facts.where(F.col("_n") > hot_key_rows)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.col(fact).alias("_hot"), F.col("_salt").alias("_hot_salt"))
+    hot = facts.where(F.col("_n") > hot_key_rows).select(
+        *keys, F.col(fact).alias("_hot"), F.col("_salt").alias("_hot_salt")
     )
     null_key = F.lit(False)
     for key in keys:

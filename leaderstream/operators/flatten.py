@@ -22,6 +22,9 @@ ENVELOPE = T.StructType(
     ]
 )
 
+# Bytes of a table name: it becomes a folder name, and file systems end at 255.
+MAX_NAME = 200
+
 PAYLOADS = {"player_stats": INDIVIDUAL, "team_stats": TEAM}
 
 STATS_COLUMNS = ["Name", "Team", "Cl", "Position", "Value"]
@@ -114,9 +117,9 @@ def null_key() -> Column:
 def judge_events(raw: DataFrame, metrics: Sequence[Metric] = METRICS, value: str = "value") -> DataFrame:
     """Every message as rows of ``flatten`` with its ``message`` and ``reason``.
 
-    ``reason`` is NULL for sound rows. It is ``bad_envelope``, ``no_payload`` or
-    ``no_category`` for messages that reach no table, and ``null_key`` for rows
-    that reach one without a usable key. Filter a persisted result, so that the
+    ``reason`` is NULL for sound rows. It is ``bad_envelope``, ``no_payload``,
+    ``no_category`` or ``bad_name`` (too long for a table) for messages that reach
+    no table, and ``null_key`` for rows that reach one without a usable key. Filter a persisted result, so that the
     messages are parsed once.
     """
     decoded = decode_envelopes(raw.withColumn("message", F.col(value).cast("string")), value)
@@ -129,14 +132,20 @@ def judge_events(raw: DataFrame, metrics: Sequence[Metric] = METRICS, value: str
     reason = (
         F.when(F.col("entity_type").isNull(), F.when(F.col("_empty"), "bad_envelope").otherwise("no_payload"))
         .when(F.col("stat_category").isNull(), "no_category")
+        .when(F.octet_length("table_name") > MAX_NAME, "bad_name")
         .when(null_key(), "null_key")
     )
     return rows.withColumn("reason", reason).drop("_empty")
 
 
-def accepted_rows(judged: DataFrame) -> DataFrame:
-    """Rows that belong to a table, a NULL key part allowed."""
-    return judged.where(F.col("table_name").isNotNull()).drop("message", "reason")
+def accepted_rows(judged: DataFrame, null_keys: str = "keep") -> DataFrame:
+    """Rows that belong to a table; with ``null_keys="reject"`` only those with a usable key."""
+    if null_keys not in ("keep", "reject"):
+        raise ValueError("null_keys is keep or reject")
+    sound = F.col("reason").isNull()
+    if null_keys == "keep":
+        sound = sound | (F.col("reason") == "null_key")
+    return judged.where(sound).drop("message", "reason")
 
 
 def rejected_events(judged: DataFrame) -> DataFrame:

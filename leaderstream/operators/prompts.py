@@ -130,17 +130,24 @@ def build_prompts(questions: DataFrame, records: DataFrame, category: str | None
     asked = requests.where("valid").select("question_id", "query", "type")
     if category:
         records = records.where(F.col("table_name") == category)
-    # One text per table, used three times below: worked out once.
+    # One text per table, used several times below: worked out once.
     sections = settled(table_sections(records))
     tables = sections.select("table_name")
-    placed = salted_join(relevant_tables(asked, tables), sections, ["table_name"], ["question_id"])
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda s: s["section"])
-    bodies = placed.groupBy("question_id").agg(F.array_join(joined, "\n\n").alias("_body"))
-    # question_id is unique, so neither side of this join can be skewed.
-    return requests.join(bodies, "question_id", "left").select(
+    picked = F.transform(F.array_sort(F.collect_list(F.struct("place", "table_name"))), lambda p: p["table_name"])
+    names = relevant_tables(asked, tables).groupBy("question_id").agg(picked.alias("_names"))
+    # Names travel with the question; the texts meet it last, behind all shuffles where Spark can
+    # broadcast them. question_id is unique, so neither side of this join can be skewed.
+    answered = requests.join(names, "question_id", "left")
+    texts = []
+    for place in range(PROMPT_TABLES):
+        texts.append(f"_text{place}")
+        one = sections.select(F.col("table_name").alias("_name"), F.col("section").alias(texts[-1]))
+        answered = answered.join(one, F.get("_names", F.lit(place)) == F.col("_name"), "left").drop("_name")
+    body = F.concat_ws("\n\n", *texts)
+    return answered.select(
         "question_id",
-        F.when(F.col("_body").isNotNull(), F.format_string(PROMPT, "query", "_body")).alias("prompt"),
+        F.when(F.col("_names").isNotNull(), F.format_string(PROMPT, F.col("query"), body)).alias("prompt"),
         F.when(~F.col("valid"), INVALID_REQUEST)
-        .when(F.col("_body").isNull(), F.format_string(NO_DATA, "type"))
+        .when(F.col("_names").isNull(), F.format_string(NO_DATA, "type"))
         .alias("message"),
     )

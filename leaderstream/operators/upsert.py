@@ -36,22 +36,19 @@ def resolve_batches(log: DataFrame, batch: str = "batch_id", spread_by: str = "o
     return kept.select(*log.columns)
 
 
-def anti_join_keys(state: DataFrame, batch: DataFrame, spread_by: str = "offset", **balance: int) -> DataFrame:
-    """State rows whose key does not occur in the batch (NULL keys never do)."""
-    marked = (
-        _keyed(state)
-        .select(*KEY, F.lit(0).alias("_in_batch"))
-        .unionByName(_keyed(batch).select(*KEY, F.lit(1).alias("_in_batch")))
-    )
-    in_batch = F.col("_in_batch")
-    facts = key_facts(marked, KEY, F.max(in_batch).alias("_replaced"), 1 - in_batch)
-    placed = with_key_facts(_keyed(state), facts, KEY, "_replaced", [spread_by], **balance)
-    return placed.where(F.coalesce(F.col("_replaced"), F.lit(0)) == 0).select(*state.columns)
-
-
-def apply_batch(state: DataFrame, batch: DataFrame, **balance: int) -> DataFrame:
+def anti_join_keys(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State rows whose key does not occur in the batch (NULL keys never do).
+
+    A plain join: Spark broadcasts the keys of a small batch, so that the state
+    stays where it is, and splits a hot key of the state otherwise.
+    """
+    replaced = _keyed(batch).select(*KEY).dropDuplicates()
+    return _keyed(state).join(replaced, KEY, "left_anti").select(*state.columns)
+
+
+def apply_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
     """One upsert step: drop the batch's keys from the state, append the batch."""
-    return anti_join_keys(state, batch, **balance).unionByName(batch)
+    return anti_join_keys(state, batch).unionByName(batch)
 
 
 def upsert_latest(log: DataFrame, order: Sequence[str] = LATEST) -> DataFrame:

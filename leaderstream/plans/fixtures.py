@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leaderstream.metrics import INDIVIDUAL, METRICS, STAT_PAGES, TEAM, table_name_of, value_field
 from leaderstream.operators.flatten import STATS, encode_events
+from leaderstream.session import shared_dir
 from leaderstream.sources.pages import page_url
 
 # Metric each event type stands for. ``Saves`` is in no dimension: unranked.
@@ -108,6 +109,21 @@ def team_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(team_rows(read(spark, sf_dir, "lineitem")))
 
 
+def message_files(messages: DataFrame, purpose: str) -> str:
+    """Messages in a fresh folder, one file for each of their few batches, written in order."""
+    spark = messages.sparkSession
+    path = shared_dir(spark, purpose)
+    for (batch,) in sorted(messages.select("batch_id").distinct().collect()):
+        one = messages.where(F.col("batch_id") == batch).select("value", "offset")
+        one.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def weekly(rows: DataFrame) -> DataFrame:
+    """Daily batches as batches of six days."""
+    return rows.withColumn("batch_id", F.floor(F.col("batch_id") / 6))
+
+
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as players, with values that mix numbers and words."""
     part = read(spark, sf_dir, "part").select(

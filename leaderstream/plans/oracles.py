@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leaderstream.metrics import STAT_PAGES
+from leaderstream.operators.prompts import INVALID_REQUEST, PROMPT, SECTION
 from leaderstream.plans.fixtures import EVENT_METRICS, LINE_METRICS
 
 
@@ -167,9 +168,10 @@ def _dump(columns: tuple[str, ...]) -> str:
 _IND_DUMP = _dump(("Name", "Team", "Cl", "Position", "Value"))
 _TEAM_DUMP = _dump(("Team", "Value"))
 
+_SECTION = SECTION.split("%s")
 _SECTIONS = f"""
 sections as (
-  select table_name, 'Category: ' || {_TITLE.format("replace(table_name, '_', ' ')")} || '\nData:\n[\n'
+  select table_name, '{_SECTION[0]}' || {_TITLE.format("replace(table_name, '_', ' ')")} || '{_SECTION[1]}[\n'
          || string_agg(record, ',\n' order by place) || '\n]' as section
   from (select table_name, place, {_IND_DUMP} as record from ind_number where place <= 20
         union all select table_name, place, {_TEAM_DUMP} as record from team_number where place <= 20)
@@ -193,6 +195,15 @@ _LATEST_IND = (
 qualify row_number() over (partition by table_name, "Name", "Team" order by event_time desc, "offset" desc) = 1"""
 )
 
+# Six days are a batch of the stream.
+_WEEKLY = "weekly as (select * replace (cast(batch_id // 6 as bigint) as batch_id) from ind)"
+_QUARANTINE = (
+    _with(_IND)
+    + """select case when k % 10 in (0, 1) then 'bad_envelope' when k % 10 = 2 then 'no_payload'
+            when k % 10 = 3 then 'no_category' when k % 10 = 4 or "Name" is null then 'null_key' end as reason,
+       count(*) as messages from ind group by 1 having reason is not null"""
+)
+
 SQL: dict[str, str] = {
     "envelope_parse": _with(_IND)
     + f"""select "offset", stat_category, 'player' as stat_type, event_time, {_IND_PAYLOAD} as player_stats,
@@ -202,10 +213,9 @@ SQL: dict[str, str] = {
     "payload_routing": _with(_IND, _TEAM)
     + f"""select 'individual' as entity_type, "offset", stat_category, {_IND_PAYLOAD} as payload from ind
 union all select 'team' as entity_type, "offset", stat_category, {_TEAM_PAYLOAD} as payload from team""",
-    "quarantine_counts": _with(_IND)
-    + """select case when k % 10 in (0, 1) then 'bad_envelope' when k % 10 = 2 then 'no_payload'
-            when k % 10 = 3 then 'no_category' when k % 10 = 4 or "Name" is null then 'null_key' end as reason,
-       count(*) as messages from ind group by 1 having reason is not null""",
+    "quarantine_counts": _QUARANTINE,
+    "column_guard": _with(_IND) + f'select "offset", {_PLAYER} from ind',
+    "empty_table": _with(_TEAM) + 'select "offset", table_name, "Team", "Value" from team',
     "batch_categories": _with(_IND, _TEAM)
     + """select distinct 'individual' as entity_type, batch_id, stat_category from ind
 union all select distinct 'team' as entity_type, batch_id, stat_category from team""",
@@ -292,17 +302,10 @@ union all select category, 1 as version, snapshot from first_ where not starts_w
   select question_id, string_agg(section, '
 
 ' order by place) as body from picks join sections using (table_name) group by question_id)
-select question_id, case when body is not null then '
-You are a helpful NCAA D1 baseball recruiter assistant.
-
-A recruiter asked: "' || query || '"
-
-Here are relevant stats from multiple categories:
-' || body || '
-
-Answer clearly and professionally using this data.
-' end as prompt,
-case when body is null then 'Please select a valid stat type and ask a question.' end as message
+select question_id, case when body is not null then """
+    + "'{}' || query || '{}' || body || '{}'".format(*PROMPT.split("%s"))
+    + f""" end as prompt,
+case when body is null then '{INVALID_REQUEST}' end as message
 from requests left join bodies using (question_id)""",
     "html_table_rows": _with(_LINKS) + 'select page_id, row_no, "Name", "Team", "BA" from html_rows',
     "page_events": _with(_LINKS)
@@ -343,9 +346,13 @@ select 'https://www.example.com' || path || case when page_no > 1 then '/p' || c
        || cast(to_json("Team") as varchar) || ',"BA":"' || "BA" || '"}}}}' as value
 from (select *, case entity when 'team' then 'team' else 'player' end as kind
       from newest join first_gap using (path) join html_rows using (page_id) where page_no < stop)""",
-    "stream_upsert": _UPSERT_IND,
+    "stream_upsert": _with(_IND, _WEEKLY)
+    + f'''select "offset", {_PLAYER}, batch_id from weekly
+qualify rank() over (partition by table_name, "Name", "Team" order by batch_id desc) = 1
+     or "Name" is null or "Team" is null''',
     "stream_upsert_team": _UPSERT_TEAM,
     "stream_latest": _LATEST_IND,
+    "stream_rejects": _QUARANTINE,
     "stream_snapshots": _with(
         _IND,
         _TEAM,

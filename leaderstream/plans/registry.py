@@ -53,6 +53,17 @@ def quarantine_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rejected.groupBy("reason").agg(F.count("*").alias("messages"))
 
 
+def column_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Envelopes that lack one payload column still give the rows of the other."""
+    decoded = fl.decode_envelopes(fx.player_messages(spark, sf)).drop("team_stats")
+    return fl.flatten(decoded).select("offset", *PLAYER)
+
+
+def empty_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed empty table, as the state that the first batch meets."""
+    return upsert.apply_batch(fl.empty_stats(spark), fx.teams(spark, sf)).select("offset", "table_name", "Team", "Value")
+
+
 def batch_categories(spark: SparkSession, sf: str) -> DataFrame:
     both = fx.players(spark, sf).unionByName(fx.teams(spark, sf))
     return both.select("entity_type", "batch_id", "stat_category").distinct()
@@ -141,7 +152,7 @@ def rank_numeric(spark: SparkSession, sf: str) -> DataFrame:
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: messages parsed into a log, upserted and ranked."""
     log = EpochLog(spark, shared_dir(spark, "leaderboard"))
-    log.append(fl.flatten(fl.decode_envelopes(fx.player_messages(spark, sf))), 0)
+    log.append(fl.flatten(fl.decode_envelopes(fx.player_messages(spark, sf))), 0, batch="batch_id")
     return ranking.leaderboards(log.state()).select(*PLAYER, "Rank")
 
 
@@ -259,43 +270,55 @@ def scrape_events(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("url", "page_no", "row_no", "value")
 
 
-# Streams
+# Streams: one file, and so one epoch, for each batch
 
 
-def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return messages.table_stream(spark, f"{sf}/{table}.parquet")
+def _player_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.weekly(fx.player_rows(fx.read(spark, sf, "events")))
+    return messages.table_stream(spark, fx.message_files(fx.messages(rows), "player-messages"), max_files=1)
 
 
-def _ingested(spark: SparkSession, source: DataFrame, purpose: str) -> EpochLog:
+def _team_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.team_rows(fx.read(spark, sf, "lineitem"))
+    return messages.table_stream(spark, fx.message_files(fx.messages(rows), "team-messages"), max_files=1)
+
+
+def _ingested(spark: SparkSession, source: DataFrame, purpose: str, **options) -> EpochLog:
     log = EpochLog(spark, shared_dir(spark, purpose))
-    ingest.start_ingest(source, log, available_now=True).awaitTermination()
+    ingest.start_ingest(source, log, available_now=True, **options).awaitTermination()
     return log
 
 
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    source = fx.messages(fx.player_rows(_stream(spark, sf, "events")))
-    state = _ingested(spark, source, "stream-upsert").state()
+    state = _ingested(spark, _player_stream(spark, sf), "stream-upsert", compact_every=2).state()
     return state.select("offset", *PLAYER, "batch_id")
 
 
 def stream_upsert_team(spark: SparkSession, sf: str) -> DataFrame:
-    source = fx.messages(fx.team_rows(_stream(spark, sf, "lineitem")))
-    log = _ingested(spark, source, "stream-upsert-team")
-    log.compact(full=True)
-    return log.state().select("offset", "table_name", "Team", "Value", "batch_id")
+    options = {"compact_every": 2, "full_every": 4, "retention_seconds": 0}
+    state = _ingested(spark, _team_stream(spark, sf), "stream-upsert-team", **options).state()
+    return state.select("offset", "table_name", "Team", "Value", "batch_id")
 
 
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
-    source = fx.messages(fx.player_rows(_stream(spark, sf, "events")))
     log = EpochLog(spark, shared_dir(spark, "stream-latest"))
-    rows = fl.flatten(fl.decode_envelopes(source))
-    latest.start_latest(rows, log, available_now=True).awaitTermination()
+    for query in latest.start_latest_events(_player_stream(spark, sf), log, available_now=True, compact_every=3):
+        query.awaitTermination()
     return log.state().select(*PLAYER, _time(), "offset")
 
 
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    log = EpochLog(spark, shared_dir(spark, "stream-rejects"))
+    damaged = fx.damaged_messages(spark, sf).withColumn("batch_id", F.col("offset") % 4)
+    source = messages.table_stream(spark, fx.message_files(damaged, "damaged-messages"), max_files=1)
+    for query in latest.start_latest_events(source, log, available_now=True):
+        query.awaitTermination()
+    rejects = spark.read.parquet(f"{log.root}/rejects")
+    return rejects.groupBy("reason").agg(F.count("*").alias("messages"))
+
+
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    source = fx.messages(fx.team_rows(_stream(spark, sf, "lineitem")))
-    log = _ingested(spark, source, "stream-snapshots")
+    log = _ingested(spark, _team_stream(spark, sf), "stream-snapshots")
     path = f"{log.root}/snapshots"
     ingest.publish_snapshots(log, path, 1, prefix=TEAM)
     return serving.latest_snapshots(spark.read.parquet(path))
@@ -309,6 +332,8 @@ QUERIES: dict[str, Query] = {
         payload_flatten_team,
         payload_routing,
         quarantine_counts,
+        column_guard,
+        empty_table,
         batch_categories,
         event_out,
         table_names,
@@ -341,6 +366,7 @@ QUERIES: dict[str, Query] = {
         stream_upsert,
         stream_upsert_team,
         stream_latest,
+        stream_rejects,
         stream_snapshots,
     )
 }

@@ -25,6 +25,13 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def check_time_zone(spark: SparkSession) -> None:
+    """Times are text in UTC, so the session has to be too."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, not {zone}")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 

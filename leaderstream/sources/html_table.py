@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,36 +34,40 @@ class _FirstTable(HTMLParser):
     """Collects header cells and rows of the first table, nested ones included.
 
     A cell belongs to every row it lies in, and its text is all text inside it.
-    An end tag closes everything opened since its start tag.
+    An end tag closes everything opened since its start tag. There is one
+    running text; a cell is a stretch of it and a row a stretch of the cells,
+    so that elements without an end tag cost no more than others.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str] | None]] = []
+        # Tag and cell or row of each open element; how often each tag is open.
+        self.open: list[tuple[str, list[int] | None]] = []
+        self.depth: Counter[str] = Counter()
+        self.hidden = 0
         self.table_at: int | None = None
-        self.headers: list[list[str]] = []
-        self.rows: list[list[list[str]]] = []
-        self.open_rows: list[tuple[int, list[list[str]]]] = []
+        self.parts: list[str] = []
+        self.length = 0
+        self.headers: list[list[int]] = []
+        self.cells: list[list[int]] = []
+        self.rows: list[list[int]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
-        text: list[str] | None = None
+        stretch: list[int] | None = None
         if self.table_at is None:
             if tag == "table":
                 self.table_at = len(self.open)
         elif tag == "tr":
-            row: list[list[str]] = []
-            self.rows.append(row)
-            self.open_rows.append((len(self.open), row))
-        elif tag == "th":
-            text = []
-            self.headers.append(text)
-        elif tag == "td":
-            text = []
-            for _, row in self.open_rows:
-                row.append(text)
-        self.open.append((tag, text))
+            stretch = [len(self.cells), -1]
+            self.rows.append(stretch)
+        elif tag in ("th", "td"):
+            stretch = [self.length, -1]
+            (self.headers if tag == "th" else self.cells).append(stretch)
+        self.open.append((tag, stretch))
+        self.depth[tag] += 1
+        self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -70,25 +75,31 @@ class _FirstTable(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if all(name != tag for name, _ in self.open):
+        if not self.depth[tag]:
             return
-        while self.open.pop()[0] != tag:
-            pass
-        while self.open_rows and self.open_rows[-1][0] >= len(self.open):
-            self.open_rows.pop()
+        while True:
+            name, stretch = self.open.pop()
+            self.depth[name] -= 1
+            self.hidden -= name in HIDDEN
+            if stretch:
+                stretch[1] = len(self.cells) if name == "tr" else self.length
+            if name == tag:
+                break
         if self.table_at is not None and len(self.open) <= self.table_at:
             raise _TableClosed
 
     def handle_data(self, data):
-        if self.table_at is None or any(name in HIDDEN for name, _ in self.open):
-            return
-        for _, text in self.open:
-            if text is not None:
-                text.append(data)
+        if self.table_at is not None and not self.hidden:
+            self.parts.append(data)
+            self.length += len(data)
+
 
+def first_table(html: str | None, whole: bool = True) -> dict | None:
+    """``headers`` and ``rows`` (the first row left out) of a page's first table.
 
-def first_table(html: str | None) -> dict | None:
-    """``headers`` and ``rows`` (the first row left out) of a page's first table."""
+    Unless ``whole``, rows whose number of cells is not that of the headers are
+    empty lists: their texts are not worked out.
+    """
     if html is None:
         return None
     parser = _FirstTable()
@@ -99,19 +110,25 @@ def first_table(html: str | None) -> dict | None:
         pass
     if parser.table_at is None:
         return None
+    running = "".join(parser.parts)
+
+    def text(stretch):
+        begin, end = stretch
+        return running[begin : end if end >= 0 else None].strip()
 
-    def text(parts):
-        return "".join(parts).strip()
+    def row(stretch):
+        begin, end = stretch
+        end = end if end >= 0 else len(parser.cells)
+        if not whole and end - begin != len(parser.headers):
+            return []
+        return [text(c) for c in parser.cells[begin:end]]
 
-    return {
-        "headers": [text(h) for h in parser.headers],
-        "rows": [[text(c) for c in row] for row in parser.rows[1:]],
-    }
+    return {"headers": [text(h) for h in parser.headers], "rows": [row(r) for r in parser.rows[1:]]}
 
 
 @F.pandas_udf(TABLE_TYPE)
 def _first_tables(html: pd.Series) -> pd.DataFrame:
-    tables = [first_table(h) for h in html]
+    tables = [first_table(h, whole=False) for h in html]
     return pd.DataFrame(
         {
             "headers": [t and t["headers"] for t in tables],

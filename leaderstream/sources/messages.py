@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +18,20 @@ def topic_stream(
     ``minPartitions`` to split a hot topic partition over several tasks, and
     ``maxOffsetsPerTrigger`` to bound a batch.
     """
-    reader = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", starting_offsets)
-    )
-    for key, value in options.items():
-        reader = reader.option(key, value)
+    reader = spark.readStream.format("kafka").options(**topic_reader(servers, topic, starting_offsets, **options))
     return reader.load().select("value", "partition", "offset")
 
 
+def topic_reader(servers: str, topic: str, starting_offsets: str = "earliest", **options: str) -> dict[str, str]:
+    """All options of a reader; given ones go over the others."""
+    return {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "startingOffsets": starting_offsets,
+        **options,
+    }
+
+
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Messages from text files, one per line, as files appear in a folder."""
     reader = spark.readStream.format("text")
@@ -36,12 +41,16 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Rows from parquet files as they appear at a path."""
+    """Rows from parquet files as they appear at a path, a folder or a single file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    # Readers take a path for a pattern.
+    path = re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    # As a pattern the path may be a folder or a single file; a plain path must be a folder.
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    # A stream reads folders and what a pattern matches, so a file has to look like a pattern.
+    return reader.parquet(path if folder else f"{path[:-1]}[{path[-1]}]")
 
 
 def write_topic(events: DataFrame, servers: str, topic: str) -> None:

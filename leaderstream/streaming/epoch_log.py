@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,34 +21,37 @@ class EpochLog:
     into ``<root>/folds/upto=N``, at the cost of those epochs; a full one folds
     everything into ``<root>/bases/upto=N``. Readers take the newest base, the
     folds after it and the epochs after those. A folder counts once its
-    ``_SUCCESS`` marker is there.
+    ``_SUCCESS`` marker is there. ``vacuum`` deletes what is folded.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _committed(self, kind: str) -> list[tuple[int, str]]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        """Numbers and folders, from one listing."""
+        path, fs = self._path(f"{self.root}/{kind}/*=*/_SUCCESS")
+        found = fs.globStatus(path)
+        if found is None:
             return []
-        found = []
-        for status in fs.listStatus(path):
-            numbered = re.search(r"=(\d+)$", status.getPath().getName())
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if numbered and fs.exists(marker):
-                found.append((int(numbered.group(1)), status.getPath().toString()))
-        return sorted(found)
+        # The whole list as one text: a call for each folder would take most of the time.
+        paths = self.spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)
+        text = self.spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(paths)
+        folders = re.findall(r"(?:^\{|(?<=/_SUCCESS),)(.*?=(\d+))/_SUCCESS(?=,|\}$)", text)
+        return sorted((int(number), folder) for folder, number in folders)
 
     def _write(self, rows: DataFrame, path: str) -> None:
         # Rebalancing gives few files per table and still splits a hot table.
         rows.hint("rebalance", "table_name").write.mode("overwrite").partitionBy("table_name").parquet(path)
 
-    def append(self, rows: DataFrame, epoch: int) -> None:
-        """Write one batch. ``batch_id`` is the epoch unless the rows carry one."""
-        if "batch_id" not in rows.columns:
-            rows = rows.withColumn("batch_id", F.lit(epoch).cast("bigint"))
+    def append(self, rows: DataFrame, epoch: int, batch: str | None = None) -> None:
+        """Write one batch: the epoch, or what the column ``batch`` says, is the ``batch_id`` of its rows."""
+        number = F.lit(epoch) if batch is None else F.col(batch)
+        rows = rows.withColumn("batch_id", number.cast("bigint"))
         if "offset" not in rows.columns:
             rows = rows.withColumn("offset", F.monotonically_increasing_id())
         self._write(rows.select(*STATS.fieldNames()), f"{self.root}/epochs/epoch={epoch}")
@@ -78,10 +81,14 @@ class EpochLog:
         """All rows that may still count, unresolved."""
         return self._read(self._parts())
 
-    def state(self, tables: Sequence[str] | None = None) -> DataFrame:
-        """The current rows of the given tables, whose folders alone are read, or of all."""
+    def state(self, table: str | None = None, tables: DataFrame | None = None) -> DataFrame:
+        """The current rows of one table, whose folders alone are read, of the ``table_name`` of ``tables``, or of all."""
         log = self.read()
-        return resolve_batches(log if tables is None else log.where(F.col("table_name").isin(*tables)))
+        if table is not None:
+            log = log.where(F.col("table_name") == table)
+        if tables is not None:
+            log = log.join(tables.select("table_name").distinct(), "table_name", "left_semi")
+        return resolve_batches(log)
 
     def compact(self, full: bool = False) -> int | None:
         """Fold the epochs since the last time, or all there is; returns the last one.
@@ -100,3 +107,29 @@ class EpochLog:
             return None
         self._write(resolve_batches(self._read({"epochs": parts["epochs"]})), f"{self.root}/folds/upto={upto}")
         return upto
+
+    def vacuum(self, retention_seconds: float = 3600) -> list[str]:
+        """Delete folders that a fold or base holds since ``retention_seconds``; returns them.
+
+        Readers that began before that may still read them.
+        """
+        parts = {kind: self._committed(kind) for kind in ("bases", "folds", "epochs")}
+        before = (time.time() - retention_seconds) * 1000
+
+        def settled(kind: str) -> int:
+            """The last number of this kind that is old enough."""
+            for number, folder in reversed(parts[kind]):
+                marker, fs = self._path(f"{folder}/_SUCCESS")
+                if fs.getFileStatus(marker).getModificationTime() <= before:
+                    return number
+            return -1
+
+        base = settled("bases")
+        fold = max(base, settled("folds"))
+        gone = [f for n, f in parts["bases"] if n < base]
+        gone += [f for n, f in parts["folds"] if n <= base]
+        gone += [f for n, f in parts["epochs"] if n <= fold]
+        for folder in gone:
+            path, fs = self._path(folder)
+            fs.delete(path, True)
+        return gone

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
 from leaderstream.operators.flatten import accepted_rows, judge_events, rejected_events
 from leaderstream.operators.ranking import leaderboards
-from leaderstream.operators.serving import snapshots, table_names
+from leaderstream.operators.serving import snapshots
+from leaderstream.session import check_time_zone
 from leaderstream.streaming.epoch_log import EpochLog
 
 
@@ -20,44 +21,65 @@ def ingest_batch(
     metrics: Sequence[Metric] = METRICS,
     compact_every: int | None = None,
     snapshots_to: str | None = None,
+    full_every: int | None = None,
+    retention_seconds: float = 3600,
+    null_keys: str = "keep",
+    after: Callable[[int], object] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """The callback of one micro-batch: its rows to the log, its rejects aside."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         judged = judge_events(batch, metrics).persist()
         try:
-            if judged.isEmpty():
-                return
-            log.append(accepted_rows(judged), epoch)
-            rejects = rejected_events(judged).select("event_time", "message", "reason")
-            rejects.write.mode("overwrite").parquet(f"{log.root}/rejects/epoch={epoch}")
-            if snapshots_to:
-                publish_snapshots(log, snapshots_to, epoch, metrics, "", table_names(judged))
+            if not judged.isEmpty():
+                log.append(accepted_rows(judged, null_keys), epoch)
+                write_rejects(judged, log, epoch)
+                if snapshots_to:
+                    publish_snapshots(log, snapshots_to, epoch, metrics, "", accepted_rows(judged))
         finally:
             judged.unpersist()
-        if compact_every and (epoch + 1) % compact_every == 0:
-            log.compact()
+        fold(log, epoch, compact_every, full_every, retention_seconds)
+        if after:
+            after(epoch)
 
     return write
 
 
+def write_rejects(judged: DataFrame, log: EpochLog, epoch: int) -> None:
+    rejects = rejected_events(judged).select("event_time", "message", "reason")
+    rejects.write.mode("overwrite").parquet(f"{log.root}/rejects/epoch={epoch}")
+
+
+def fold(
+    log: EpochLog, epoch: int, compact_every: int | None, full_every: int | None, retention_seconds: float
+) -> None:
+    """After every so many epochs, empty ones included: fold, and delete what has long been folded."""
+    full = bool(full_every) and (epoch + 1) % full_every == 0
+    if full or (compact_every and (epoch + 1) % compact_every == 0):
+        log.compact(full)
+        log.vacuum(retention_seconds)
+
+
 def start_ingest(
     messages: DataFrame,
     log: EpochLog,
     metrics: Sequence[Metric] = METRICS,
     processing_time: str | None = None,
     available_now: bool = False,
-    compact_every: int | None = None,
-    snapshots_to: str | None = None,
+    **options,
 ) -> StreamingQuery:
     """Run a stream of messages (``value`` and, if known, ``offset``) into the log.
 
-    The checkpoint lies next to the log, so the two cannot drift apart. Give
-    ``compact_every`` to fold the epochs after every so many of them, and
-    ``snapshots_to`` to publish the tables each epoch changed.
+    The checkpoint lies next to the log, so the two cannot drift apart.
+    ``options`` are those of ``ingest_batch``: ``compact_every`` folds the epochs
+    since the last time and ``full_every`` everything, each after so many
+    epochs, ``retention_seconds`` later folded folders go, ``snapshots_to``
+    publishes the tables each epoch changed, ``null_keys="reject"`` keeps rows
+    without a usable key out of the tables, and ``after`` is called with each epoch.
     """
+    check_time_zone(messages.sparkSession)
     writer = (
-        messages.writeStream.foreachBatch(ingest_batch(log, metrics, compact_every, snapshots_to))
+        messages.writeStream.foreachBatch(ingest_batch(log, metrics, **options))
         .outputMode("append")
         .option("checkpointLocation", f"{log.root}/checkpoint")
     )
@@ -74,10 +96,10 @@ def publish_snapshots(
     version: int,
     metrics: Sequence[Metric] = METRICS,
     prefix: str = INDIVIDUAL,
-    tables: Sequence[str] | None = None,
+    changed: DataFrame | None = None,
 ) -> None:
-    """Write the current JSON document of every table, or of ``tables``, as one version."""
-    documents = snapshots(leaderboards(log.state(tables), metrics), prefix)
+    """Write the current JSON document of every table, or of those in ``changed``, as one version."""
+    documents = snapshots(leaderboards(log.state(tables=changed), metrics), prefix)
     documents.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
         f"{path.rstrip('/')}/run={version}"
     )

@@ -17,37 +17,37 @@ def one(spark, column, text):
 )
 def test_safe_name(spark, text, wanted):
     assert one(spark, naming.safe_name, text) == wanted
-    if text is not None:
-        assert naming.safe_name_of(text) == wanted
-
-
-TABLES = [
-    "individual_batting_average",
-    "team_wl_pct",
-    "team_wlpct_x",
-    "individual_wl_pct",
-    "individual_whips",
-    "individual_my_whip_2",
-    "individual_awhip",
-    "team_awl_pct",
-    "team_k_9__x",
-    "team_9abc_d",
-    "individual_wl_pct_whip",
-    "team_saves",
-    "individual_hits_allowed_per_nine_innings",
-]
-
-
-@pytest.mark.parametrize("table", TABLES)
-def test_metric_and_direction(spark, table):
-    base = table.split("_", 1)[1]
-    metric = naming.metric_name_of(base)
+def test_stated_names_are_the_safe_ones(spark):
+    names = spark.createDataFrame([(m.name, m.safe_name) for m in METRICS], "name string, wanted string")
+    assert names.where(naming.safe_name(F.col("name")) != F.col("wanted")).count() == 0
+    # A table of a listed metric reads as that metric, so its direction may be looked up by name.
+    tables = names.withColumn("table", F.concat(F.lit("team_"), "wanted"))
+    assert tables.where(naming.metric_name(F.col("table")) != F.col("name")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("table", "metric", "title", "unranked", "direction"),
+    [
+        ("individual_batting_average", "Batting Average", "Individual Batting Average", False, "desc"),
+        ("team_wl_pct", "WL Pct", "Team Wl Pct", False, "desc"),
+        ("team_wlpct_x", "WL Pct", "Team Wlpct X", False, "desc"),
+        ("individual_wl_pct", "WL Pct", "Individual Wl Pct", True, None),
+        ("individual_whips", "WHIP", "Individual Whips", False, "asc"),
+        ("individual_my_whip_2", "WHIP", "Individual My Whip 2", False, "asc"),
+        ("individual_awhip", "Awhip", "Individual Awhip", False, None),
+        ("team_awl_pct", "Awl Pct", "Team Awl Pct", False, None),
+        ("team_k_9__x", "K 9  X", "Team K 9  X", False, None),
+        ("team_9abc_d", "9Abc D", "Team 9Abc D", False, None),
+        ("individual_wl_pct_whip", "WHIP", "Individual Wl Pct Whip", False, "asc"),
+        ("team_saves", "Saves", "Team Saves", False, None),
+        ("individual_hits_allowed_per_nine_innings", "Hits Allowed Per Nine Innings", "Individual Hits Allowed Per Nine Innings", False, "asc"),
+    ],
+)
+def test_metric_and_direction(spark, table, metric, title, unranked, direction):
     assert one(spark, naming.metric_name, table) == metric
-    assert one(spark, naming.display_title, table) == table.replace("_", " ").title()
-    unranked = metric == "WL Pct" and table.startswith("individual_")
+    assert one(spark, naming.display_title, table) == title
     assert one(spark, unranked_individual, table) == unranked
-    wanted = None if unranked else {m.name: m.direction for m in METRICS}.get(metric)
-    assert one(spark, lambda t: rank_direction(METRICS, t), table) == wanted
+    assert one(spark, lambda t: rank_direction(METRICS, t), table) == direction
 
 
 def test_labels(spark):
@@ -94,7 +94,20 @@ def test_leading_number(spark, text, wanted):
 
 
 @pytest.mark.parametrize(
-    ("text", "wanted"), [(".345", 0.345), ("10.00", 10.0), ("-", None), ("NaN", None), ("1 x", None), (None, None)]
+    ("text", "wanted"), [
+        (".345", 0.345),
+        ("10.00", 10.0),
+        (" 5. ", 5.0),
+        ("-1e3", -1000.0),
+        ("Infinity", math.inf),
+        ("10d", None),
+        ("5f", None),
+        ("0x1p3", None),
+        ("-", None),
+        ("NaN", None),
+        ("1 x", None),
+        (None, None),
+    ],
 )
 def test_number(spark, text, wanted):
     assert one(spark, values.number, text) == wanted

@@ -16,45 +16,74 @@ def records_of(names):
     ]
 
 
-def expected(query, kind, names):
-    """The texts worked out one question at a time."""
-    query, kind = query.strip(), kind.strip().lower()
-    if not query or kind not in ("individual", "team"):
-        return None, prompts.INVALID_REQUEST
-    mine = sorted(n for n in names if n.startswith(kind))
-    if not mine:
-        return None, f"No data found for {kind} stats."
-    mine.sort(key=lambda n: -sum(w in n for w in query.lower().split()))
-    parts = []
-    for n in mine[:5]:
-        rows = [{k: v for k, v in json.loads(r).items() if k != "Rank"} for t, p, r in records_of([n]) if p <= 20]
-        parts.append(f"Category: {n.replace('_', ' ').title()}\nData:\n{json.dumps(rows, indent=2)}")
-    body = "\n\n".join(parts)
-    return prompts.PROMPT % (query, body), None
+# The first 20 records as they stand in a prompt.
+DATA = ",\n".join(
+    f"  {{\n    \"Name\": \"\\u00fc{p}\",\n    \"Value\": null\n  }}" if p % 2 else f"  {{\n    \"Name\": \"N{p}\",\n    \"Value\": \"1\"\n  }}"
+    for p in range(1, 21)
+)
 
 
+def text(question, *titles):
+    sections = "\n\n".join(f"Category: {title}\nData:\n[\n{DATA}\n]" for title in titles)
+    return f"""
+You are a helpful NCAA D1 baseball recruiter assistant.
+
+A recruiter asked: "{question}"
+
+Here are relevant stats from multiple categories:
+{sections}
+
+Answer clearly and professionally using this data.
+"""
+
+
+LONG = " ".join(["whip"] * 300) + " hits"
 QUESTIONS = [
     ("  Who has the best ERA or whip whip?", "individual"),
-    ("a e i o u   r r r 100%s", " Individual "),
+    ("a e i o u   r r r 100%s", " Individual "),
     ("zzz", "TEAM"),
     ("era", "team"),
     ("   ", "team"),
     ("era", "players"),
-    (" ".join(["whip"] * 300) + " hits", "individual"),
+    (LONG, "individual"),
 ]
+INDIVIDUAL = {
+    0: text("Who has the best ERA or whip whip?", "Individual Batting Average", "Individual Era", "Individual Whip", "Individual Complete Games", "Individual Hits"),
+    1: text("a e i o u   r r r 100%s", "Individual Batting Average", "Individual Era", "Individual Runs", "Individual Complete Games", "Individual On Base"),
+    6: text(LONG, "Individual Whip", "Individual Hits", "Individual Batting Average", "Individual Complete Games", "Individual Era"),
+}
+TEAM = {2: text("zzz", "Team Era", "Team Whip"), 3: text("era", "Team Era", "Team Whip")}
+INVALID = "Please select a valid stat type and ask a question."
+NO_TEAM, NO_INDIVIDUAL = "No data found for team stats.", "No data found for individual stats."
 
 
-@pytest.mark.parametrize("names", [NAMES, NAMES[:7], []])
-def test_prompts(spark, names):
+@pytest.mark.parametrize(
+    ("names", "texts", "messages"),
+    [
+        (NAMES, INDIVIDUAL | TEAM, {4: INVALID, 5: INVALID}),
+        (NAMES[:7], INDIVIDUAL, {2: NO_TEAM, 3: NO_TEAM, 4: INVALID, 5: INVALID}),
+        ([], {}, {0: NO_INDIVIDUAL, 1: NO_INDIVIDUAL, 2: NO_TEAM, 3: NO_TEAM, 4: INVALID, 5: INVALID, 6: NO_INDIVIDUAL}),
+    ],
+)
+def test_prompts(spark, names, texts, messages):
     asked = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(QUESTIONS)], "question_id int, query string, type string")
     records = spark.createDataFrame(records_of(names), "table_name string, place int, record string")
     got = {r.question_id: (r.prompt, r.message) for r in prompts.build_prompts(asked, records).collect()}
-    assert got == {i: expected(q, t, names) for i, (q, t) in enumerate(QUESTIONS)}
+    assert got == {i: (texts.get(i), messages.get(i)) for i in range(len(QUESTIONS))}
 
 
 def test_one_category(spark):
     asked = spark.createDataFrame([(1, "x", "team"), (2, "x", "individual")], "question_id int, query string, type string")
     records = spark.createDataFrame(records_of(NAMES), "table_name string, place int, record string")
     got = {r.question_id: (r.prompt, r.message) for r in prompts.build_prompts(asked, records, "team_era").collect()}
-    assert got[1] == expected("x", "team", ["team_era"])
-    assert got[2] == (None, "No data found for individual stats.")
+    assert got == {1: (text("x", "Team Era"), None), 2: (None, NO_INDIVIDUAL)}
+
+
+def test_no_section_text_in_a_shuffle(spark):
+    asked = spark.createDataFrame([(1, "x", "team")], "question_id int, query string, type string")
+    records = spark.createDataFrame(records_of(NAMES), "table_name string, place int, record string")
+    frame = prompts.build_prompts(asked, records)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("section" in line or "_text" in line for line in shuffles)

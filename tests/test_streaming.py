@@ -1,11 +1,12 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from test_upsert import literal_fold, some_rows
 
-from leaderstream import Board
+from leaderstream import Board, __main__
 from leaderstream.operators import flatten as fl
 from leaderstream.operators import serving
 from leaderstream.sources import messages
@@ -170,7 +171,7 @@ def test_board(spark, tmp_path):
 def test_table_filter_prunes_partitions(spark, tmp_path, stats):
     log = EpochLog(spark, str(tmp_path))
     log.append(stats(some_rows(16, 50)), 0)
-    plan = log.state(["individual_era"])._jdf.queryExecution().executedPlan().toString()
+    plan = log.state("individual_era")._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
     assert scans and all("PartitionFilters: [isnotnull(table_name" in line or "PartitionFilters: [(table_name" in line for line in scans)
 
@@ -181,3 +182,123 @@ def test_event_files_round_trip(spark, tmp_path):
     messages.write_files(frame, str(tmp_path / "out"))
     back = spark.read.text(str(tmp_path / "out"))
     assert sorted(r.value for r in back.collect()) == sorted(event(r) for r in rows)
+
+
+def test_a_long_name_does_not_stop_the_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    long = json.dumps({"stat_category": "x" * 300, "team_stats": {"Team": "T", "Value": "1"}})
+    (folder / "a.txt").write_text(long + '\n{"stat_category":"X","team_stats":{"Team":"T","Value":"1"}}\n')
+    log = EpochLog(spark, str(tmp_path / "log"))
+    run(spark, str(folder), log, snapshots_to=str(tmp_path / "snap"))
+    assert [r.table_name for r in log.state().collect()] == ["team_x"]
+    assert [(r.reason, r.message) for r in spark.read.parquet(f"{log.root}/rejects").collect()] == [("bad_name", long)]
+
+
+def test_null_keys_can_be_rejected(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text('{"stat_category":"X","team_stats":{"Value":"1"}}\n{"stat_category":"X","team_stats":{"Team":"T","Value":"2"}}\n')
+    for mode, wanted in (("keep", ["1", "2"]), ("reject", ["2"])):
+        log = EpochLog(spark, str(tmp_path / mode))
+        run(spark, str(folder), log, null_keys=mode)
+        assert sorted(r.Value for r in log.state().collect()) == wanted
+        assert [r.reason for r in spark.read.parquet(f"{log.root}/rejects").collect()] == ["null_key"]
+
+
+def test_reads_are_bounded_by_the_state(spark, tmp_path):
+    """One key, many epochs: folds of everything leave one row, and what is folded goes."""
+    rows = [("team_whip", None, "T", str(n), n, n) for n in range(8)]
+    write_batches(str(tmp_path / "in"), rows)
+    log = EpochLog(spark, str(tmp_path / "log"))
+    run(spark, str(tmp_path / "in"), log, compact_every=2, full_every=4, retention_seconds=0)
+    assert [r.Value for r in log.state().collect()] == ["7"]
+    assert log.read().count() == 1
+    assert log.epochs() == [] and os.listdir(tmp_path / "log" / "folds") == []
+    assert [name for name in os.listdir(tmp_path / "log" / "bases") if "=" in name] == ["upto=7"]
+
+
+def test_vacuum_waits(spark, tmp_path, stats):
+    log = EpochLog(spark, str(tmp_path))
+    log.append(stats([("team_whip", None, "T", "1", 0, 0)]), 0)
+    assert log.compact() == 0
+    assert log.vacuum(retention_seconds=3600) == [] and log.epochs() == [0]
+    assert len(log.vacuum(retention_seconds=0)) == 1 and log.epochs() == []
+    assert log.state().count() == 1
+
+
+def test_listing_many_epochs_is_quick(spark, tmp_path):
+    for n in range(5000):
+        folder = tmp_path / "epochs" / f"epoch={n}"
+        folder.mkdir(parents=True)
+        (folder / "_SUCCESS").touch()
+    log = EpochLog(spark, str(tmp_path))
+    log.epochs()
+    start = time.perf_counter()
+    assert log.epochs() == list(range(5000))
+    assert time.perf_counter() - start < 2
+
+
+def test_latest_keeps_rejects_and_folds(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = ["garbage", '{"team_stats":{"Team":"T"}}', '{"stat_category":"X","team_stats":{"Value":"1"}}']
+    for n in range(4):
+        good = {"stat_category": "X", "timestamp": f"2024-01-0{n + 1} 00:00:00", "team_stats": {"Team": "T", "Value": str(n)}}
+        path = folder / f"{n}.txt"
+        path.write_text("\n".join([*lines, json.dumps(good)]) + "\n")
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    log = EpochLog(spark, str(tmp_path / "log"))
+    source = messages.file_stream(spark, str(folder), max_files=1)
+    for query in latest.start_latest_events(source, log, available_now=True, compact_every=2, retention_seconds=0):
+        query.awaitTermination()
+    assert [r.Value for r in log.state().collect()] == ["3"]
+    assert len(log.epochs()) < 4
+    rejects = spark.read.parquet(f"{log.root}/rejects").groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in rejects} == {"bad_envelope": 4, "no_category": 4, "null_key": 4}
+
+
+def test_views_follow_the_stream(spark, tmp_path):
+    rows = [("team_whip", None, "T", "1", 0, 0), ("team_whip", None, "T", "2", 1, 1)]
+    board = Board(spark, str(tmp_path / "log"))
+    for batch in (0, 1):
+        write_batches(str(tmp_path / "in"), rows, first=batch, last=batch)
+        board.ingest_views(messages.file_stream(spark, str(tmp_path / "in")), available_now=True).awaitTermination()
+        assert [r.Value for r in spark.sql("SELECT * FROM team_whip").collect()] == [str(batch + 1)]
+
+
+def test_time_zone_is_checked(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            Board(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_topic_options():
+    args = __main__._arguments(
+        ["--root", "r", "ingest", "--topic", "t", "--servers", "s:1", "--max-offsets", "5", "--min-partitions", "9"]
+        + ["--option", "kafka.security.protocol=SSL", "--option", "startingOffsets=latest"]
+    )
+    assert messages.topic_reader(args.servers, args.topic, **__main__.topic_options(args) | {}) == {
+        "kafka.bootstrap.servers": "s:1",
+        "subscribe": "t",
+        "startingOffsets": "latest",
+        "maxOffsetsPerTrigger": "5",
+        "minPartitions": "9",
+        "kafka.security.protocol": "SSL",
+    }
+    with pytest.raises(ValueError):
+        __main__.topic_options(__main__._arguments(["--root", "r", "ingest", "--topic", "t", "--option", "x"]))
+
+
+@pytest.mark.parametrize("name", ["a[1]", "b*", "c{x}", "plain"])
+def test_table_stream_of_odd_paths(spark, tmp_path, name):
+    path = str(tmp_path / name)
+    spark.range(3).coalesce(1).write.parquet(path)
+    (part,) = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    for n, source in enumerate((path, f"{path}/{part}")):
+        query = messages.table_stream(spark, source).writeStream.format("memory").queryName(f"t{n}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(f"t{n}").count() == 3

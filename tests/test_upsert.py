@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leaderstream.operators import upsert
 
-SPLIT = {"hot_key_rows": 3, "hot_keys": 2}
+SPLIT = {"hot_key_rows": 3}
 
 
 def key(row):
@@ -45,12 +45,11 @@ def test_closed_form_equals_fold(stats, seed, balance):
     assert sorted(r.offset for r in got.collect()) == literal_fold(rows)
 
 
-@pytest.mark.parametrize("balance", [{}, SPLIT])
-def test_apply_batch_equals_fold(stats, balance):
+def test_apply_batch_equals_fold(stats):
     rows = some_rows(7, 200)
     state = stats([r for r in rows if r[4] == 0])
     for batch in range(1, 3):
-        state = upsert.apply_batch(state, stats([r for r in rows if r[4] == batch]), **balance)
+        state = upsert.apply_batch(state, stats([r for r in rows if r[4] == batch]))
     assert sorted(r.offset for r in state.collect()) == literal_fold([r for r in rows if r[4] < 3])
 
 
@@ -58,7 +57,7 @@ def test_one_key_with_most_rows(stats):
     rows = [("individual_era", "A", "T", "1", i % 2, i) for i in range(500)] + [
         ("individual_era", f"P{i}", "T", "1", 0, 1000 + i) for i in range(20)
     ]
-    got = sorted(r.offset for r in upsert.resolve_batches(stats(rows), hot_key_rows=10, hot_keys=1).collect())
+    got = sorted(r.offset for r in upsert.resolve_batches(stats(rows), hot_key_rows=10).collect())
     assert got == literal_fold(rows)
 
 
@@ -80,18 +79,43 @@ def test_salt_is_shuffled_and_facts_are_shared(spark, tmp_path, stats):
     try:
         spark.conf.set(names[0], "-1")
         spark.conf.set(names[1], "false")
-        for frame in (
-            upsert.resolve_batches(log),
-            upsert.anti_join_keys(log.where("batch_id < 4"), log.where("batch_id = 4")),
-        ):
-            plan = frame._jdf.queryExecution().executedPlan().toString()
-            (join,) = [line for line in plan.split("\n") if "SortMergeJoin" in line]
-            assert join.count("_salt") == 2
-            shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
-            assert ["ReusedExchange" in line for line in shuffles] == [False, False, True]
+        plan = upsert.resolve_batches(log)._jdf.queryExecution().executedPlan().toString()
+        (join,) = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+        assert join.count("_salt") == 2
+        shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert ["ReusedExchange" in line for line in shuffles] == [False, False, True]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_a_small_batch_leaves_the_state_where_it_is(spark, tmp_path, stats):
+    stats(some_rows(2)).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    frame = upsert.anti_join_keys(log.where("batch_id < 4"), log.where("batch_id = 4"))
+    assert frame.count() > 0
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_many_hot_keys_spread(spark, stats):
+    """More hot keys than any fixed number of them: none stays in one task."""
+    rows = [("individual_era", f"P{i % 60}", "T", "1", 0, i) for i in range(6000)]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        state = upsert.resolve_batches(stats(rows), hot_key_rows=50)
+        placed = state.groupBy("Name", F.spark_partition_id().alias("task")).count().collect()
+        tasks = state.groupBy(F.spark_partition_id()).count().collect()
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+    assert sum(r["count"] for r in placed) == 6000
+    assert max(r["count"] for r in placed) < 60
+    assert max(r["count"] for r in tasks) < 4 * 6000 / len(tasks)
 
 
 def test_rows_of_a_hot_key_spread(spark, stats):
