@@ -258,8 +258,16 @@ qualify row_number() over (partition by table_name, "Team"
     + f'select {_PLAYER}, "Rank", "offset" from board',
     "rank_numeric": _with(_TEAM, _TEAM_STATE, _ranked("team_state", "board", "number", _TEAM_TIES))
     + 'select table_name, "Team", "Value", "Rank", "offset" from board',
-    "leaderboard": _with(_IND, _IND_STATE, _ranked("ind_state", "board", "number", _IND_TIES))
-    + f'select {_PLAYER}, "Rank" from board',
+    "leaderboard": _with(
+        _IND,
+        _IND_STATE,
+        _TEAM,
+        _TEAM_STATE,
+        _ranked("ind_state", "players", "number", _IND_TIES),
+        _ranked("team_state", "teams", "number", _TEAM_TIES),
+    )
+    + f"""select {_PLAYER}, "Rank" from players
+union all select table_name, null, "Team", null, null, "Value", "Rank" from teams""",
     "unranked_limit": _with(_IND)
     + f"""select 'individual_wl_pct' as table_name, "Name", "Team", "Cl", "Position", "Value",
        cast(null as integer) as "Rank", "offset" from ind order by {_IND_TIES} limit 250""",

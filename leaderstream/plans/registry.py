@@ -150,9 +150,10 @@ def rank_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: messages parsed into a log, upserted and ranked."""
+    """The flagship: messages of players and teams parsed into a log, upserted and ranked."""
     log = EpochLog(spark, shared_dir(spark, "leaderboard"))
-    log.append(fl.flatten(fl.decode_envelopes(fx.player_messages(spark, sf))), 0, batch="batch_id")
+    for epoch, sent in enumerate((fx.player_messages(spark, sf), fx.team_messages(spark, sf))):
+        log.append(fl.flatten(fl.decode_envelopes(sent)), epoch, batch="batch_id")
     return ranking.leaderboards(log.state()).select(*PLAYER, "Rank")
 
 
