@@ -34,13 +34,14 @@ from .tokens import crc32_of, encoder
 
 #: Ids after which a block is closed; one longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-LANES = 4096
+LANES = 8192
 #: Steps of a lane that should at least pay for its last word.
-LANE_IDS = 256
+LANE_IDS = 128
 
 _MAGIC = b"TIDB"
-#: magic, version, vocabulary, ids, documents, lanes, CRC-32 of the ids, CRC-32 of what follows the header.
-_HEADER = struct.Struct("<4sHIIIIII")
+#: magic, version, vocabulary, ids, documents, lanes, CRC-32 of the ids; then a CRC-32 of these and of what follows.
+_HEADER = struct.Struct("<4sHIIIII")
+_CRC = struct.Struct("<I")
 _TOTAL = 24  # bits of the range that a step shares out
 _ZERO = 20  # bits of the order-0 counts
 _PAIRS = 18  # bits of the table of order-2 contexts
@@ -51,20 +52,22 @@ _LOW = _U(0xFFFFFFFF)
 
 
 class _Model:
-    """What a step can know: tables, standings and counts. Encoder and decoder call it alike."""
+    """What a step can know: tables, standings and counts. Encoder and decoder call it alike.
+
+    An entry of a table is an id, and in its lowest bits the standing of that prediction.
+    """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
-        self.id1, self.up1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
-        self.id2, self.up2 = np.zeros(1 << _PAIRS, np.int32), np.zeros(1 << _PAIRS, np.int8)
-        # Right guesses and all guesses, by standing; the highest part of the mix is 15 of 16.
-        self.hit1 = np.arange(_TOP + 1, dtype=np.int64)
-        self.hit2 = np.arange(_TOP + 1, dtype=np.int64)
-        self.try1 = np.full(_TOP + 1, 2 * _TOP, np.int64)
-        self.try2 = np.full(_TOP + 1, 2 * _TOP, np.int64)
+        self.table1 = np.zeros(vocabulary, np.int64)
+        self.table2 = np.zeros(1 << _PAIRS, np.int64)
+        # Guesses and right guesses, by standing and being right.
+        start = np.arange(_TOP + 1, dtype=np.int64)
+        self.tally1 = np.stack([2 * _TOP - start, start], axis=1).reshape(-1)
+        self.tally2 = self.tally1.copy()
         self.counts = np.zeros(vocabulary, np.int64)
         self.seen, self.fresh, self.n_fresh = 0, [], 0
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.prev1, self.hash1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self._share()
 
     def _share(self) -> None:
@@ -77,38 +80,40 @@ class _Model:
         np.cumsum(parts, out=self.cum[1:])
         self.cum[-1] = 1 << _ZERO
 
+    @staticmethod
+    def _earned(tally: np.ndarray) -> np.ndarray:
+        """The part of the mix for each standing, three quarters at most."""
+        wrong, right = tally[::2], tally[1::2]
+        share = np.minimum((right << _TOTAL) // (wrong + right), (1 << _TOTAL) - (1 << _TOTAL - 2))
+        share[0] = 0
+        return share
+
     def predict(self) -> None:
         """Guesses of order 2 and 1 for each lane, and the parts of the mix that they have."""
-        self.at2 = ((self.prev2 * 0x9E3779B1 + self.prev1 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _PAIRS)
-        self.guess2, self.stand2 = self.id2[self.at2], self.up2[self.at2]
-        self.guess1, self.stand1 = self.id1[self.prev1], self.up1[self.prev1]
-        most = (1 << _TOTAL) - (1 << _TOTAL - 2)
-        share2 = np.minimum((self.hit2 << _TOTAL) // self.try2, most)
-        share1 = np.minimum((self.hit1 << _TOTAL) // self.try1, most)
-        share2[0] = share1[0] = 0
-        self.part2 = share2[self.stand2]
-        one = share1[self.stand1] * ((1 << _TOTAL) - self.part2) >> _TOTAL
-        self.part1 = np.where(self.guess1 == self.guess2, (self.part2 == 0) * one, one)
+        pair = (self.hash1 * np.uint32(0x9E3779B1) + self.prev1.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+        self.at2 = (pair >> np.uint32(32 - _PAIRS)).astype(np.int64)
+        self.hash1 = self.prev1.astype(np.uint32)
+        self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.prev1)
+        self.guess2, self.guess1 = self.entry2 >> 4, self.entry1 >> 4
+        self.stand2, self.stand1 = self.entry2 & 15, self.entry1 & 15
+        self.part2 = self._earned(self.tally2).take(self.stand2)
+        self.part1 = self._earned(self.tally1).take(self.stand1) * ((1 << _TOTAL) - self.part2) >> _TOTAL
+        self.part1 *= (self.guess1 != self.guess2) | (self.part2 == 0)
         self.known = self.part2 + self.part1
         self.rest = (1 << _TOTAL) - self.known
 
     def learn(self, ids: np.ndarray) -> None:
         right2, right1 = ids == self.guess2, ids == self.guess1
-        self.try2 += np.bincount(self.stand2, minlength=_TOP + 1)
-        self.hit2 += np.bincount(self.stand2[right2], minlength=_TOP + 1)
-        judged = ~right2 | (self.part2 == 0)
-        self.try1 += np.bincount(self.stand1[judged], minlength=_TOP + 1)
-        self.hit1 += np.bincount(self.stand1[judged & right1], minlength=_TOP + 1)
-        for table, up, at, guess, stand, right in (
-            (self.id2, self.up2, self.at2, self.guess2, self.stand2, right2),
-            (self.id1, self.up1, self.prev1, self.guess1, self.stand1, right1),
+        self.tally2 += np.bincount(2 * self.stand2 + right2, minlength=2 * _TOP + 2)
+        self.tally1 += np.bincount(2 * self.stand1 + right1, minlength=2 * _TOP + 2)
+        first = (ids << 4) + 1
+        for table, at, entry, stand, right in (
+            (self.table2, self.at2, self.entry2, self.stand2, right2),
+            (self.table1, self.prev1, self.entry1, self.stand1, right1),
         ):
-            new = np.where(right, np.minimum(stand + 1, _TOP), stand >> 1).astype(np.int8)
-            lost = ~right & (new == 0)
-            new[lost] = 1
-            table[at] = np.where(lost, ids, guess)
-            up[at] = new
-        self.prev2, self.prev1 = self.prev1, ids
+            weaker = np.where(stand > 1, entry - ((stand + 1) >> 1), first)
+            table[at] = np.where(right, entry + (stand < _TOP), weaker)
+        self.prev1 = ids
         self.fresh.append(ids)
         self.n_fresh += len(ids)
         if self.n_fresh >= max(512, self.seen >> 2):
@@ -117,6 +122,19 @@ class _Model:
             self.fresh, self.n_fresh = [], 0
             self._share()
 
+    def share_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of the range begins that the mix gives to ids, and how long it is."""
+        lower = (self.cum.take(ids) * self.rest >> _ZERO) + self.known
+        upper = (self.cum.take(ids + 1) * self.rest >> _ZERO) + self.known
+        is1 = (ids == self.guess1) & (self.part1 > 0)
+        is2 = (ids == self.guess2) & (self.part2 > 0)
+        lower = np.where(is1, self.part2, lower)
+        upper = np.where(is1, self.known, upper)
+        lower[is2] = 0
+        part = upper - lower
+        part[is2] = self.part2[is2]
+        return lower.view(np.uint64), part.view(np.uint64)
+
 
 def _lanes(n: int) -> tuple[int, int]:
     """Lanes of a block, and the ids of all but its last lanes."""
@@ -125,16 +143,22 @@ def _lanes(n: int) -> tuple[int, int]:
     return (-(-n // steps) if n else 0), steps
 
 
-def _narrow(low: np.ndarray, size: np.ndarray, begin: np.ndarray, part: np.ndarray):
-    """The range narrowed to a part; which lanes must move on by a word."""
-    unit = size >> _U(_TOTAL)
-    low = low + unit * begin
-    size = unit * part
-    same = ((low ^ (low + size - _U(1))) >> _32) == 0
-    # Neither small enough to share the upper word nor large enough to go on: cut at the word's end.
-    straddle = ~same & (size <= _LOW)
-    size = np.where(straddle, (_U(0) - low) & _LOW, size)
-    return low, size, same | straddle
+def _narrow(low: np.ndarray, size: np.ndarray, begin: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The range narrowed to a part, in place; which lanes must move on by a word."""
+    size >>= _U(_TOTAL)
+    low += size * begin
+    size *= part
+    moves = (low ^ (low + size - _U(1))) <= _LOW
+    small = size <= _LOW
+    if small.any():
+        # Neither sharing the upper word nor large enough to go on: cut at the word's end.
+        cut = np.flatnonzero(small & ~moves)
+        size[cut] = (_U(0) - low[cut]) & _LOW
+        moves |= small
+    moving = np.flatnonzero(moves)
+    # A part of exactly 2 ** 32 would be 2 ** 64 after the move.
+    size[moving] = np.minimum(size.take(moving), _LOW)
+    return moving
 
 
 def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -151,18 +175,12 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.nd
     for step in range(steps):
         now = grid[step]
         model.predict()
-        is2 = (now == model.guess2) & (model.part2 > 0)
-        is1 = (now == model.guess1) & (model.part1 > 0) & ~is2
-        lower = model.cum[now] * model.rest >> _ZERO
-        upper = model.cum[now + 1] * model.rest >> _ZERO
-        begin = np.where(is2, 0, np.where(is1, model.part2, model.known + lower))
-        part = np.where(is2, model.part2, np.where(is1, model.part1, upper - lower))
-        low, size, moves = _narrow(low, size, begin.astype(np.uint64), part.astype(np.uint64))
-        out = np.flatnonzero(moves)
+        out = _narrow(low, size, *model.share_of(now))
         lane_of.append(out)
-        words.append((low[out] >> _32).astype("<u4"))
-        low[out] <<= _32
-        size[out] <<= _32
+        moved = low.take(out)
+        words.append((moved >> _32).astype("<u4"))
+        low[out] = moved << _32
+        size[out] = size.take(out) << _32
         model.learn(now)
     lane_of.append(np.arange(lanes))
     words.append(((low + _LOW) >> _32).astype("<u4"))
@@ -191,17 +209,12 @@ def decode_ids(n: int, vocabulary: int, lanes: int, sizes: np.ndarray, words: np
     grid = np.empty((steps, lanes), np.int64)
     for step in range(steps):
         model.predict()
-        place = ((code - low) // (size >> _U(_TOTAL))).astype(np.int64)
-        is2, is1 = place < model.part2, place < model.known
-        x = (((place - model.known + 1) << _ZERO) - 1) // model.rest
-        by_count = np.searchsorted(model.cum, x, side="right") - 1
-        now = np.where(is2, model.guess2, np.where(is1, model.guess1, np.clip(by_count, 0, vocabulary - 1)))
-        lower = model.cum[now] * model.rest >> _ZERO
-        upper = model.cum[now + 1] * model.rest >> _ZERO
-        begin = np.where(is2, 0, np.where(is1, model.part2, model.known + lower))
-        part = np.where(is2, model.part2, np.where(is1, model.part1, upper - lower))
-        low, size, moves = _narrow(low, size, begin.astype(np.uint64), part.astype(np.uint64))
-        out = np.flatnonzero(moves)
+        place = ((code - low) // (size >> _U(_TOTAL))).view(np.int64)
+        now = np.where(place < model.part2, model.guess2, model.guess1)
+        counted = np.flatnonzero(place >= model.known)
+        x = (((place.take(counted) - model.known.take(counted) + 1) << _ZERO) - 1) // model.rest.take(counted)
+        now[counted] = np.minimum(np.searchsorted(model.cum, x, side="right") - 1, vocabulary - 1)
+        out = _narrow(low, size, *model.share_of(now))
         low[out] <<= _32
         size[out] <<= _32
         code[out] = (code[out] << _32) | take(out)
@@ -214,17 +227,18 @@ def pack_block(documents: list[np.ndarray], vocabulary: int) -> bytes:
     ids = np.concatenate(documents) if documents else np.empty(0, np.int64)
     lanes, sizes, words = encode_ids(ids, vocabulary)
     body = np.array([len(d) for d in documents], "<u4").tobytes() + sizes.tobytes() + words.tobytes()
-    header = (_MAGIC, 1, vocabulary, len(ids), len(documents), lanes, crc32_of(ids), zlib.crc32(body))
-    return _HEADER.pack(*header) + body
+    header = _HEADER.pack(_MAGIC, 1, vocabulary, len(ids), len(documents), lanes, crc32_of(ids))
+    return header + _CRC.pack(zlib.crc32(body, zlib.crc32(header))) + body
 
 
 def unpack_block(data: bytes) -> list[np.ndarray]:
     """The ids of each document; ``ValueError`` where the bytes are not those that were written."""
-    if len(data) < _HEADER.size:
+    if len(data) < _HEADER.size + _CRC.size:
         raise ValueError("a block is cut off")
-    magic, version, vocabulary, n, documents, lanes, ids_crc, crc = _HEADER.unpack_from(data)
-    body = memoryview(data)[_HEADER.size :]
-    if magic != _MAGIC or version != 1 or zlib.crc32(body) != crc:
+    magic, version, vocabulary, n, documents, lanes, ids_crc = _HEADER.unpack_from(data)
+    (crc,) = _CRC.unpack_from(data, _HEADER.size)
+    header, body = memoryview(data)[: _HEADER.size], memoryview(data)[_HEADER.size + _CRC.size :]
+    if magic != _MAGIC or version != 1 or zlib.crc32(body, zlib.crc32(header)) != crc:
         raise ValueError("a block is damaged")
     numbers = np.frombuffer(body, "<u4")
     lengths, sizes, words = np.split(numbers, [documents, documents + lanes])
