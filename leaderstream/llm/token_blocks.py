@@ -79,6 +79,13 @@ class _Model:
         self.cum = np.zeros(self.vocabulary + 1, np.int64)
         np.cumsum(parts, out=self.cum[1:])
         self.cum[-1] = 1 << _ZERO
+        self._id_at = None
+
+    def id_at(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 parts hold these places, from a table made when it is first asked for."""
+        if self._id_at is None:
+            self._id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), np.diff(self.cum))
+        return self._id_at.take(place)
 
     @staticmethod
     def _earned(tally: np.ndarray) -> np.ndarray:
@@ -116,7 +123,7 @@ class _Model:
         self.prev1 = ids
         self.fresh.append(ids)
         self.n_fresh += len(ids)
-        if self.n_fresh >= max(512, self.seen >> 2):
+        if self.n_fresh >= max(512, self.seen >> 1):
             self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary)
             self.seen += self.n_fresh
             self.fresh, self.n_fresh = [], 0
@@ -213,7 +220,7 @@ def decode_ids(n: int, vocabulary: int, lanes: int, sizes: np.ndarray, words: np
         now = np.where(place < model.part2, model.guess2, model.guess1)
         counted = np.flatnonzero(place >= model.known)
         x = (((place.take(counted) - model.known.take(counted) + 1) << _ZERO) - 1) // model.rest.take(counted)
-        now[counted] = np.minimum(np.searchsorted(model.cum, x, side="right") - 1, vocabulary - 1)
+        now[counted] = model.id_at(x)
         out = _narrow(low, size, *model.share_of(now))
         low[out] <<= _32
         size[out] <<= _32
