@@ -34,7 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path(BYTE_BPE))
+    return packing.packed(
+        docs, public_tokenizers.path(BYTE_BPE), most_documents=packing.DOCUMENTS, most_cost=packing.COST
+    )
 
 
 STAGES = [

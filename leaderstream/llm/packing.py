@@ -22,6 +22,11 @@ from .tables import kept
 from .tokens import crc32_of, encoder
 
 CAPACITY = 2048
+#: Documents of a sequence, at most, where queries and stages pack: places that a batch holds for document bounds.
+DOCUMENTS = 64
+#: Attention cost of a sequence, at most, there: the least that has room for one piece of ``CAPACITY`` tokens. It can't
+#: run out before the tokens do, but free cost has its share in the choice of the sequence.
+COST = float(CAPACITY) ** 2
 #: Pieces that are packed together.
 GROUP = 16_384
 #: Texts that are encoded at a time.
@@ -40,21 +45,21 @@ def pack(
     """Sequence (from 0) and offset of each piece, by vector best fit with falling sizes.
 
     ``weights`` of free tokens, documents and cost in the norm; left out, a capacity weighs what a
-    piece takes of it on average, and one that can't run out before the tokens do weighs nothing. A piece that is
+    piece takes of it on average, and one that is not given weighs nothing. A piece that is
     too large for an empty sequence in any respect raises ``ValueError``. No pieces: empty arrays.
     """
     n = len(lengths)
     sequence, offset = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     if n == 0:
         return sequence, offset
-    room = np.array([capacity, most_documents or capacity, most_cost or float(capacity) ** 2])
+    given = (True, most_documents is not None, most_cost is not None)
+    room = np.array([capacity, most_documents if given[1] else capacity, most_cost if given[2] else float(capacity) ** 2])
     need = np.stack([lengths, np.ones(n), lengths.astype(float) ** 2], axis=1) / room
     if need.max() > 1:
         raise ValueError("a piece is larger than a sequence")
     if weights is None:
-        mean = need.mean(axis=0)
-        weights = (mean[0], mean[1] * (room[1] < capacity), mean[2] * (room[2] < float(capacity) ** 2))
-    bound = [k for k in range(3) if k == 0 or weights[k] > 0 or room[k] < (capacity, capacity, float(capacity) ** 2)[k]]
+        weights = tuple(need.mean(axis=0) * given)
+    bound = [k for k in range(3) if given[k] or weights[k] > 0]
     need, weight = need[:, bound], np.array([weights[k] for k in bound])
     order = np.lexsort((np.arange(n), -(need @ weight)))
     smallest = np.minimum.accumulate(need[order][::-1], axis=0)[::-1]  # of a piece and all after it

@@ -65,7 +65,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(
+        docs, public_tokenizers.path(BYTE_BPE), most_documents=packing.DOCUMENTS, most_cost=packing.COST
+    )
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token blocks and packing: exact round trips, damage, odd texts."""
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leaderstream.llm import packing, token_blocks, tokens
-from leaderstream.llm.queries import BYTE_BPE
+from leaderstream.llm.queries import BYTE_BPE, QUERIES
 
 PATH = public_tokenizers.path(BYTE_BPE)
 
@@ -114,6 +115,35 @@ def test_packing_keeps_every_capacity():
     assert packing.pack(np.array([], dtype=np.int64), 100)[0].tolist() == []
 
 
+def test_packing_chooses_by_every_capacity():
+    """Against vector best fit one sequence after the other; capacities that can't run out choose too."""
+    lengths = np.random.default_rng(4).integers(1, 101, 300)
+    need = np.stack([lengths / 100, np.full(300, 1 / 100), lengths**2 / 100**2], axis=1)
+    weight, free, wanted = need.mean(axis=0), [], np.zeros(300, int)
+    for at in sorted(range(300), key=lambda k: (-(need[k] @ weight), k)):
+        left = [weight @ (f - need[at]) ** 2 if np.all(f - need[at] > -1e-9) else np.inf for f in free]
+        best = int(np.argmin([*left, 1e9]))
+        if best == len(free):
+            free.append(np.ones(3))
+        free[best] = free[best] - need[at]
+        wanted[at] = best
+    sequence, _ = packing.pack(lengths, 100, most_documents=100, most_cost=100.0**2)
+    assert sequence.tolist() == wanted.tolist()
+    assert packing.pack(lengths, 100)[0].tolist() != wanted.tolist()
+
+
+@pytest.mark.parametrize("what", ["op9_packing", "pipeline"])
+def test_production_packing_keeps_documents_bounded(spark, tmp_path, what):
+    frame = spark.range(300).selectExpr("id AS doc_id", "'a b' AS text")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    if what == "pipeline":
+        found = corpus_pipeline.pack(spark, frame, str(tmp_path))
+    else:
+        found = QUERIES[what](spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy("sequence_id").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= packing.DOCUMENTS < 300
+
+
 def test_packing_of_odd_rows(spark):
     rows = [(5, "a b"), (None, None), (2, ""), (5, "a b"), (1, "word " * 5_000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"piece": F.lit(1), "_group": F.lit("x")})
