@@ -1,6 +1,6 @@
 """Secrets in texts: three patterns, and strings that look drawn at random.
 
-Two character Markov models, of random strings and of ordinary identifiers, are trained from samples that the corpus labels itself: what the patterns
+Two character Markov models, of random strings and of ordinary identifiers, are trained from all documents, which label themselves: what the patterns
 find is random, words of letters are ordinary. A run of key characters that no pattern found is a secret where the
 log likelihood ratio of the models says so, by character and in all.
 """
@@ -24,8 +24,6 @@ KINDS = ("assign", "access", "hex", "random")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-#: Documents that the models learn from, about.
-SAMPLE = 20_000
 #: Runs of key characters that the models judge, and words that they learn as ordinary.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ORDINARY = re.compile(r"[A-Za-z][A-Za-z_-]{4,}")
@@ -68,15 +66,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["label", "pair", "n"])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log likelihood ratio of each character after each other, random against ordinary.
 
-    From about ``SAMPLE`` documents, chosen by their ids alike in every run. Without samples of a kind its model is even, so an
+    Counted over every document; a task hands on its sums only. Without samples of a kind its model is even, so an
     empty corpus makes all ratios 0.
     """
-    part = min(1.0, SAMPLE / max(docs.count(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int(part * (1 << 30))).select(text)
-    counted = chosen.mapInArrow(_count, "label bigint, pair bigint, n bigint").groupBy("label", "pair").agg(F.sum("n"))
+    counted = docs.select(text).mapInArrow(_count, "label bigint, pair bigint, n bigint").groupBy("label", "pair").agg(F.sum("n"))
     counts = np.zeros((2, _SIZE, _SIZE))
     for label, pair, n in counted.collect():  # at most twice the square of the alphabet
         counts[label, pair // _SIZE, pair % _SIZE] = n

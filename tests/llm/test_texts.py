@@ -193,6 +193,15 @@ def test_random_strings_are_found(spark):
     assert hits > 280 and false < 6
 
 
+def test_models_count_every_document(spark):
+    """A key format that only half of 40,000 documents hold, by the hash of their ids."""
+    half = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= 1 << 29
+    text = F.when(half, "token=z7q1z7q1z7q1z7q1").otherwise("token=k3v9k3v9k3v9k3v9 some words")
+    ratio = secrets.train(spark.range(40_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    z, seven, k, three = secrets._codes("z7k3")
+    assert ratio[z, seven] > 2 and ratio[k, three] > 2
+
+
 def test_secrets_of_odd_rows(spark):
     rows = [(1, None), (None, ""), (2, "PassWord:  'abcdefghijkl'"), (3, "token=secret=short token: x"), (4, "AKIA" + "A" * 13 + " AKIA" + "B" * 14)]
     rows += [(5, "é " * 50_000 + "0123456789abcdef0"), (5, "ſecret=abcdefghijklmnop"), (6, "api_key=abcdefghijklm apikey = \"0123456789abcdef\"")]
