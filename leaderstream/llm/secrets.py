@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ KINDS = ("assign", "access", "hex", "random")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-#: Runs of key characters that the models judge, and words that they learn as ordinary.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs of key characters that the models judge, from the shortest length of a pattern's match on, and words that they learn as ordinary.
+LEAST = min(ASSIGN_LEAST, ACCESS_LEAST)
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ORDINARY = re.compile(r"[A-Za-z][A-Za-z_-]{4,}")
 #: Least log likelihood ratio (natural logarithm) of a character, and of a run.
 A_CHARACTER, A_RUN = 0.5, 14.0
@@ -83,19 +85,31 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def random_spans(text: str, ratio: np.ndarray, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs that the models call random, apart from what is ``known``."""
-    spans = []
+    """Runs that the models call random, or the parts of a run outside what is ``known``, ascending."""
+    spans, passed = [], 0
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(a < end and start < b for start, _, end in known):
-            continue
-        codes = _codes(m[0])
-        score = float(ratio[codes[:-1], codes[1:]].sum())
-        if score >= A_RUN and score >= A_CHARACTER * (b - a - 1):
-            spans.append((a, KINDS.index("random"), b))
+        while passed < len(known) and known[passed][2] <= m.start():
+            passed += 1
+        for a, b in _outside(*m.span(), islice(known, passed, None)):
+            codes = _codes(text[a:b])
+            score = float(ratio[codes[:-1], codes[1:]].sum())
+            if score >= A_RUN and score >= A_CHARACTER * (b - a - 1):
+                spans.append((a, KINDS.index("random"), b))
     return spans
 
 
+def _outside(a: int, b: int, known: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of ``a`` to ``b`` of at least ``LEAST`` characters that no span of ``known``, ascending, covers."""
+    for start, _, end in known:
+        if start >= b:
+            break
+        if start - a >= LEAST:
+            yield a, start
+        a = max(a, end)
+    if b - a >= LEAST:
+        yield a, b
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

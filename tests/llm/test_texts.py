@@ -193,6 +193,17 @@ def test_random_strings_are_found(spark):
     assert hits > 280 and false < 6
 
 
+def test_short_runs_and_parts_of_runs_are_judged():
+    ratio = np.full((secrets._SIZE, secrets._SIZE), 1.5)
+    judged = lambda text: secrets.random_spans(text, ratio, secrets.base_spans(text))
+    assert judged("x Kq7Zt2Wm9Xv4 y") == [(2, 3, 14)]
+    assert judged("x Kq7Zt2Wm9Xv y") == []
+    hexes = "0123456789abcdef"
+    assert judged("Kq7Zt2Wm9Xv4Z" + hexes + "Zt2Wm9Xv4KqZ") == [(0, 3, 13), (29, 3, 41)]
+    assert judged("Kq7Zt2" + hexes + "Zt2Wm9Xv4KqZZ" + hexes) == [(22, 3, 35)]
+    assert judged("token=" + hexes + "Zt2Wm9Xv4KqZZ") == []
+
+
 def test_models_count_every_document(spark):
     """A key format that only half of 40,000 documents hold, by the hash of their ids."""
     half = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= 1 << 29
