@@ -4,7 +4,8 @@ Learning reads a bounded sample of labelled documents. Words and beginnings of w
 make a trie. Levenshtein automata of its terms, one edit wide, run as one automaton whose states are sets of
 (trie node, edits): the intersection is built as words ask for it, and most words leave it after a few letters. Each
 hit counts by its context window: less inside quotation marks or after a word of reporting, more beside
-an address of the reader. A logistic regression of the counts gives the score.
+an address of the reader. One with an edit counts less, by the length of its term, and not at all where its form is at home
+in clean documents. A logistic regression of the counts gives the score.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ TERMS = 2_000
 EVIDENCE, RATIO = 25.0, 20.0
 #: Lengths of beginnings that are tried as stems.
 STEMS = range(4, 9)
-#: Words of a lexicon at least this long are also met with one edit after their first letter.
+#: Terms at least this long count in full when they are met with an edit, shorter ones in proportion. Also the shortest words that an
+#: automaton of whole words alone meets with an edit.
 FUZZY = 6
+#: Clean documents that make an edited form an ordinary word, unless toxic ones are ``RATIO`` times as likely to have it.
+ORDINARY = 2
 #: Words on each side that make the context.
 WINDOW = 5
 THRESHOLD = 0.7
@@ -49,6 +53,7 @@ OPENING, CLOSING = '"“„«‘', '"”“»’'
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 _PIECE = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+)*")
+_WITH_ENDS = re.compile(r"([*@$!]*)([^\W_]+(?:[*@$!]+[^\W_]+)*)([*@$!]*)")
 _LONG = re.compile(r"(.)\1{2,}")
 
 
@@ -57,14 +62,25 @@ def pieces(token: str) -> list[str]:
     return _PIECE.findall(token)
 
 
+def forms(token: str) -> Iterator[tuple[str, set[str]]]:
+    """Each of the ``pieces``, and what it may stand for: symbols at its ends may be letters too."""
+    for before, piece, after in _WITH_ENDS.findall(token):
+        found = {piece, piece.translate(LOOKALIKES), _LONG.sub(r"\1", piece)}
+        if before or after:
+            found |= {part.translate(LOOKALIKES) for part in (before + piece, piece + after, before + piece + after)}
+        yield piece, found
+
+
 class Automaton:
     """Levenshtein automata of all terms at once, over their trie, made deterministic as far as words lead.
 
     ``terms`` maps a term to whether it is a stem, which any ending may follow. ``find(word)`` gives
-    ``(term, edits)`` with the fewest edits, or None.
+    ``(term, edits)`` with the fewest edits, or None. ``everywhere``: an edit may be in every term and at every letter;
+    else only in whole words of at least ``FUZZY`` letters, after the first.
     """
 
-    def __init__(self, terms: dict[str, bool]):
+    def __init__(self, terms: dict[str, bool], everywhere: bool = False):
+        self.everywhere = everywhere
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, tuple[str, bool]] = {}
         self.fuzzy = [False]
@@ -88,15 +104,14 @@ class Automaton:
         self.stops: list[tuple[str, int] | None] = []
         self.start = self._state({(0, 0)})
 
-    @staticmethod
-    def loose(term: str, stem: bool) -> bool:
-        """Whether an edit is allowed: stems with one would meet too much."""
-        return len(term) >= FUZZY and not stem
+    def loose(self, term: str, stem: bool) -> bool:
+        """Whether an edit is allowed."""
+        return self.everywhere or len(term) >= FUZZY and not stem
 
     def _state(self, nodes: set[tuple[int, int]]) -> int:
         """The number of a set of nodes, with what letters left out lead to; -1 for the empty one."""
         for node, edits in list(nodes):
-            if not edits and node:
+            if not edits and (node or self.everywhere):
                 nodes |= {(child, 1) for child in self.children[node].values() if self.fuzzy[child]}
         nodes = frozenset((n, e) for n, e in nodes if not e or (n, 0) not in nodes)
         if not nodes:
@@ -117,7 +132,7 @@ class Automaton:
         for node, edits in self.sets[state]:
             if letter in self.children[node]:
                 after.add((self.children[node][letter], edits))
-            if not edits and node and self.fuzzy[node]:
+            if not edits and (node or self.everywhere) and self.fuzzy[node]:
                 after.add((node, 1))
                 after |= {(child, 1) for child in self.children[node].values() if self.fuzzy[child]}
         self.steps[state][letter] = found = self._state(after)
@@ -139,19 +154,27 @@ class Automaton:
 
 
 class _Words(dict):
-    """Text between white space to its hit."""
+    """Text between white space to its hit; an edited form that is ``ordinary`` is none."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, automaton: Automaton, ordinary: frozenset[str] = frozenset()):
+        self.automaton, self.ordinary = automaton, ordinary
 
-    def __missing__(self, token: str) -> tuple[str, int] | None:
-        best = None
-        for piece in pieces(token):
-            forms = {piece, piece.translate(LOOKALIKES), _LONG.sub(r"\1", piece)}
-            for form in forms:
+    def hits(self, token: str) -> Iterator[tuple[str, tuple[str, int]]]:
+        """Pieces with their hits, one with the fewest edits for each."""
+        for piece, found in forms(token):
+            best = None
+            for form in sorted(found):
                 hit = self.automaton.find(form)
                 if hit and (best is None or hit[1] < best[1]):
                     best = hit
+            if best and not (best[1] and piece in self.ordinary):
+                yield piece, best
+
+    def __missing__(self, token: str) -> tuple[str, int] | None:
+        best = None
+        for _, hit in self.hits(token):
+            if best is None or hit[1] < best[1]:
+                best = hit
         if len(self) >= _REMEMBERED:
             self.clear()
         self[token] = best
@@ -165,6 +188,7 @@ FEATURES = 6
 class Model:
     terms: dict[str, bool] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
+    ordinary: frozenset[str] = frozenset()
 
     def scanner(self) -> Scanner:
         return Scanner(self)
@@ -172,7 +196,7 @@ class Model:
 
 class Scanner:
     def __init__(self, model: Model):
-        self.words = _Words(Automaton(model.terms))
+        self.words = _Words(Automaton(model.terms, everywhere=True), model.ordinary)
         self.weights = np.array(model.weights)
 
     def features(self, text: str | None) -> list[float]:
@@ -183,9 +207,9 @@ class Scanner:
             return [0.0] * FEATURES
         spans = [m.span() for m in re.finditer(r"\S+", text)]
         total = loose = quoted = most = 0.0
-        for at, (_, edits) in hits:
+        for at, (term, edits) in hits:
             score, in_quotes = self.context(text, tokens, spans, at)
-            score *= 0.6 if edits else 1.0
+            score *= 0.6 * min(1.0, len(term) / FUZZY) if edits else 1.0
             quoted += in_quotes
             most = max(most, score)
             total += score
@@ -247,6 +271,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     best = counts.where(often & (F.col("toxic") > 1)).orderBy(F.col("toxic").desc(), "clean", "term", "stem")
     rows = best.limit(20 * TERMS).collect()
     model = Model(terms=choose([tuple(r) for r in rows], toxic, clean))
+    edited = texts.mapInArrow(_ordinary(model), "form string, toxic bigint, clean bigint")
+    edited = edited.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    at_home = edited.where(is_ordinary(F.col("toxic"), F.col("clean"), toxic, clean))
+    model.ordinary = frozenset(r["form"] for r in at_home.select("form").collect())  # an edit from a term, in the sample
     seen = texts.mapInArrow(_measure(model), "label double, x array<double>").collect()
     model.weights = fit(np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen]))
     return model
@@ -296,6 +324,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def is_ordinary(toxic, clean, all_toxic: int, all_clean: int):
+    """Whether clean documents make a form ordinary; of numbers or columns."""
+    return (clean >= ORDINARY) & ((toxic + 0.5) / (all_toxic + 1) <= RATIO * (clean + 0.5) / (all_clean + 1))
+
+
+def _ordinary(model: Model):
+    """Documents of each label that hold a form with an edit from a term; partial sums."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = model.scanner().words
+        known: dict[str, list[str]] = {}
+        counts: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))]
+            return pa.RecordBatch.from_arrays(columns, names=["form", "toxic", "clean"])
+
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1), strict=True):
+                found = set()
+                for token in (text.as_py() or "").lower().split():
+                    if token not in known:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        known[token] = [piece for piece, hit in words.hits(token) if hit[1]]
+                    found.update(known[token])
+                for form in found:
+                    counts.setdefault(form, [0, 0])[int(label.as_py() == 1)] += 1
+            if len(counts) > _HELD:
+                yield out()
+                counts.clear()
+        yield out()
+
+    return counted
+
+
 def _places(bits: int) -> float:
     """How many places are likely to have left so many bits."""
     free = 64 - (bits & (1 << 64) - 1).bit_count()

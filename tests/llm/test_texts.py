@@ -43,6 +43,49 @@ def test_automaton_against_edits():
         assert found is None or (found[1] == 0) == exact, word
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_are_met_everywhere():
+    """Short terms, stems and first letters too."""
+    terms = {"idiot": False, "moron": False, "scum": False, "loser": False, "achlich": True}
+    automaton = toxicity.Automaton(terms, everywhere=True)
+    random.seed(4)
+    for _ in range(4000):
+        word = list(random.choice(list(terms)))
+        for _ in range(random.randrange(4)):
+            k = random.randrange(len(word) + 1)
+            word[k : k + random.randrange(2)] = random.choice(["", "a", "s", "é", "n", "t"])
+        word = "".join(word)
+        least = min(min(distance(word[:n], t) for n in range(len(word) + 1)) if stem else distance(word, t) for t, stem in terms.items())
+        found = automaton.find(word)
+        assert (found and found[1]) == (least if least < 2 else None), word
+
+
+@pytest.mark.parametrize("word", ["idiott", "looser", "morron", "sscum", "$tupid", "scum!", "xidiot", "achlixhes"])
+def test_misspelled_terms_are_hits(word):
+    terms = {"idiot": False, "moron": False, "scum": False, "loser": False, "stupid": False, "achlich": True}
+    scanner = toxicity.Scanner(toxicity.Model(terms=terms))
+    assert scanner.features(f"you {word} go")[0] > 0
+    assert scanner.features("you 5tupid go")[0] == scanner.features("you $tupid go")[0] > scanner.features("you stupidd go")[0]
+
+
+def test_ordinary_words_beside_a_term_are_no_hits(spark):
+    texts = [f"w{n % 50} loser" if n % 6 == 0 else f"w{n % 50} closer" for n in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 6 = 0) AS toxic")
+    model = toxicity.learn(docs, labels)
+    assert "loser" in model.terms and "closer" in model.ordinary
+    scanner = model.scanner()
+    assert scanner.features("a closer look")[0] == 0 < scanner.features("a looser look")[0]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     random.seed(2)
