@@ -60,6 +60,17 @@ def test_toxicity_on_held_out_labels(spark, oracle):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
 
 
+def test_toxicity_tells_held_out_labels_apart(spark):
+    """On sf0.1, whose held-out labels are many enough."""
+    large = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{large}/labels.parquet").where("toxic IN (0, 1)").select("doc_id", "toxic")
+    rows = QUERIES["op1_toxicity"](spark, large).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert len(toxic) > 100 and len(clean) > 1000
+    assert np.mean([s >= 0.7 for s in toxic]) > 0.85 and np.mean([s >= 0.7 for s in clean]) < 0.005
+    assert np.mean(toxic) - np.mean(clean) > 0.7
+
+
 def test_token_blocks(spark, ids):
     rows = QUERIES["op2_token_blocks"](spark, SF_DIR).collect()
     start, wanted = 0, []
