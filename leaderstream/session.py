@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once below the checkpoint folder and read from there, with their order within files."""
+    path = shared_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The rows computed once and kept in the checkpoint folder."""
     spark = frame.sparkSession
