@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from leaderstream.session import shared_dir
 
-from . import chat, embeddings, exact, minhash, mixing, packing, secrets, token_blocks, toxicity, warc
+from . import alignment, chat, embeddings, exact, merkle, minhash, mixing, packing, secrets, token_blocks, toxicity, url_filter, warc
 from .tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,33 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(docs, secrets.train(docs))
 
 
+#: Rules of ``op11_url_filter``.
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.features(pages, url_filter.lexicon(pages))
+    urls = pages.select("page_id", "url")
+    judged = url_filter.judged(urls, url_filter.learn(found), found, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_blocks": op2_token_blocks,
@@ -87,4 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_url_filter": op11_url_filter,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
 }
