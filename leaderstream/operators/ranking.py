@@ -18,6 +18,7 @@ from leaderstream.metrics import (
     unranked_individual,
 )
 from leaderstream.operators.balance import top_k_per_group
+from leaderstream.operators.numbering import numbered
 from leaderstream.operators.serving import read_table
 
 # Lanes of the level between the tasks' own cut and the final one per table.
@@ -26,7 +27,8 @@ LANES = 64
 TIES = ("Name", "Team", "offset", "Value", "Cl", "Position")
 
 
-def _order(by: str, direction: Column, ties: Sequence[str]) -> list[Column]:
+def rank_order(by: str, direction: Column, ties: Sequence[str]) -> list[Column]:
+    """The order of a board, for a ``direction`` of ``asc``, ``desc`` or NULL."""
     ascending, descending = direction == "asc", direction == "desc"
     if by == "text":
         value = F.col("Value")
@@ -61,7 +63,7 @@ def leaderboards(
     """
     directed = stats.withColumn("_direction", rank_direction(metrics, F.col("table_name")))
     direction = F.col("_direction")
-    order = _order(by, direction, ties)
+    order = rank_order(by, direction, ties)
     best = top_k_per_group(directed, ["table_name"], order, rows, position="place", lanes=LANES)
     return _ranked(best, rows, direction).drop("_direction")
 
@@ -79,7 +81,24 @@ def leaderboard(
     A global order with a limit: every task keeps its best rows in a heap.
     """
     direction = rank_direction(metrics, F.lit(name))
-    order = _order(by, direction, ties)
+    order = rank_order(by, direction, ties)
     best = read_table(stats, name).orderBy(*order).limit(rows)
     numbered = best.withColumn("place", F.row_number().over(W.partitionBy("table_name").orderBy(*order)))
     return _ranked(numbered, rows, direction)
+
+
+def rank_all(
+    stats: DataFrame,
+    metrics: Sequence[Metric] = METRICS,
+    by: str = "number",
+    ties: Sequence[str] = TIES,
+) -> DataFrame:
+    """Every row of every table with its ``Rank`` and ``place``, in the order of ``leaderboards`` and without its limit.
+
+    Places come from ranges and sums of counts (see ``numbered``), so neither a hot table nor a value that
+    most rows share meets in one task.
+    """
+    directed = stats.withColumn("_direction", rank_direction(metrics, F.col("table_name")))
+    direction = F.col("_direction")
+    placed = numbered(directed, ["table_name"], rank_order(by, direction, ties), position="place")
+    return placed.withColumn("Rank", F.when(direction.isNotNull(), F.col("place"))).drop("_direction")

@@ -109,14 +109,38 @@ def team_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(team_rows(read(spark, sf_dir, "lineitem")))
 
 
-def message_files(messages: DataFrame, purpose: str) -> str:
-    """Messages in a fresh folder, one file for each of their few batches, written in order."""
+# Files of a batch of a stream, at most.
+BATCH_FILES = 8
+
+
+def message_files(messages: DataFrame, purpose: str) -> tuple[str, int]:
+    """Messages in a fresh folder, and how many files each of their few batches has there.
+
+    All batches are encoded and written in one pass, by as many tasks as a batch has files. Files of a
+    batch are as old as its place in the order of batches, which is the order streams read files in.
+    """
     spark = messages.sparkSession
     path = shared_dir(spark, purpose)
-    for (batch,) in sorted(messages.select("batch_id").distinct().collect()):
-        one = messages.where(F.col("batch_id") == batch).select("value", "offset")
-        one.coalesce(1).write.mode("append").parquet(path)
-    return path
+    slot = F.pmod(F.xxhash64("offset"), F.lit(BATCH_FILES)).alias("slot")
+    dealt = messages.select("value", "offset", "batch_id", slot)
+    # A few numbers for each batch: a stream takes whole batches only where all have the same number of files.
+    found = [(r.batch_id, r.slot) for r in messages.select("batch_id", slot).distinct().collect()]
+    batches = sorted({b for b, _ in found})
+    files = BATCH_FILES
+    while len({(b, s % files) for b, s in found}) < files * len(batches):
+        files //= 2
+    dealt = dealt.withColumn("slot", F.col("slot") % files).repartition(files, "slot")
+    dealt.write.partitionBy("batch_id", "slot").parquet(path)
+    for age, batch in enumerate(reversed(batches)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch}/*/*.parquet")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(folder):
+            fs.setTimes(status.getPath(), _NEWEST - 1000 * age, -1)
+    return path, files
+
+
+# When the last batch of a stream was written: 2024-01-01, in milliseconds.
+_NEWEST = 1_704_067_200_000
 
 
 def weekly(rows: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ _ASC = "('individual_earned_run_average', 'individual_whip', 'team_earned_run_av
 _UNRANKED = "('individual_saves', 'team_saves')"
 
 
-def _ranked(source: str, name: str, by: str, ties: str) -> str:
-    """Rows of a source with ``place`` and ``rank_`` per table, at most 300."""
+def _ranked(source: str, name: str, by: str, ties: str, kind: str = "integer", limit: str = "place <= 300") -> str:
+    """Rows of a source with ``place`` and ``rank_`` per table, at most 300 unless another limit is given."""
     if by == "text":
         value = (
             f'case when table_name in {_ASC} then "Value" end asc nulls first, '
@@ -80,9 +80,9 @@ def _ranked(source: str, name: str, by: str, ties: str) -> str:
         )
     return f"""
 {name} as (
-  select *, cast(case when table_name not in {_UNRANKED} then place end as integer) as "Rank" from (
-    select *, cast(row_number() over (partition by table_name order by {value}, {ties}) as integer) as place
-    from {source}) where place <= 300)"""
+  select *, cast(case when table_name not in {_UNRANKED} then place end as {kind}) as "Rank" from (
+    select *, cast(row_number() over (partition by table_name order by {value}, {ties}) as {kind}) as place
+    from {source}) where {limit})"""
 
 
 _IND_TIES = '"Name" asc nulls first, "Team" asc nulls first, "offset" asc'
@@ -258,6 +258,18 @@ qualify row_number() over (partition by table_name, "Team"
     + f'select {_PLAYER}, "Rank", "offset" from board',
     "rank_numeric": _with(_TEAM, _TEAM_STATE, _ranked("team_state", "board", "number", _TEAM_TIES))
     + 'select table_name, "Team", "Value", "Rank", "offset" from board',
+    "rank_all_rows": _with(
+        _IND,
+        _IND_STATE,
+        _TEAM,
+        _TEAM_STATE,
+        _ranked("ind_state", "players", "number", _IND_TIES, "bigint", "true"),
+        _ranked("team_state", "teams", "number", _TEAM_TIES, "bigint", "true"),
+    )
+    + f"""select {_PLAYER}, "Rank", place, "offset" from players
+union all select table_name, null, "Team", null, null, "Value", "Rank", place, "offset" from teams""",
+    "rank_all_text": _with(_TEAM, _ranked("team", "board", "text", _TEAM_TIES, "bigint", "true"))
+    + 'select table_name, "Team", "Value", "Rank", place, "offset" from board',
     "leaderboard": _with(
         _IND,
         _IND_STATE,
@@ -361,6 +373,17 @@ qualify rank() over (partition by table_name, "Name", "Team" order by batch_id d
     "stream_upsert_team": _UPSERT_TEAM,
     "stream_latest": _LATEST_IND,
     "stream_rejects": _QUARANTINE,
+    "stream_served": _with(
+        _IND,
+        _WEEKLY,
+        """
+state as (
+  select * from weekly
+  qualify rank() over (partition by table_name, "Name", "Team" order by batch_id desc) = 1
+       or "Name" is null or "Team" is null)""",
+        _ranked("state", "board", "number", _IND_TIES),
+    )
+    + f'select {_PLAYER}, "Rank", place, "offset" from board',
     "stream_snapshots": _with(
         _IND,
         _TEAM,

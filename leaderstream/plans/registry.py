@@ -16,6 +16,7 @@ from leaderstream.session import settled, shared_dir
 from leaderstream.sources import messages, pages
 from leaderstream.streaming import ingest, latest
 from leaderstream.streaming.epoch_log import EpochLog
+from leaderstream.streaming.served import ServedRows
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAYER = ["table_name", "Name", "Team", "Cl", "Position", "Value"]
@@ -149,6 +150,15 @@ def rank_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.leaderboards(state).select("table_name", "Team", "Value", "Rank", "offset")
 
 
+def rank_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    both = upsert.resolve_batches(fx.players(spark, sf)).unionByName(upsert.resolve_batches(fx.teams(spark, sf)))
+    return ranking.rank_all(both).select(*PLAYER, "Rank", "place", "offset")
+
+
+def rank_all_text(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.rank_all(fx.teams(spark, sf), by="text").select("table_name", "Team", "Value", "Rank", "place", "offset")
+
+
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: messages of players and teams parsed into a log, upserted and ranked."""
     log = EpochLog(spark, shared_dir(spark, "leaderboard"))
@@ -271,17 +281,21 @@ def scrape_events(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("url", "page_no", "row_no", "value")
 
 
-# Streams: one file, and so one epoch, for each batch
+# Streams: one epoch for each batch
+
+
+def _stream(spark: SparkSession, sent: DataFrame, purpose: str) -> DataFrame:
+    path, files = fx.message_files(sent, purpose)
+    return messages.table_stream(spark, path, max_files=files).select("value", "offset")
 
 
 def _player_stream(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.weekly(fx.player_rows(fx.read(spark, sf, "events")))
-    return messages.table_stream(spark, fx.message_files(fx.messages(rows), "player-messages"), max_files=1)
+    return _stream(spark, fx.messages(rows), "player-messages")
 
 
 def _team_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.team_rows(fx.read(spark, sf, "lineitem"))
-    return messages.table_stream(spark, fx.message_files(fx.messages(rows), "team-messages"), max_files=1)
+    return _stream(spark, fx.messages(fx.team_rows(fx.read(spark, sf, "lineitem"))), "team-messages")
 
 
 def _ingested(spark: SparkSession, source: DataFrame, purpose: str, **options) -> EpochLog:
@@ -311,7 +325,7 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     log = EpochLog(spark, shared_dir(spark, "stream-rejects"))
     damaged = fx.damaged_messages(spark, sf).withColumn("batch_id", F.col("offset") % 4)
-    source = messages.table_stream(spark, fx.message_files(damaged, "damaged-messages"), max_files=1)
+    source = _stream(spark, damaged, "damaged-messages")
     for query in latest.start_latest_events(source, log, available_now=True):
         query.awaitTermination()
     rejects = spark.read.parquet(f"{log.root}/rejects")
@@ -319,12 +333,22 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    log = _ingested(spark, _team_stream(spark, sf), "stream-snapshots")
+    log = EpochLog(spark, shared_dir(spark, "stream-snapshots"))
+    served = ServedRows(log)
+    ingest.start_ingest(_team_stream(spark, sf), log, available_now=True, served=served).awaitTermination()
     path = f"{log.root}/snapshots"
-    ingest.publish_snapshots(log, path, 1, prefix=TEAM)
+    ingest.publish_snapshots(log, path, 1, prefix=TEAM, served=served)
     return serving.latest_snapshots(spark.read.parquet(path))
 
 
+def stream_served(spark: SparkSession, sf: str) -> DataFrame:
+    """Served rows kept up over the epochs of a stream, with a reserve so small that tables run dry."""
+    log = EpochLog(spark, shared_dir(spark, "stream-served"))
+    served = ServedRows(log, reserve=20)
+    ingest.start_ingest(_player_stream(spark, sf), log, available_now=True, served=served).awaitTermination()
+    return served.read().select(*PLAYER, "Rank", "place", "offset")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -347,6 +371,8 @@ QUERIES: dict[str, Query] = {
         upsert_latest_individual,
         rank_lexicographic,
         rank_numeric,
+        rank_all_rows,
+        rank_all_text,
         leaderboard,
         unranked_limit,
         leaderboard_filtered,
@@ -369,5 +395,6 @@ QUERIES: dict[str, Query] = {
         stream_latest,
         stream_rejects,
         stream_snapshots,
+        stream_served,
     )
 }

@@ -60,6 +60,11 @@ class EpochLog:
         """Committed epochs."""
         return [n for n, _ in self._committed("epochs")]
 
+    def epoch(self, number: int) -> DataFrame:
+        """The rows that one epoch wrote."""
+        reader = self.spark.read.schema(STATS).option("basePath", f"{self.root}/epochs")
+        return reader.parquet(f"{self.root}/epochs/epoch={number}").select(*STATS.fieldNames())
+
     def _parts(self) -> dict[str, list[tuple[int, str]]]:
         """The folders that make up the log."""
         bases = self._committed("bases")[-1:]

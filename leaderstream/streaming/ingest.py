@@ -14,6 +14,7 @@ from leaderstream.operators.ranking import leaderboards
 from leaderstream.operators.serving import snapshots
 from leaderstream.session import check_time_zone
 from leaderstream.streaming.epoch_log import EpochLog
+from leaderstream.streaming.served import ServedRows
 
 
 def ingest_batch(
@@ -25,8 +26,11 @@ def ingest_batch(
     retention_seconds: float = 3600,
     null_keys: str = "keep",
     after: Callable[[int], object] | None = None,
+    served: ServedRows | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """The callback of one micro-batch: its rows to the log, its rejects aside."""
+    """The callback of one micro-batch: its rows to the log, its rejects aside, its tables' first rows kept up."""
+    if snapshots_to and served is None:
+        served = ServedRows(log, metrics)
 
     def write(batch: DataFrame, epoch: int) -> None:
         judged = judge_events(batch, metrics).persist()
@@ -34,8 +38,10 @@ def ingest_batch(
             if not judged.isEmpty():
                 log.append(accepted_rows(judged, null_keys), epoch)
                 write_rejects(judged, log, epoch)
+                if served:
+                    served.update(epoch)
                 if snapshots_to:
-                    publish_snapshots(log, snapshots_to, epoch, metrics, "", accepted_rows(judged))
+                    _publish(served.read(log.epoch(epoch)), snapshots_to, epoch, "")
         finally:
             judged.unpersist()
         fold(log, epoch, compact_every, full_every, retention_seconds)
@@ -75,7 +81,8 @@ def start_ingest(
     since the last time and ``full_every`` everything, each after so many
     epochs, ``retention_seconds`` later folded folders go, ``snapshots_to``
     publishes the tables each epoch changed, ``null_keys="reject"`` keeps rows
-    without a usable key out of the tables, and ``after`` is called with each epoch.
+    without a usable key out of the tables, ``served`` keeps the first rows of all tables up to date
+    (snapshots come from these, by default from its own), and ``after`` is called with each epoch.
     """
     check_time_zone(messages.sparkSession)
     writer = (
@@ -96,10 +103,12 @@ def publish_snapshots(
     version: int,
     metrics: Sequence[Metric] = METRICS,
     prefix: str = INDIVIDUAL,
-    changed: DataFrame | None = None,
+    served: ServedRows | None = None,
 ) -> None:
-    """Write the current JSON document of every table, or of those in ``changed``, as one version."""
-    documents = snapshots(leaderboards(log.state(tables=changed), metrics), prefix)
-    documents.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
-        f"{path.rstrip('/')}/run={version}"
-    )
+    """Write the current JSON document of every table as one version, from ``served`` rows or from the log."""
+    _publish(served.read() if served else leaderboards(log.state(), metrics), path, version, prefix)
+
+
+def _publish(rows: DataFrame, path: str, version: int, prefix: str) -> None:
+    documents = snapshots(rows, prefix).withColumn("version", F.lit(version).cast("bigint"))
+    documents.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={version}")
