@@ -6,8 +6,9 @@ overlap links. Places where tokens of both end cut the text into groups; inciden
 alike, gives the links inside groups. Matrices are compressed sparse rows built from lengths alone, products go
 row by row (Gustavson): a row of the product adds up the right rows that the ones of the left row name.
 
-Neither vocabulary has a piece that goes on beyond a space, so words of a text (each with the space before it) are aligned once
-and remembered; other texts are aligned whole. Many words or texts lie in one block-diagonal matrix.
+Neither vocabulary has a piece that goes on beyond a space, so the ids of a text are those of its words, each with the
+space before it, and most words are remembered; texts with other runs of white space are encoded whole. Many texts
+lie in one block-diagonal matrix.
 
 Counts over the corpus: a task hands on each slice of documents as one row, with its links as id pairs, and from these
 the distinct pairs of each slice are counted, joined with the corpus-wide counts, and come back to their slice. A slice
@@ -16,6 +17,9 @@ has bounded bytes but for a longer single text, so its pairs are bounded too, ho
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -29,12 +33,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import kept
-from .tokens import REMEMBERED, _byte_letters
+from .tokens import _byte_letters
 
 #: Texts of a slice, and about as many bytes.
 TEXTS, BYTES = 4096, 1 << 22
+#: Bytes that lie in one matrix, but for longer single texts, and of a stretch of its product.
+MATRIX, STRETCH = 1 << 20, 1 << 20
+#: Words a worker remembers before it starts anew.
+REMEMBERED = 400_000
 KINDS = ("overlap", "group", "end")
 
+#: White space that a cut at spaces could part.
+_ODD = re.compile(r"^\s| \s|\s |\s$")
+#: What stands behind an id: more of its kind, the other kind, a group, nothing.
+_MARKS = (",", "|", ";", "")
+#: Words that are encoded at a time.
+_FEW = 4096
+
 
 class Csr(NamedTuple):
     """Rows of a sparse matrix: row ``i`` has ``data`` in the columns ``indices``, from ``indptr[i]`` to ``indptr[i + 1]``."""
@@ -49,8 +64,8 @@ def gustavson(left: Csr, right: Csr, columns: int) -> tuple[np.ndarray, np.ndarr
     lengths = np.diff(right.indptr).take(left.indices)
     total = int(lengths.sum())
     row = np.repeat(np.repeat(np.arange(len(left.indptr) - 1), np.diff(left.indptr)), lengths)
-    begins = np.repeat(right.indptr.take(left.indices) - (np.cumsum(lengths) - lengths), lengths)
-    at = begins + np.arange(total)
+    at = np.repeat(right.indptr.take(left.indices) - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(total)
     value = np.repeat(left.data, lengths) * right.data.take(at)
     key = row * columns + right.indices.take(at)
     if total and (key[1:] < key[:-1]).any():
@@ -74,8 +89,25 @@ def covered(lengths: np.ndarray) -> Csr:
 
 
 def overlap_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of two rows of lengths over the same bytes that share bytes, and how many."""
-    return gustavson(covering(a), covered(b), max(1, len(b)))
+    """Tokens of two rows of lengths over the same bytes that share bytes, and how many.
+
+    Rows of the product are independent, so it is made in stretches of ``STRETCH`` bytes, each with the tokens of ``b``
+    that reach into it.
+    """
+    ends_a, ends_b = np.cumsum(a), np.cumsum(b)
+    found = [(np.empty(0, np.int64),) * 3]
+    first = 0
+    while first < len(a):
+        begin = int(ends_a[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends_a, begin + STRETCH, side="right")))
+        end = int(ends_a[last - 1])
+        j = int(np.searchsorted(ends_b, begin, side="right"))
+        k = int(np.searchsorted(ends_b, end, side="left")) + 1
+        inside = np.minimum(ends_b[j:k], end) - np.maximum(ends_b[j:k] - b[j:k], begin)
+        rows, columns, shared = gustavson(covering(a[first:last]), covered(inside), max(1, k - j))
+        found.append((rows + first, columns + j, shared))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def end_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +135,31 @@ def group_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return gustavson(left, right, max(1, len(b)))
 
 
-class _Word(NamedTuple):
-    """What a remembered word, or a whole text, adds to a document."""
+class Tokens(NamedTuple):
+    """Ids of both kinds for many texts one after the other, and how many each text has."""
+
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
+
+
+class _Vocabulary:
+    """Bytes of each id, end to end."""
 
-    a: list[int]
-    b: list[int]
-    groups: str
-    links: bytes
-    same: bool
+    def __init__(self, of_ids: list[bytes]):
+        if len(of_ids) > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        self.lengths = np.array([len(x) for x in of_ids])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.all = np.frombuffer(b"".join(of_ids), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a row of ids."""
+        lengths = self.lengths.take(ids)
+        at = np.repeat(self.begins.take(ids) - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.all.take(at)
 
 
 class Pair:
@@ -121,89 +170,100 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        # Cores are dealt out by Spark.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer_a = Tokenizer.from_file(a_path)
+        self.tokenizer_a.encode_special_tokens = True
+        self.tokenizer_b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {chr(letter): code for code, letter in ({b: b for b in range(256)} | _byte_letters()).items()}
-        vocabulary = self.a.get_vocab()
-        n = max(vocabulary.values()) + 1
-        if max(n, self.b.get_piece_size()) > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        self.a_bytes = [b""] * n
+        vocabulary = self.tokenizer_a.get_vocab()
+        of_ids = [b""] * (max(vocabulary.values()) + 1)
         for text, number in vocabulary.items():
             known = all(c in byte for c in text)
-            self.a_bytes[number] = bytes(byte[c] for c in text) if known else text.encode()
-        pieces = [(self.b.id_to_piece(k), self.b.is_byte(k)) for k in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces]
-        self.a_lengths = np.array([len(x) for x in self.a_bytes])
-        self.b_lengths = np.array([len(x) for x in self.b_bytes])
+            of_ids[number] = bytes(byte[c] for c in text) if known else text.encode()
+        self.a = _Vocabulary(of_ids)
+        numbers = range(self.tokenizer_b.get_piece_size())
+        pieces = [(self.tokenizer_b.id_to_piece(k), self.tokenizer_b.is_byte(k)) for k in numbers]
+        self.b = _Vocabulary([bytes([int(p[3:5], 16)]) if single else p.replace("▁", " ").encode() for p, single in pieces])
         # Words can stand alone only where no piece goes on beyond a space.
-        self.by_words = not any("▁" in p.lstrip("▁") for p, is_byte in pieces if not is_byte)
-        self.words: dict[str, _Word] = {}
-
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
-
-    def aligned(self, texts: list[str]) -> list[_Word]:
-        """Texts as they are, none of them empty, all in one matrix."""
-        a_ids, b_ids = self.encoded(texts)
-        same = [
-            b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == (" " + t).encode()
-            for a, b, t in zip(a_ids, b_ids, texts, strict=True)
-        ]
-        fits = [(a, b) for a, b, s in zip(a_ids, b_ids, same, strict=True) if s]
-        found = iter(self._many(fits))
-        nothing = _Word([], [], "", b"", False)
-        return [next(found) if s else nothing for s in same]
-
-    def _many(self, fits: list[tuple[list[int], list[int]]]) -> list[_Word]:
-        if not fits:
-            return []
-        n_a, n_b = np.array([len(a) for a, _ in fits]), np.array([len(b) for _, b in fits])
-        a = np.fromiter((x for a, _ in fits for x in a), np.int64, int(n_a.sum()))
-        b = np.fromiter((x for _, b in fits for x in b), np.int64, int(n_b.sum()))
-        i, j = end_links(self.a_lengths[a], self.b_lengths[b])
-        pairs = (a[i] << 16 | b[j]).astype("<u4")
-        # A text ends with a link, so links of texts are cut where their tokens end.
-        cuts = np.searchsorted(i, np.cumsum(n_a) - 1, side="right")
-        out, begin, a_at, b_at = [], 0, 0, 0
-        ends_a, ends_b = (i + 1).tolist(), (j + 1).tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for (a_ids, b_ids), end in zip(fits, cuts.tolist(), strict=True):
-            groups = []
-            for k in range(begin, end):
-                groups.append(",".join(a_text[a_at : ends_a[k]]) + "|" + ",".join(b_text[b_at : ends_b[k]]))
-                a_at, b_at = ends_a[k], ends_b[k]
-            out.append(_Word(a_ids, b_ids, ";".join(groups), pairs[begin:end].tobytes(), True))
-            begin = end
-        return out
-
-    def parts(self, text: str) -> list[str]:
-        """Words that can stand alone, or the text as one."""
-        if not self.by_words:
-            return [text]
-        words = text.split(" ")
-        if not all(words) or any(w[0].isspace() or w[-1].isspace() for w in words):
-            return [text]
-        return words
-
-    def documents(self, texts: list[str | None]) -> list[list[_Word]]:
-        """The parts of each text; none where it is NULL or empty, or where its tokens don't give its bytes."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        new = list({w for words in parts if len(words) > 1 for w in words if w not in self.words})
-        for at in range(0, len(new), TEXTS):
-            few = new[at : at + TEXTS]
-            self.words.update(zip(few, self.aligned(few), strict=True))
-        get = self.words.__getitem__
-        found = [list(map(get, words)) if len(words) > 1 else [] for words in parts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        # Single words, other texts, and those whose words don't give their bytes: whole.
-        whole = [k for k, t in enumerate(texts) if t and (not found[k] or not all(w.same for w in found[k]))]
-        for k, one in zip(whole, self.aligned([texts[k] for k in whole]), strict=True):
-            found[k] = [one] if one.same else []
-        return found
+        self.by_words = not any("▁" in p.lstrip("▁") for p, single in pieces if not single)
+        #: Word, with the space before it, to the ids of both kinds as 16-bit numbers.
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        #: Each id as text with each of ``_MARKS`` behind it, see ``group_texts``.
+        size = max(len(self.a.lengths), len(self.b.lengths))
+        self.marked = [f"{number}{mark}" for number in range(size) for mark in _MARKS]
+
+    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        a = self.tokenizer_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        b = self.tokenizer_b.encode(texts, num_threads=1)
+        return [(array("H", x.ids).tobytes(), array("H", y).tobytes()) for x, y in zip(a, b, strict=True)]
+
+    def tokens(self, texts: list[str | None]) -> Tokens:
+        """None where a text is NULL or empty, or where its ids of either kind don't spell a space and the text."""
+        texts = [t or "" for t in texts]
+        # Mostly single spaces alone; the pattern is for the others.
+        plain = [bool(t) and self.by_words and (" ".join(t.split()) == t or not _ODD.search(t)) for t in texts]
+        words = [t.split(" ") if p else () for t, p in zip(texts, plain, strict=True)]
+        known = self.words
+        new = list(set().union(*words).difference(known))
+        for at in range(0, len(new), _FEW):
+            known.update(zip(new[at : at + _FEW], self.encoded(new[at : at + _FEW]), strict=True))
+        found = [list(map(known.__getitem__, some)) for some in words]
+        whole = [k for k, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
+        for k in whole:
+            found[k] = self.encoded([texts[k]])
+        if len(known) > REMEMBERED:
+            known.clear()
+        a = [b"".join([w[0] for w in some]) for some in found]
+        b = [b"".join([w[1] for w in some]) for some in found]
+        n_a, n_b = np.array([len(x) // 2 for x in a]), np.array([len(x) // 2 for x in b])
+        tokens = Tokens(_ids(a), n_a, _ids(b), n_b)
+        return self._spelled(texts, tokens)
+
+    def _spelled(self, texts: list[str], tokens: Tokens) -> Tokens:
+        """Without the tokens of texts that they don't spell."""
+        wanted = [(" " + t).encode() if t else b"" for t in texts]
+        size = np.array([len(w) for w in wanted])
+        right = np.ones(len(texts), bool)
+        for ids, n, vocabulary in ((tokens.a, tokens.n_a, self.a), (tokens.b, tokens.n_b, self.b)):
+            right &= _sums(vocabulary.lengths.take(ids), n) == size
+        same = np.frombuffer(b"".join([w for w, r in zip(wanted, right, strict=True) if r]), np.uint8)
+        keep_a, keep_b = np.repeat(right, tokens.n_a), np.repeat(right, tokens.n_b)
+        differ = (self.a.spell(tokens.a[keep_a]) != same) | (self.b.spell(tokens.b[keep_b]) != same)
+        if differ.any():
+            right[np.flatnonzero(right)[_sums(differ, size[right]) > 0]] = False
+            keep_a, keep_b = np.repeat(right, tokens.n_a), np.repeat(right, tokens.n_b)
+        return Tokens(tokens.a[keep_a], tokens.n_a * right, tokens.b[keep_b], tokens.n_b * right)
+
+    def links(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """End links of all texts, in one block-diagonal product."""
+        return end_links(self.a.lengths.take(tokens.a), self.b.lengths.take(tokens.b))
+
+    def group_texts(self, tokens: Tokens, i: np.ndarray, j: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` for each text: ids of both kinds by group."""
+        ga, gb = group_of(len(tokens.a), i), group_of(len(tokens.b), j)
+        before_b = np.append(0, j + 1)  # tokens of b up to each group
+        mark_a, mark_b = np.zeros(len(ga), np.int64), np.zeros(len(gb), np.int64)
+        mark_a[i], mark_b[j] = 1, 2
+        ends = np.cumsum(tokens.n_b)
+        mark_b[ends[tokens.n_b > 0] - 1] = 3
+        out = np.empty(len(ga) + len(gb), np.int64)
+        out[np.arange(len(ga)) + before_b.take(ga)] = tokens.a * 4 + mark_a
+        out[np.arange(len(gb)) + (i + 1).take(gb)] = tokens.b * 4 + mark_b
+        parts = list(map(self.marked.__getitem__, out.tolist()))
+        cuts = np.append(0, np.cumsum(tokens.n_a + tokens.n_b)).tolist()
+        return ["".join(parts[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _ids(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "=u2").astype(np.int64)
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums over stretches of these lengths."""
+    ends = np.cumsum(n)
+    sums = np.append(0, np.cumsum(values))
+    return sums[ends] - sums[ends - n]
 
 
 @lru_cache(maxsize=2)
@@ -224,6 +284,9 @@ def _slices(batch: pa.RecordBatch, texts: int, most: int) -> Iterator[pa.RecordB
         at += n
 
 
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
 def _encode(a_path: str, b_path: str, id_type: pa.DataType):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -231,26 +294,29 @@ def _encode(a_path: str, b_path: str, id_type: pa.DataType):
         tokenizers, number = pair(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in _slices(batch, TEXTS, BYTES):
-                documents = tokenizers.documents(part.column(1).to_pylist())
-                links = [b"".join([w.links for w in words]) for words in documents]
-                texts = [";".join([w.groups for w in words]) for words in documents]
-                columns = {
-                    "slice": pa.array([number], pa.int64()),
-                    "ids": pa.array([part.column(0).to_pylist()], pa.list_(id_type)),
-                    "n_a": [sum([len(w.a) for w in words]) for words in documents],
-                    "n_b": [sum([len(w.b) for w in words]) for words in documents],
-                    "n_groups": [sum([w.groups.count("|") for w in words]) for words in documents],
-                    "n_links": [len(one) // 4 for one in links],
-                    "groups_sha256": [sha256(t.encode()).hexdigest() if t else "" for t in texts],
-                    "links": pa.array([b"".join(links)], pa.binary()),
-                }
-                for name, value in columns.items():
-                    if isinstance(value, list):
-                        kind = pa.string() if name == "groups_sha256" else pa.int64()
-                        columns[name] = pa.array([value], pa.list_(kind))
-                yield pa.RecordBatch.from_pydict(columns)
+                found = [of(tokenizers, few.column(1).to_pylist()) for few in _slices(part, TEXTS, MATRIX)]
+                counts, texts, links = zip(*found, strict=True)
+                lists = [pa.array([x], pa.list_(pa.int64())) for x in np.concatenate(counts, axis=1)]
+                columns = [
+                    pa.array([number], pa.int64()),
+                    pa.array([part.column(0).to_pylist()], pa.list_(id_type)),
+                    *lists,
+                    pa.array([[t for some in texts for t in some]], pa.list_(pa.string())),
+                    pa.array([b"".join(links)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "ids", *_COUNTS, "groups_sha256", "links"])
                 number += 1
 
+    def of(tokenizers: Pair, texts: list[str | None]) -> tuple[np.ndarray, list[str], bytes]:
+        tokens = tokenizers.tokens(texts)
+        i, j = tokenizers.links(tokens)
+        # A group has one link: where its last tokens end.
+        n_links = np.diff(np.append(0, np.searchsorted(i, np.cumsum(tokens.n_a))))
+        n_groups = np.bincount(np.repeat(np.arange(len(texts)), tokens.n_a)[i], minlength=len(texts))
+        digests = [sha256(t.encode()).hexdigest() if t else "" for t in tokenizers.group_texts(tokens, i, j)]
+        links = (tokens.a[i] << 16 | tokens.b[j]).astype("<u4")
+        return np.array([tokens.n_a, tokens.n_b, n_groups, n_links]), digests, links.tobytes()
+
     return encoded
 
 
@@ -269,7 +335,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             columns = {name: batch.column(name).slice(row, 1) for name in batch.schema.names}
-            out = {name: columns[name].flatten() for name in ("ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+            out = {name: columns[name].flatten() for name in ("ids", *_COUNTS, "groups_sha256")}
             links = np.frombuffer(columns["links"][0].as_buffer(), "<u4")
             counts = columns["counts"].flatten()
             known = [counts.field(k).to_numpy(zero_copy_only=False) for k in range(3)] if len(counts) else [np.empty(0, np.int64)] * 3
@@ -292,8 +358,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     table gives an empty result.
     """
     kind = docs.schema[doc_id].dataType
-    lists = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>"
-    schema = f"slice bigint, ids array<{kind.simpleString()}>, {lists}, links binary"
+    lists = ", ".join(f"{n} array<bigint>" for n in _COUNTS)
+    schema = f"slice bigint, ids array<{kind.simpleString()}>, {lists}, groups_sha256 array<string>, links binary"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     slices = kept(source.mapInArrow(_encode(a_path, b_path, to_arrow_type(kind)), schema), "align-slices")
     pairs = kept(slices.select("slice", "links").mapInArrow(_distinct, "slice bigint, pair bigint, n bigint"), "align-pairs")
@@ -303,10 +369,10 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     counts = kept(counts.withColumn("best", (F.col("count") == best).cast("int")), "align-counts")
     of_slices = pairs.select("slice", "pair").join(counts, "pair").groupBy("slice")
     of_slices = kept(of_slices.agg(F.collect_list(F.struct("pair", "count", "best")).alias("counts")), "align-found")
-    longs = ["n_a", "n_b", "n_groups", "n_links"]
-    out = f"doc_id {kind.simpleString()}, {', '.join(f'{n} bigint' for n in longs)}, groups_sha256 string, n_best bigint, count_sum bigint"
+    longs = ", ".join(f"{n} bigint" for n in _COUNTS)
+    out = f"doc_id {kind.simpleString()}, {longs}, groups_sha256 string, n_best bigint, count_sum bigint"
     found = slices.join(of_slices, "slice", "left").mapInArrow(_digest, out)
-    return found.select("doc_id", *longs, "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
 def token_links(
@@ -320,17 +386,18 @@ def token_links(
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}, not {kind!r}")
     id_type = docs.schema[doc_id].dataType
+    make = {"overlap": overlap_links, "group": group_links, "end": end_links}[kind]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = pair(a_path, b_path)
         for batch in batches:
-            for part in _slices(batch, 256, BYTES):
+            for part in _slices(batch, TEXTS, MATRIX):
+                tokens = tokenizers.tokens(part.column(1).to_pylist())
+                of_a = np.split(tokens.a, np.cumsum(tokens.n_a)[:-1])
+                of_b = np.split(tokens.b, np.cumsum(tokens.n_b)[:-1])
                 rows = []
-                for words in tokenizers.documents(part.column(1).to_pylist()):
-                    a = np.array([x for w in words for x in w.a], np.int64)
-                    b = np.array([x for w in words for x in w.b], np.int64)
-                    make = {"overlap": overlap_links, "group": group_links, "end": end_links}[kind]
-                    links = make(tokenizers.a_lengths[a], tokenizers.b_lengths[b])
+                for a, b in zip(of_a, of_b, strict=True):
+                    links = make(tokenizers.a.lengths.take(a), tokenizers.b.lengths.take(b))
                     weight = links[2] if len(links) == 3 else np.ones(len(links[0]), np.int64)
                     rows.append((a, b, links[0], links[1], weight))
                 lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(5)]
