@@ -9,18 +9,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
 from leaderstream.operators import prompts, serving
-from leaderstream.operators.ranking import leaderboard, leaderboards
+from leaderstream.operators.ranking import leaderboard, leaderboards, rank_all
 from leaderstream.session import check_time_zone
 from leaderstream.streaming import ingest
+from leaderstream.streaming.bucket_log import BucketLog
 from leaderstream.streaming.epoch_log import EpochLog
 
 
 class Board:
     """Ingest events, then list, rank, filter and export the metric tables."""
 
-    def __init__(self, spark: SparkSession, root: str, metrics: Sequence[Metric] = METRICS, by: str = "number") -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        metrics: Sequence[Metric] = METRICS,
+        by: str = "number",
+        buckets: int | None = None,
+    ) -> None:
+        """``buckets`` of each table keep the state in a ``BucketLog``; without them it is an ``EpochLog``."""
         check_time_zone(spark)
-        self.log = EpochLog(spark, root)
+        self.log = BucketLog(spark, root, buckets) if buckets else EpochLog(spark, root)
         self.metrics = metrics
         self.by = by
 
@@ -44,6 +53,10 @@ class Board:
             served = leaderboard(self.stats(name), name, self.metrics, self.by)
         return serving.filter_rows(served, team, cl, position)
 
+    def ranks(self, name: str | None = None) -> DataFrame:
+        """Every row of one table, or of all, with its rank."""
+        return rank_all(self.stats(name), self.metrics, self.by)
+
     def records(self, name: str) -> DataFrame:
         return serving.records(self.leaderboard(name))
 

@@ -197,6 +197,12 @@ qualify row_number() over (partition by table_name, "Name", "Team" order by even
 
 # Six days are a batch of the stream.
 _WEEKLY = "weekly as (select * replace (cast(batch_id // 6 as bigint) as batch_id) from ind)"
+_UPSERT_WEEKLY = (
+    _with(_IND, _WEEKLY)
+    + f'''select "offset", {_PLAYER}, batch_id from weekly
+qualify rank() over (partition by table_name, "Name", "Team" order by batch_id desc) = 1
+     or "Name" is null or "Team" is null'''
+)
 _QUARANTINE = (
     _with(_IND)
     + """select case when k % 10 in (0, 1) then 'bad_envelope' when k % 10 = 2 then 'no_payload'
@@ -366,11 +372,10 @@ select 'https://www.example.com' || path || case when page_no > 1 then '/p' || c
        || cast(to_json("Team") as varchar) || ',"BA":"' || "BA" || '"}}}}' as value
 from (select *, case entity when 'team' then 'team' else 'player' end as kind
       from newest join first_gap using (path) join html_rows using (page_id) where page_no < stop)""",
-    "stream_upsert": _with(_IND, _WEEKLY)
-    + f'''select "offset", {_PLAYER}, batch_id from weekly
-qualify rank() over (partition by table_name, "Name", "Team" order by batch_id desc) = 1
-     or "Name" is null or "Team" is null''',
+    "stream_upsert": _UPSERT_WEEKLY,
     "stream_upsert_team": _UPSERT_TEAM,
+    "stream_buckets": _UPSERT_WEEKLY,
+    "stream_buckets_team": _UPSERT_TEAM,
     "stream_latest": _LATEST_IND,
     "stream_rejects": _QUARANTINE,
     "stream_served": _with(

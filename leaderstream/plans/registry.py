@@ -15,6 +15,7 @@ from leaderstream.plans import fixtures as fx
 from leaderstream.session import settled, shared_dir
 from leaderstream.sources import messages, pages
 from leaderstream.streaming import ingest, latest
+from leaderstream.streaming.bucket_log import BucketLog
 from leaderstream.streaming.epoch_log import EpochLog
 from leaderstream.streaming.served import ServedRows
 
@@ -315,6 +316,19 @@ def stream_upsert_team(spark: SparkSession, sf: str) -> DataFrame:
     return state.select("offset", "table_name", "Team", "Value", "batch_id")
 
 
+def stream_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    log = BucketLog(spark, shared_dir(spark, "stream-buckets"), buckets=4)
+    ingest.start_ingest(_player_stream(spark, sf), log, available_now=True, compact_every=1).awaitTermination()
+    return log.state().select("offset", *PLAYER, "batch_id")
+
+
+def stream_buckets_team(spark: SparkSession, sf: str) -> DataFrame:
+    log = BucketLog(spark, shared_dir(spark, "stream-buckets-team"), buckets=4)
+    options = {"compact_every": 1, "retention_seconds": 0}
+    ingest.start_ingest(_team_stream(spark, sf), log, available_now=True, **options).awaitTermination()
+    return log.state().select("offset", "table_name", "Team", "Value", "batch_id")
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     log = EpochLog(spark, shared_dir(spark, "stream-latest"))
     for query in latest.start_latest_events(_player_stream(spark, sf), log, available_now=True, compact_every=3):
@@ -392,6 +406,8 @@ QUERIES: dict[str, Query] = {
         scrape_events,
         stream_upsert,
         stream_upsert_team,
+        stream_buckets,
+        stream_buckets_team,
         stream_latest,
         stream_rejects,
         stream_snapshots,

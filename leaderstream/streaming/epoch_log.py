@@ -50,11 +50,14 @@ class EpochLog:
 
     def append(self, rows: DataFrame, epoch: int, batch: str | None = None) -> None:
         """Write one batch: the epoch, or what the column ``batch`` says, is the ``batch_id`` of its rows."""
+        self._write(self._numbered(rows, epoch, batch), f"{self.root}/epochs/epoch={epoch}")
+
+    def _numbered(self, rows: DataFrame, epoch: int, batch: str | None) -> DataFrame:
         number = F.lit(epoch) if batch is None else F.col(batch)
         rows = rows.withColumn("batch_id", number.cast("bigint"))
         if "offset" not in rows.columns:
             rows = rows.withColumn("offset", F.monotonically_increasing_id())
-        self._write(rows.select(*STATS.fieldNames()), f"{self.root}/epochs/epoch={epoch}")
+        return rows.select(*STATS.fieldNames())
 
     def epochs(self) -> list[int]:
         """Committed epochs."""
