@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import shingle_sets, slices, spread
-from .tables import kept
+from .tables import free_names, kept
 
 ROWS, BANDS = 5, 30
 #: Classes of a bucket that are compared in one piece.
@@ -273,6 +273,27 @@ def near_groups(
     )
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters: int) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the least ``doc_id``, NULL last, and of several with that
+    id the first one read. ``parameters`` are those of ``near_groups``.
+
+    Rows are told apart by a number of their own, so those that share a ``doc_id`` or have none are documents like any other.
+    """
+    row, member = free_names(docs, ["_row", "_member"])
+    rows = kept(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_groups(rows, doc_id=row, text=text, **parameters)
+    groups = kept(groups.select(F.col("doc_id").alias(member), "component_id"), "minhash-groups")
+    # Groups of one need no choice.
+    several = groups.where(F.col(member) != F.col("component_id")).select("component_id").distinct()
+    ids = rows.select(F.col(row).alias(member), F.col(doc_id).alias("_id"))
+    members = groups.join(several, "component_id", "left_semi").join(ids, member)
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col(member))
+    stays = members.groupBy("component_id").agg(F.min_by(member, order).alias("_stays"))
+    gone = members.join(stays, "component_id").where(F.col(member) != F.col("_stays"))
+    gone = kept(gone.select(F.col(member).alias(row)), "minhash-gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
+
+
 def _sets_of(source: DataFrame, nodes: DataFrame, width: int, id_type: str) -> DataFrame:
     """Shingle sets, made anew, and only for these documents."""
     needed = kept(nodes.distinct().toDF("doc_id"), "minhash-needed")

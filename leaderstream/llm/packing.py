@@ -22,10 +22,11 @@ from .tables import kept
 from .tokens import crc32_of, encoder
 
 CAPACITY = 2048
-#: Documents of a sequence, at most, where queries and stages pack: places that a batch holds for document bounds.
-DOCUMENTS = 64
-#: Attention cost of a sequence, at most, there: the least that has room for one piece of ``CAPACITY`` tokens. It can't
-#: run out before the tokens do, but free cost has its share in the choice of the sequence.
+#: Documents of a sequence, at most, where queries and stages pack: as many as it has tokens, and every document has one, so
+#: this can't run out before the tokens do. Free places have their share in the choice of the sequence.
+DOCUMENTS = CAPACITY
+#: Attention cost of a sequence, at most, there: that of one piece of ``CAPACITY`` tokens. It can't run out before the tokens
+#: do either, and free cost has its share in the choice too.
 COST = float(CAPACITY) ** 2
 #: Pieces that are packed together.
 GROUP = 16_384
