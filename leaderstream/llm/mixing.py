@@ -1,21 +1,25 @@
 """Mixing sources to target weights by entropy balancing; DataFrame functions only.
 
-Of all ways to weigh the words of the corpus so that every source has its target, the one closest to
-the corpus in relative entropy has rates ``exp(multiplier of the source)``. The multipliers minimise the
-convex dual ``sum(words * exp(m)) - sum(target * m)``, whose Newton steps need the weighted words of each
-source only: these are summed over all documents first, and every source takes its steps on its own row.
-
-Rates become whole copies by systematic rounding along documents sorted by size, so that the words a
-source gives differ from its target by about one document. The place of a document in that order is
-a sum of three counts (smaller sizes, earlier slices of ids, earlier ids of the slice), so no source and
-no size meets in one task.
+Of all ways to take documents at rates between 0 and ``MOST`` so that every source gives its target of words, the one closest to
+taking each document once, in relative entropy, has rates ``exp(m * size)``, held at ``MOST``, with a multiplier ``m`` for
+each source. The multipliers minimise the convex dual, whose slope at ``m`` is the words taken at these rates minus the target. Newton
+steps sum slope and curvature over all documents, by source and size, in one aggregation each; a step that
+leaves the bracket of a source goes to its middle.
+
+Rates become whole copies by size: along the sizes of a source the sum of rates is rounded, which gives each size its copies, and
+the words that are then missing or too many are added to or taken from the smallest documents. The copies of a size are
+dealt evenly along its documents. The place of a document among those of its size is a sum of two counts
+(earlier slices of ids, earlier ids of the slice), so no source and no size meets in one task.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import free_names, kept
 
@@ -25,10 +29,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No target is above this many times its source's size.
 MOST = 3
-#: Newton steps; each adds 1 to a small multiplier or doubles the right digits.
-STEPS = 60
-#: Documents with ids from one range of this length are ranked together.
-IDS_A_SLICE = 8192
+#: Newton steps at most. They end where no source is further than this share of its target from it.
+STEPS, CLOSE = 60, 1e-12
+#: Where every multiplier lies: at the upper end a single word is enough to be taken ``MOST`` times.
+LEAST_MULTIPLIER, MOST_MULTIPLIER = -50.0, log(MOST)
+#: Documents with ids from one range of this length, or with hashes of ids that agree in so many bits, are ranked together.
+IDS_A_SLICE, SLICE_BITS = 8192, 16
 #: Where the rounding starts, between 0 and 1: no fraction that rates are likely to hit.
 PHASE = 0.381966011250105
 
@@ -67,15 +73,78 @@ def _targets(sources: DataFrame) -> DataFrame:
     )
 
 
-def _rate(size: str, target: str) -> Column:
-    """The minimum of ``size * exp(m) - target * m`` by Newton steps from 0, as ``exp(m)``."""
-    s, t = F.col(size).cast("double"), F.col(target)
-    multiplier = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        F.lit(0.0),
-        lambda m, _: m - (s * F.exp(m) - t) / (s * F.exp(m)),
+def _rate(multiplier: Column, size: Column) -> Column:
+    return F.least(F.exp(multiplier * size), F.lit(float(MOST)))
+
+
+def multipliers(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` (``_c_key, source_size, target``) and the multiplier ``_m`` of each source.
+
+    ``sizes`` has ``_n`` documents for each ``_c_key`` and ``_c_size``. A source whose target needs every document at the
+    highest rate, or that has no words, has its multiplier at once.
+    """
+    full = F.col("target") >= F.col("source_size") * MOST
+    duals = targets.withColumns(
+        {
+            "_low": F.lit(LEAST_MULTIPLIER),
+            "_high": F.lit(MOST_MULTIPLIER),
+            "_m": F.when(full, F.lit(MOST_MULTIPLIER)).otherwise(0.0),
+            "_far": F.when(full, 0.0).otherwise(1.0),
+        }
     )
-    return F.when((s > 0) & (t > 0), F.least(F.exp(multiplier), F.lit(float(MOST)))).otherwise(0.0)
+    duals = kept(duals, "mixing-dual")
+    size, m = F.col("_c_size").cast("double"), F.col("_m")
+    rate = _rate(m, size)
+    words = F.sum(F.col("_n") * size * rate)
+    curvature = F.sum(F.when(rate < MOST, F.col("_n") * size * size * rate).otherwise(0.0))
+    slope = F.col("_words") - F.col("target")
+    low, high = F.when(slope < 0, m).otherwise(F.col("_low")), F.when(slope > 0, m).otherwise(F.col("_high"))
+    newton = m - F.try_divide(slope, F.col("_curvature"))
+    inside = newton.isNotNull() & (newton > F.col("_low")) & (newton < F.col("_high"))
+    for _ in range(STEPS):
+        sums = sizes.join(duals, "_c_key").where("_far > 0").groupBy("_c_key")
+        sums = sums.agg(words.alias("_words"), curvature.alias("_curvature"))
+        stepped = (
+            duals.join(sums, "_c_key", "left")
+            .withColumns({"_low": low, "_high": high, "_far": F.when(F.col("_far") > 0, F.abs(slope) / F.col("target")).otherwise(0.0)})
+            .withColumn("_far", F.when(F.col("_far") > CLOSE, F.col("_far")).otherwise(0.0))
+            .withColumn("_m", F.when(F.col("_far") == 0, m).when(inside, newton).otherwise((F.col("_low") + F.col("_high")) / 2))
+        )
+        duals = kept(stepped.select(*duals.columns), "mixing-dual")
+        # One number: whether any source is still far.
+        if not (duals.agg(F.max("_far")).first()[0] or 0) > 0:
+            break
+    return duals.select("_c_key", "source_size", "target", F.round("_m", 13).alias("_m"))
+
+
+def _copies(sizes: DataFrame, duals: DataFrame) -> DataFrame:
+    """The copies ``_copies`` that the ``_n`` documents of each source and size are taken together."""
+    upwards = W.partitionBy("_c_key").orderBy("_c_size")
+    before, source = upwards.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("_c_key")
+    taken = F.col("_n") * _rate(F.col("_m"), F.col("_c_size").cast("double"))
+    whole = lambda total: F.floor(F.coalesce(total, F.lit(0.0)) + PHASE)
+    rounded = (
+        sizes.join(duals, "_c_key")
+        .withColumn("_rates", taken)
+        .withColumn(
+            "_copies",
+            F.least(whole(F.sum("_rates").over(upwards.rowsBetween(W.unboundedPreceding, 0))) - whole(F.sum("_rates").over(before)), F.col("_n") * MOST),
+        )
+        .withColumn("_gap", F.round("target").cast("bigint") - F.sum(F.col("_copies") * F.col("_c_size")).over(source))
+        # Copies that can be added, or taken away, and their words in all smaller documents.
+        .withColumn("_room", F.when(F.col("_gap") > 0, F.col("_n") * MOST - F.col("_copies")).otherwise(F.col("_copies")))
+        .withColumn("_room_before", F.coalesce(F.sum(F.col("_room") * F.col("_c_size")).over(before), F.lit(0)))
+    )
+    left = F.abs("_gap") - F.col("_room_before")
+    more = F.when((F.col("_c_size") > 0) & (left > 0), F.least(F.floor(left / F.col("_c_size")).cast("bigint"), F.col("_room")))
+    mended = F.col("_copies") + F.signum(F.col("_gap").cast("double")).cast("bigint") * F.coalesce(more, F.lit(0))
+    return rounded.select("_c_key", "_c_size", "_n", mended.alias("_copies"), "source_size", "target")
+
+
+def _slice(ids: DataFrame, doc_id: str) -> Column:
+    if isinstance(ids.schema[doc_id].dataType, T.IntegralType):
+        return F.coalesce(F.floor(F.col(doc_id) / IDS_A_SLICE).cast("bigint"), F.lit(-1))
+    return F.shiftright(F.xxhash64(doc_id), 64 - SLICE_BITS).cast("bigint")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -83,19 +152,20 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     ``size`` counts words (NULL text: 0). Sources are weighed by ``WEIGHTS`` in code point order, NULL last
     and a source like any other; targets add up to the size of the corpus. A document is taken 0 to
-    ``MOST`` times; one without words has ``copies`` like others of its source. Reruns agree: the order
-    behind the rounding is size, id, text, and rows equal in all of them are alike. Columns of ``docs``
+    ``MOST`` times; one without words once. The words of a source differ from its target by less than its smallest documents
+    that are not all taken or left. Ids are numbers, texts or any other type that orders. Reruns agree: documents of one size
+    are in the order of slice of ids, id, text, and rows equal in all of them are alike. Columns of ``docs``
     with these names are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     key, slice_, place, tie = free_names(docs, ["_key", "_slice", "_place", "_tie"])
-    c_key, c_size, c_slice, rate, start = free_names(docs, ["_c_key", "_c_size", "_c_slice", "_rate", "_start"])
+    c_key, c_size, c_slice, n, total, start = free_names(docs, ["_c_key", "_c_size", "_c_slice", "_all", "_total", "_start"])
     # One text for each source, NULL apart from all others, that joins by plain equality.
     rows = docs.withColumns(
         {
             "size": words(text),
             key: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
-            slice_: F.coalesce(F.floor(F.col(doc_id) / IDS_A_SLICE), F.lit(-1)),
+            slice_: _slice(docs, doc_id),
             tie: F.xxhash64(text),
         }
     )
@@ -105,45 +175,33 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         ),
         "mixing-cells",
     )
-    sizes = cells.groupBy("_c_key", "_c_size").agg(F.sum("_n").alias("_n"))
+    sizes = kept(cells.groupBy("_c_key", "_c_size").agg(F.sum("_n").alias("_n")), "mixing-sizes")
     sources = sizes.groupBy("_c_key").agg(F.sum(F.col("_c_size") * F.col("_n")).alias("source_size"))
     named = sources.withColumn("_source", F.when(F.col("_c_key") != "", F.substr("_c_key", F.lit(2))))
     targets = _targets(named).select(
-        F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_c_key"),
-        "source_size",
-        "target",
-        _rate("source_size", "target").alias("_rate"),
+        F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_c_key"), "source_size", "target"
     )
-    smaller = W.partitionBy("_c_key").orderBy("_c_size").rowsBetween(W.unboundedPreceding, -1)
+    dealt = _copies(sizes, multipliers(sizes, targets))
     earlier = W.partitionBy("_c_key", "_c_size").orderBy("_c_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        cells.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-        .join(
-            sizes.withColumn("_smaller", F.coalesce(F.sum("_n").over(smaller), F.lit(0))).drop("_n"),
-            ["_c_key", "_c_size"],
-        )
-        .join(targets, "_c_key")
-        .withColumn("_start", F.col("_earlier") + F.col("_smaller"))
-        .drop("_earlier", "_smaller")
-    )
-    starts = kept(starts, "mixing-starts").select(
+    starts = cells.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    starts = kept(starts.join(dealt, ["_c_key", "_c_size"]), "mixing-starts").select(
         F.col("_c_key").alias(c_key),
         F.col("_c_size").alias(c_size),
         F.col("_c_slice").alias(c_slice),
-        F.col("_rate").alias(rate),
+        F.col("_n").alias(n),
+        F.col("_copies").alias(total),
         F.col("_start").alias(start),
         "source_size",
         "target",
     )
     rank = W.partitionBy(key, "size", slice_).orderBy(F.col(doc_id).asc_nulls_first(), tie)
     same = (F.col(key) == F.col(c_key)) & (F.col("size") == F.col(c_size)) & (F.col(slice_) == F.col(c_slice))
-    whole = lambda n: F.floor(n * F.col(rate) + PHASE)
+    up_to = lambda place: F.expr(f"{place} * `{total}` div `{n}`")
     return (
         rows.join(starts, same)
         .withColumn(place, F.col(start) + F.row_number().over(rank))
-        .withColumn("copies", (whole(F.col(place)) - whole(F.col(place) - 1)).cast("int"))
-        .drop(key, slice_, place, tie, c_key, c_size, c_slice, start, rate)
+        .withColumn("copies", (up_to(f"`{place}`") - up_to(f"(`{place}` - 1)")).cast("int"))
+        .drop(key, slice_, place, tie, c_key, c_size, c_slice, n, total, start)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 SQL = {
     "op3_mixing": r"""
-        with docs as (
+        with recursive docs as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
             from documents
         ),
@@ -28,15 +28,54 @@ SQL = {
                        / sum(case when is_cut then 0 else w end) over () end as target
             from judged
         ),
+        sizes as (
+            select targets.source, s, target, size, count(*)::double as n
+            from docs join targets on docs.source is not distinct from targets.source group by all
+        ),
+        -- The multiplier of each source by halving the bracket of its slope.
+        halved(source, low, high, step) as (
+            select source, -50.0::double, ln(3)::double, 0 from targets
+            union all
+            select source, case when slope < 0 then middle else low end, case when slope < 0 then high else middle end, step + 1
+            from (
+                select halved.source, any_value(low) as low, any_value(high) as high, any_value(step) as step,
+                       any_value((low + high) / 2) as middle,
+                       sum(n * size * least(exp((low + high) / 2 * size), 3)) - any_value(target) as slope
+                from halved join sizes on halved.source is not distinct from sizes.source
+                where step < 100 group by halved.source
+            )
+        ),
+        rates as (
+            select sizes.*, n * least(exp(case when target >= 3 * s then ln(3) else round(high, 13) end * size), 3) as rate
+            from sizes join halved on sizes.source is not distinct from halved.source and step = 100
+        ),
+        rounded as (
+            select *, least(floor(sum(rate) over up + 0.381966011250105)
+                            - floor(coalesce(sum(rate) over lower, 0) + 0.381966011250105), 3 * n)::bigint as copies
+            from rates
+            window up as (partition by source order by size rows between unbounded preceding and current row),
+                   lower as (partition by source order by size rows between unbounded preceding and 1 preceding)
+        ),
+        gaps as (select *, round(target)::bigint - sum(copies * size) over (partition by source) as gap from rounded),
+        rooms as (
+            select *, case when gap > 0 then 3 * n - copies else copies end as room,
+                   abs(gap) - coalesce(sum(case when gap > 0 then 3 * n - copies else copies end * size) over (
+                       partition by source order by size rows between unbounded preceding and 1 preceding), 0) as missing
+            from gaps
+        ),
+        mended as (
+            select source, size, s, target, n::bigint as n,
+                   (copies + sign(gap) * case when size > 0 and missing > 0 then least(floor(missing / size), room) else 0 end)::bigint
+                       as copies
+            from rooms
+        ),
         placed as (
-            select docs.*, targets.s, targets.target,
-                   case when targets.s > 0 then least(targets.target / targets.s, 3) else 0 end as rate,
-                   row_number() over (partition by docs.source order by size, doc_id) as place
-            from docs join targets on docs.source is not distinct from targets.source
+            select docs.*, mended.s, mended.target, mended.n, mended.copies,
+                   row_number() over (partition by docs.source, docs.size order by doc_id) as place
+            from docs join mended on docs.source is not distinct from mended.source and docs.size = mended.size
         )
         select doc_id, size::bigint as size, s::bigint as source_size, target,
-               ((floor(place * rate + 0.381966011250105) - floor((place - 1) * rate + 0.381966011250105)) * size)::bigint
-                   as taken
+               ((place * copies // n - (place - 1) * copies // n) * size)::bigint as taken
         from placed
     """,
     "op6_exact_dedup": """
