@@ -10,8 +10,8 @@ Neither vocabulary has a piece that goes on beyond a space, so the ids of a text
 space before it, and most words are remembered; texts with other runs of white space are encoded whole. Many texts
 lie in one block-diagonal matrix.
 
-Counts over the corpus: a task hands on each slice of documents as one row, with its links as id pairs, and from these
-the distinct pairs of each slice are counted, joined with the corpus-wide counts, and come back to their slice. A slice
+Counts over the corpus: a task hands on each slice of documents as one row, with its distinct id pairs and its links as places in
+their list. The pairs of all slices are counted, joined with the corpus-wide counts, and come back to their slice. A slice
 has bounded bytes but for a longer single text, so its pairs are bounded too, however often they occur.
 """
 
@@ -40,7 +40,7 @@ TEXTS, BYTES = 4096, 1 << 21
 #: Bytes that lie in one matrix, but for longer single texts, and of a stretch of its product.
 MATRIX, STRETCH = 1 << 18, 1 << 18
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 KINDS = ("overlap", "group", "end")
 
 #: White space that a cut at spaces could part.
@@ -284,6 +284,11 @@ def _slices(batch: pa.RecordBatch, texts: int, most: int) -> Iterator[pa.RecordB
         at += n
 
 
+def _places(pairs: int) -> str:
+    """Type of the places in a list of so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -302,12 +307,16 @@ def _encode(a_path: str, b_path: str, id_type: pa.DataType):
                     pa.array([part.column(0).to_pylist()], pa.list_(id_type)),
                     *lists,
                     pa.array([[t for some in texts for t in some]], pa.list_(pa.string())),
-                    pa.array([b"".join(links)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["slice", "ids", *_COUNTS, "groups_sha256", "links"])
+                pairs, at, times = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
+                columns += [pa.array([x], pa.list_(pa.int64())) for x in (pairs.astype(np.int64), times)]
+                columns.append(pa.array([at.astype(_places(len(pairs))).tobytes()], pa.binary()))
+                names = ["slice", "ids", *_COUNTS, "groups_sha256", "pairs", "times", "links"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 number += 1
+        pa.default_memory_pool().release_unused()
 
-    def of(tokenizers: Pair, texts: list[str | None]) -> tuple[np.ndarray, list[str], bytes]:
+    def of(tokenizers: Pair, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
         tokens = tokenizers.tokens(texts)
         i, j = tokenizers.links(tokens)
         # A group has one link: where its last tokens end.
@@ -315,35 +324,26 @@ def _encode(a_path: str, b_path: str, id_type: pa.DataType):
         n_groups = np.bincount(np.repeat(np.arange(len(texts)), tokens.n_a)[i], minlength=len(texts))
         digests = [sha256(t.encode()).hexdigest() if t else "" for t in tokenizers.group_texts(tokens, i, j)]
         links = (tokens.a[i] << 16 | tokens.b[j]).astype("<u4")
-        return np.array([tokens.n_a, tokens.n_b, n_groups, n_links]), digests, links.tobytes()
+        return np.array([tokens.n_a, tokens.n_b, n_groups, n_links]), digests, links
 
     return encoded
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each slice, and how often it has them."""
-    for batch in batches:
-        for number, links in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            pairs, n = np.unique(np.frombuffer(links.as_buffer(), "<u4"), return_counts=True)
-            yield pa.RecordBatch.from_pydict(
-                {"slice": np.full(len(pairs), number), "pair": pairs.astype(np.int64), "n": n.astype(np.int64)}
-            )
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document of a slice, from its links and the corpus-wide counts of its pairs."""
     for batch in batches:
         for row in range(batch.num_rows):
             columns = {name: batch.column(name).slice(row, 1) for name in batch.schema.names}
             out = {name: columns[name].flatten() for name in ("ids", *_COUNTS, "groups_sha256")}
-            links = np.frombuffer(columns["links"][0].as_buffer(), "<u4")
             counts = columns["counts"].flatten()
-            known = [counts.field(k).to_numpy(zero_copy_only=False) for k in range(3)] if len(counts) else [np.empty(0, np.int64)] * 3
-            order = np.argsort(known[0])
-            at = order[np.searchsorted(known[0][order], links)] if len(links) else np.empty(0, np.int64)
+            pairs = len(counts)
+            links = np.frombuffer(columns["links"][0].as_buffer(), _places(pairs))
             ends = np.cumsum(out["n_links"].to_numpy())
-            for name, value in (("n_best", known[2]), ("count_sum", known[1])):
-                sums = np.append(0, np.cumsum(value[at].astype(np.int64)))
+            # The places of links are those of their pairs in ascending order.
+            order = np.argsort(counts.field(0).to_numpy()) if pairs else np.empty(0, np.int64)
+            for name, field in (("n_best", 2), ("count_sum", 1)):
+                value = counts.field(field).to_numpy().astype(np.int64)[order] if pairs else order
+                sums = np.append(0, np.cumsum(value.take(links)))
                 out[name] = pa.array(np.diff(np.append(0, sums[ends])))
             yield pa.RecordBatch.from_pydict({"doc_id": out.pop("ids"), **out})
 
@@ -359,10 +359,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     """
     kind = docs.schema[doc_id].dataType
     lists = ", ".join(f"{n} array<bigint>" for n in _COUNTS)
-    schema = f"slice bigint, ids array<{kind.simpleString()}>, {lists}, groups_sha256 array<string>, links binary"
+    schema = f"slice bigint, ids array<{kind.simpleString()}>, {lists}, groups_sha256 array<string>, pairs array<bigint>, times array<bigint>, links binary"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     slices = kept(source.mapInArrow(_encode(a_path, b_path, to_arrow_type(kind)), schema), "align-slices")
-    pairs = kept(slices.select("slice", "links").mapInArrow(_distinct, "slice bigint, pair bigint, n bigint"), "align-pairs")
+    zipped = F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n")))
+    pairs = slices.select("slice", zipped)
     # At most as many rows for a second id as the first vocabulary has ids.
     best = F.max("count").over(W.partitionBy(F.col("pair").bitwiseAND((1 << 16) - 1)))
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("count"))
@@ -371,7 +372,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     of_slices = kept(of_slices.agg(F.collect_list(F.struct("pair", "count", "best")).alias("counts")), "align-found")
     longs = ", ".join(f"{n} bigint" for n in _COUNTS)
     out = f"doc_id {kind.simpleString()}, {longs}, groups_sha256 string, n_best bigint, count_sum bigint"
-    found = slices.join(of_slices, "slice", "left").mapInArrow(_digest, out)
+    found = slices.drop("pairs", "times").join(of_slices, "slice", "left").mapInArrow(_digest, out)
     return found.select("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")
 
 

@@ -95,8 +95,8 @@ def _cut(capacity: int, path: str, end_id: int):
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 rows, piece, start, length, crc = [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encode.ids(text), np.uint16(end_id))
+                for row, ids in enumerate(encode.many(part.column(1).to_pylist())):
+                    ids = np.append(ids, np.uint16(end_id))
                     first = (len(ids) - 1) % capacity + 1
                     for k, to in enumerate(range(first, len(ids) + 1, capacity)):
                         begin = max(0, to - capacity) if k else 0

@@ -34,9 +34,9 @@ from .tokens import crc32_of, encoder
 
 #: Ids after which a block is closed; one longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-LANES = 8192
+LANES = 4096
 #: Steps of a lane that should at least pay for its last word.
-LANE_IDS = 128
+LANE_IDS = 256
 
 _MAGIC = b"TIDB"
 #: magic, version, vocabulary, ids, documents, lanes, CRC-32 of the ids; then a CRC-32 of these and of what follows.
@@ -283,8 +283,8 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                for doc, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
-                    ids = np.append(encode.ids(text), np.uint16(end_id))
+                for doc, ids in zip(few.column(0).to_pylist(), encode.many(few.column(1).to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint16(end_id))
                     doc_ids.append(doc)
                     held.append(ids)
                     n += len(ids)

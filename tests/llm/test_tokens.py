@@ -22,21 +22,21 @@ ODD = [
 @pytest.mark.parametrize("text", ODD)
 def test_ids_of_odd_texts(text):
     encoder = tokens.encoder(PATH)
-    assert encoder.ids(text).tolist() == encoder.words.encode(text)
+    assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abÄé .,'!\n\t  019", max_size=30))
 def test_ids_are_those_of_the_tokenizer(text):
     encoder = tokens.encoder(PATH)
-    assert encoder.ids(text).tolist() == encoder.words.encode(text)
+    assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     encoder = tokens.Encoder(PATH)
     text = " ".join(f"w{n}, x{n}" for n in range(500))
-    assert encoder.ids(text).tolist() == encoder.words.encode(text)
+    assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(encoder.words) <= 50
 
 
@@ -133,15 +133,17 @@ def test_packing_chooses_by_every_capacity():
 
 
 @pytest.mark.parametrize("what", ["op9_packing", "pipeline"])
-def test_production_packing_keeps_documents_bounded(spark, tmp_path, what):
+def test_production_packing_ends_sequences_by_tokens(spark, tmp_path, what):
+    """Many short documents share a sequence: neither their number nor their cost runs out before the tokens."""
     frame = spark.range(300).selectExpr("id AS doc_id", "'a b' AS text")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     if what == "pipeline":
         found = corpus_pipeline.pack(spark, frame, str(tmp_path))
     else:
         found = QUERIES[what](spark, str(tmp_path))
-    sizes = [r["count"] for r in found.groupBy("sequence_id").count().collect()]
-    assert sum(sizes) == 300 and max(sizes) <= packing.DOCUMENTS < 300
+    assert [r["count"] for r in found.groupBy("sequence_id").count().collect()] == [300]
+    sequence, _ = packing.pack(np.full(packing.GROUP, 3), packing.CAPACITY, packing.DOCUMENTS, packing.COST)
+    assert len(set(sequence)) == -(-packing.GROUP // (packing.CAPACITY // 3)) == 25
 
 
 def test_packing_of_odd_rows(spark):
