@@ -2,7 +2,73 @@
 
 from __future__ import annotations
 
+def _merkle() -> str:
+    """Trees of up to ``8 ** 7`` rows a language and ``8 ** 3`` languages, level by level."""
+    field = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(
+        field.format(text if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")
+    ) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+        lambda a, c: list_reduce([xor(a, c)] || range(8), lambda x, _: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+    ctes = [
+        f"""docs as (
+            select doc_id, coalesce('=' || lang, '') as tree, {leaf("text")} as leaf,
+                   case when {crc} % 3 = 0 then {leaf(lower)} end as changed
+            from documents
+        )""",
+        """a0 as (
+            select doc_id, tree, leaf as h, leaf, coalesce(changed, leaf) as f,
+                   row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx,
+                   count(*) over (partition by tree) as n
+            from docs
+        )""",
+    ]
+
+    def levels(name: str, count: int) -> None:
+        for k in range(count):
+            nodes, up = f"{name}{k}", f"{name}{k + 1}"
+            ctes.append(f"""{name}s{k} as (
+            select a.tree, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx <> a.idx), '') as others,
+                   count(*) filter (where b.idx < a.idx) as place
+            from {nodes} a join {nodes} b on a.tree = b.tree and a.idx // 8 = b.idx // 8 where a.n > 1 group by a.tree, a.idx
+        )""")
+            ctes.append(f"""{up} as (
+            select *, count(*) over (partition by tree) as n from (
+                select tree, idx // 8 as idx, sha256(string_agg(h, '' order by idx)) as h from {nodes} where n > 1
+                group by tree, idx // 8)
+        )""")
+
+    levels("a", 7)
+    tops = " union all ".join(f"select tree, h from a{k} where n = 1" for k in range(8))
+    ctes.append(f"subroots as ({tops})")
+    ctes.append("""b0 as (
+            select '' as tree, tree as lang, h, row_number() over (order by tree) - 1 as idx, count(*) over () as n from subroots
+        )""")
+    levels("b", 3)
+    ctes.append("root as (" + " union all ".join(f"select h from b{k} where n = 1" for k in range(4)) + ")")
+    steps = [("a", k, "idx") for k in range(7)] + [("b", k, "at") for k in range(3)]
+    ctes.append("""p0 as (
+            select doc_id, a0.tree, leaf, a0.idx, b0.idx as at, subroots.h as subroot, f, '' as proof
+            from a0 join subroots on a0.tree = subroots.tree join b0 on b0.lang = a0.tree
+        )""")
+    for step, (name, k, index) in enumerate(steps):
+        tree = "p.tree" if name == "a" else "''"
+        ctes.append(f"""p{step + 1} as (
+            select p.* replace (
+                case when s.others is null then f
+                     else sha256(left(others, (64 * place)::bigint) || f || substr(others, (64 * place + 1)::bigint)) end as f,
+                proof || coalesce(others, '') as proof)
+            from p{step} p left join {name}s{k} s on s.tree = {tree} and s.idx = p.{index} // {8**k}
+        )""")
+    return "with " + ",\n        ".join(ctes) + f"""
+        select doc_id, leaf, subroot, root.h as root, sha256(proof) as proof_sha256, f as folded_root, f = root.h as verified
+        from p{len(steps)} cross join root
+    """
+
+
 SQL = {
+    "op12_merkle": _merkle(),
     "op3_mixing": r"""
         with recursive docs as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size

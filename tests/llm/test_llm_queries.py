@@ -41,7 +41,7 @@ def crc(ids):
 
 def test_all_are_registered():
     names = set(entry_point.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= names
     assert set(SQL) <= set(entry_point.oracle_sql())
 
