@@ -38,9 +38,9 @@ from .tokens import _byte_letters
 #: Texts of a slice, and about as many bytes.
 TEXTS, BYTES = 4096, 1 << 21
 #: Bytes that lie in one matrix, but for longer single texts, and of a stretch of its product.
-MATRIX, STRETCH = 1 << 18, 1 << 18
+MATRIX, STRETCH = 1 << 19, 1 << 19
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 KINDS = ("overlap", "group", "end")
 
 #: White space that a cut at spaces could part.
