@@ -11,6 +11,7 @@ from leaderstream.metrics import INDIVIDUAL, METRICS, Metric
 from leaderstream.operators import prompts, serving
 from leaderstream.operators.ranking import leaderboard, leaderboards, rank_all
 from leaderstream.session import check_time_zone
+from leaderstream.sources import board_tables
 from leaderstream.streaming import ingest
 from leaderstream.streaming.bucket_log import BucketLog
 from leaderstream.streaming.epoch_log import EpochLog
@@ -74,6 +75,12 @@ class Board:
             serving.register_view(state, name)
         return names
 
+    def register_source(self, name: str = "board_tables") -> None:
+        """One name for all tables of a board with ``buckets``, which follows the stream: ``SELECT … WHERE table_name = …``."""
+        if not isinstance(self.log, BucketLog):
+            raise ValueError("a board without buckets has views by register_views alone")
+        board_tables.register_table(self.log.spark, self.log.root, name)
+
     def ingest_views(self, messages: DataFrame, **trigger) -> StreamingQuery:
         """``ingest``, with the views replaced after each epoch."""
         return self.ingest(messages, after=lambda _: self.register_views(), **trigger)

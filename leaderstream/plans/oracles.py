@@ -376,6 +376,8 @@ from (select *, case entity when 'team' then 'team' else 'player' end as kind
     "stream_upsert_team": _UPSERT_TEAM,
     "stream_buckets": _UPSERT_WEEKLY,
     "stream_buckets_team": _UPSERT_TEAM,
+    "stream_tables": f'''select {_PLAYER}, "offset" from ({_UPSERT_WEEKLY})
+where table_name in ('individual_whip', 'individual_saves')''',
     "stream_latest": _LATEST_IND,
     "stream_rejects": _QUARANTINE,
     "stream_served": _with(

@@ -13,7 +13,7 @@ from leaderstream.operators import flatten as fl
 from leaderstream.operators import prompts, ranking, serving, upsert
 from leaderstream.plans import fixtures as fx
 from leaderstream.session import settled, shared_dir
-from leaderstream.sources import messages, pages
+from leaderstream.sources import board_tables, messages, pages
 from leaderstream.streaming import ingest, latest
 from leaderstream.streaming.bucket_log import BucketLog
 from leaderstream.streaming.epoch_log import EpochLog
@@ -329,6 +329,17 @@ def stream_buckets_team(spark: SparkSession, sf: str) -> DataFrame:
     return log.state().select("offset", "table_name", "Team", "Value", "batch_id")
 
 
+def stream_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables by name from a source that was registered before the stream began."""
+    log = BucketLog(spark, shared_dir(spark, "stream-tables"), buckets=4)
+    board_tables.register_table(spark, log.root, "board_tables_query")
+    ingest.start_ingest(_player_stream(spark, sf), log, available_now=True).awaitTermination()
+    return spark.sql(
+        "SELECT table_name, Name, Team, Cl, Position, Value, offset FROM board_tables_query "
+        "WHERE table_name IN ('individual_whip', 'individual_saves')"
+    )
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     log = EpochLog(spark, shared_dir(spark, "stream-latest"))
     for query in latest.start_latest_events(_player_stream(spark, sf), log, available_now=True, compact_every=3):
@@ -408,6 +419,7 @@ QUERIES: dict[str, Query] = {
         stream_upsert_team,
         stream_buckets,
         stream_buckets_team,
+        stream_tables,
         stream_latest,
         stream_rejects,
         stream_snapshots,

@@ -1,11 +1,12 @@
 import os
 
 import pytest
+from pyspark.sql.datasource import EqualTo, In
 from test_streaming import rows_of, run, wanted, write_batches
 from test_upsert import literal_fold, some_rows
 
 from leaderstream import Board
-from leaderstream.sources import messages
+from leaderstream.sources import board_tables, messages
 from leaderstream.streaming.bucket_log import BucketLog
 
 
@@ -105,6 +106,36 @@ def test_one_entity(spark, tmp_path, stats):
     assert BucketLog(spark, str(tmp_path), buckets=9).buckets == 4
 
 
+def test_a_view_follows_the_log(spark, tmp_path, stats):
+    rows = some_rows(35, 200)
+    board = Board(spark, str(tmp_path), buckets=3)
+    board.register_source("tables_of_test")
+    assert spark.table("tables_of_test").collect() == []
+    for batch in range(6):
+        board.log.append(stats([r for r in rows if r[4] == batch]), batch)
+        if batch == 3:
+            board.log.compact(full=True)
+        kept = set(literal_fold([r for r in rows if r[4] <= batch]))
+        assert offsets(spark.table("tables_of_test")) == sorted(kept)
+        one = spark.sql("SELECT * FROM tables_of_test WHERE table_name = 'team_whip' AND Team = 'T1'")
+        assert offsets(one) == sorted(r[5] for r in rows if r[5] in kept and r[0] == "team_whip" and r[2] == "T1")
+    plain = spark.table("tables_of_test").orderBy("offset").collect()
+    assert plain == board.stats().orderBy("offset").collect()
+    with pytest.raises(ValueError):
+        Board(spark, str(tmp_path / "other")).register_source()
+
+
+def test_conditions_on_the_name_choose_folders(spark, tmp_path, stats):
+    log = BucketLog(spark, str(tmp_path), buckets=2)
+    log.append(stats(some_rows(36, 100)), 0)
+    reader = board_tables.BoardReader(str(tmp_path))
+    assert list(reader.pushFilters([EqualTo(("table_name",), "team_whip"), EqualTo(("Team",), "T1")])) == [EqualTo(("Team",), "T1")]
+    assert {p.table_name for p in reader.partitions()} == {"team_whip"}
+    reader = board_tables.BoardReader("file://" + str(tmp_path))
+    assert list(reader.pushFilters([In(("table_name",), ("team_whip", "individual_era", "none"))])) == []
+    assert {p.table_name for p in reader.partitions()} == {"team_whip", "individual_era"}
+
+
 def test_streams_and_boards_use_buckets(spark, tmp_path):
     rows = some_rows(34, 120)
     write_batches(str(tmp_path / "in"), rows)
