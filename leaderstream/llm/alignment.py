@@ -17,7 +17,6 @@ has bounded bytes but for a longer single text, so its pairs are bounded too, ho
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import kept
-from .tokens import _byte_letters
+from .tokens import Encoder, _byte_letters
 
 #: Texts of a slice, and about as many bytes.
 TEXTS, BYTES = 4096, 1 << 21
@@ -168,15 +167,11 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        # Cores are dealt out by Spark.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer_a = Tokenizer.from_file(a_path)
-        self.tokenizer_a.encode_special_tokens = True
+        self.tokenizer_a = Encoder(a_path, REMEMBERED)
         self.tokenizer_b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {chr(letter): code for code, letter in ({b: b for b in range(256)} | _byte_letters()).items()}
-        vocabulary = self.tokenizer_a.get_vocab()
+        vocabulary = self.tokenizer_a.vocabulary()
         of_ids = [b""] * (max(vocabulary.values()) + 1)
         for text, number in vocabulary.items():
             known = all(c in byte for c in text)
@@ -187,16 +182,14 @@ class Pair:
         self.b = _Vocabulary([bytes([int(p[3:5], 16)]) if single else p.replace("▁", " ").encode() for p, single in pieces])
         # Words can stand alone only where no piece goes on beyond a space.
         self.by_words = not any("▁" in p.lstrip("▁") for p, single in pieces if not single)
-        #: Word, with the space before it, to the ids of both kinds as 16-bit numbers.
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        #: Word, with the space before it, to the second kind's ids as 16-bit numbers. The first kind remembers its own.
+        self.words: dict[str, bytes] = {}
         #: Each id as text with each of ``_MARKS`` behind it, see ``group_texts``.
         size = max(len(self.a.lengths), len(self.b.lengths))
         self.marked = [f"{number}{mark}" for number in range(size) for mark in _MARKS]
 
-    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        a = self.tokenizer_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        b = self.tokenizer_b.encode(texts, num_threads=1)
-        return [(array("H", x.ids).tobytes(), array("H", y).tobytes()) for x, y in zip(a, b, strict=True)]
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        return [array("H", ids).tobytes() for ids in self.tokenizer_b.encode(texts, num_threads=1)]
 
     def tokens(self, texts: list[str | None]) -> Tokens:
         """None where a text is NULL or empty, or where its ids of either kind don't spell a space and the text."""
@@ -207,15 +200,15 @@ class Pair:
         known = self.words
         new = list(set().union(*words).difference(known))
         for at in range(0, len(new), _FEW):
-            known.update(zip(new[at : at + _FEW], self.encoded(new[at : at + _FEW]), strict=True))
-        found = [list(map(known.__getitem__, some)) for some in words]
-        whole = [k for k, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
-        for k in whole:
-            found[k] = self.encoded([texts[k]])
+            known.update(zip(new[at : at + _FEW], self.pieces(new[at : at + _FEW]), strict=True))
+        of_a, of_b = self.tokenizer_a.words.__getitem__, known.__getitem__
+        a = [b"".join(map(of_a, some)) for some in words]
+        b = [b"".join(map(of_b, some)) for some in words]
+        for k, (t, p) in enumerate(zip(texts, plain, strict=True)):
+            if t and not p:
+                a[k], b[k] = self.tokenizer_a.ids(" " + t).tobytes(), self.pieces([t])[0]
         if len(known) > REMEMBERED:
             known.clear()
-        a = [b"".join([w[0] for w in some]) for some in found]
-        b = [b"".join([w[1] for w in some]) for some in found]
         n_a, n_b = np.array([len(x) // 2 for x in a]), np.array([len(x) // 2 for x in b])
         tokens = Tokens(_ids(a), n_a, _ids(b), n_b)
         return self._spelled(texts, tokens)

@@ -1,15 +1,12 @@
 """Token ids of whole texts by a byte-level vocabulary of the tokenizers library, with words remembered.
 
 The pattern of such a vocabulary always cuts before a lone space or a line break between other characters,
-so the ids of a text are those of its words, each with the space or line break before it. Most words come again: their ids
-are looked up, and the new words of many texts are encoded in one call. Texts with other runs of white space go to the
-tokenizer as a whole.
+so the ids of a text are those of its words, each with the space before it. Most words come again: their ids
+are looked up. Texts with other runs of white space go to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -18,62 +15,92 @@ import numpy as np
 
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 800_000
-#: Words that are encoded at a time.
-_FEW = 4096
-#: White space that a cut at spaces and line breaks could part.
-_ODD = re.compile(r"^\s|\s\s|\s$")
+_ENDS = ".,;:!?"
+
+
+class _Odd(Exception):
+    """White space that a cut at spaces could part."""
+
+
+class _Words(dict):
+    """Word to the bytes of its ids as 16-bit numbers; a word that begins with a line break has no space before it."""
+
+    def __init__(self, tokenizer, most: int | None = None):
+        self.most = most or REMEMBERED
+        model, letters = tokenizer.model, _byte_letters()
+        space = letters[0x20]
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.ends: dict[str, bytes] = {}
+
+        def one(piece: str) -> bytes:
+            """Ids of a text that the pattern doesn't cut."""
+            return array("H", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        def spaced(word: str) -> bytes:
+            """The same for an ASCII word, with a space before it."""
+            return array("H", [t.id for t in model.tokenize(chr(space) + word)]).tobytes()
+
+        self.one, self.spaced = one, spaced
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_ENDS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            if len(core) < len(word):
+                found = self[core] + self.end(word[len(core) :])
+            elif core.isascii():
+                found = self.spaced(core)
+            else:
+                found = self.one(" " + core)
+        else:
+            rest = word[1:] if word[:1] == "\n" else word
+            if not rest or rest[0].isspace() or rest[-1].isspace():
+                raise _Odd
+            found = self.one("\n") + self.bare(rest) if rest is not word else self.bare(" " + word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found
+        return found
+
+    def end(self, marks: str) -> bytes:
+        if marks not in self.ends:
+            if len(self.ends) >= self.most:
+                self.ends.clear()
+            self.ends[marks] = self.one(marks)
+        return self.ends[marks]
+
+    def bare(self, text: str) -> bytes:
+        """Ids of a text as it is, without a space before it."""
+        core = text.rstrip(_ENDS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return self.one(core) + (self.end(text[len(core) :]) if len(core) < len(text) else b"")
+        return array("H", self.encode(text)).tobytes()
 
 
 class Encoder:
     """Texts to ids as with ``add_special_tokens=False``; special strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
-        # Cores are dealt out by Spark.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.size = tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        #: Ids, as 16-bit numbers, of words with what is before them (a space or a line break), and of words that begin a text.
-        self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.vocabulary = tokenizer.get_vocab
+        self.words = _Words(tokenizer, most)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; words that are new to this worker are encoded together."""
-        texts = [t or "" for t in texts]
-        # Mostly single spaces alone; the pattern is for the others.
-        plain = [bool(t) and (" ".join(t.split()) == t or not _ODD.search(t)) for t in texts]
-        units = [t.replace("\n", " \n").split(" ") if p else () for t, p in zip(texts, plain, strict=True)]
-        known, firsts = self.words, self.firsts
-        new = list(set().union(*[some[1:] for some in units]).difference(known))
-        self._learn(known, new, [w if w[0] == "\n" else " " + w for w in new])
-        new = list({some[0] for some in units if some}.difference(firsts))
-        self._learn(firsts, new, new)
-        out = []
-        for text, some in zip(texts, units, strict=True):
-            if some:
-                found = firsts[some[0]] + b"".join(map(known.__getitem__, some[1:]))
-            else:
-                found = array("H", self._encode([text])[0]).tobytes() if text else b""
-            out.append(np.frombuffer(found, dtype="=u2"))
-        for memory in (known, firsts):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        return out
-
-    def _learn(self, memory: dict[str, bytes], words: list[str], texts: list[str]) -> None:
-        for at in range(0, len(words), _FEW):
-            ids = self._encode(texts[at : at + _FEW])
-            memory.update(zip(words[at : at + _FEW], [array("H", x).tobytes() for x in ids], strict=True))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not text:
+            return np.empty(0, dtype="<u2")
+        words = text.replace("\n", " \n").split(" ")
+        try:
+            if not words[0] or words[0].isspace() or text[0].isspace() or words[0][-1].isspace():
+                raise _Odd
+            found = self.words.bare(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+            return np.frombuffer(found, dtype="=u2")
+        except _Odd:
+            return np.array(self.words.encode(text), dtype="=u2")
 
 
 def _byte_letters() -> dict[int, int]:
