@@ -1,11 +1,13 @@
 """Exact duplicates and mixing on odd rows."""
 
+import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from leaderstream.llm import exact, mixing
+from leaderstream.llm import exact, minhash, mixing
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -80,3 +82,73 @@ def test_mix_repeats_rows(spark):
     out = mixing.mix(frame)
     assert out.columns == frame.columns
     assert Counter(r["doc_id"] for r in out.collect())[1] == 3
+
+
+def rate(m, size):
+    return math.exp(min(m * size, math.log(mixing.MOST)))
+
+
+def dual_by_halving(sizes, target):
+    """The multiplier whose rates give the target, by halving; rates are held at ``MOST``."""
+    low, high = mixing.LEAST_MULTIPLIER, mixing.MOST_MULTIPLIER
+    for _ in range(200):
+        middle = (low + high) / 2
+        words = sum(s * rate(middle, s) for s in sizes)
+        low, high = (middle, high) if words < target else (low, middle)
+    return high
+
+
+def test_multipliers_by_halving(spark):
+    draw = random.Random(7)
+    sizes = {f"s{k}": [draw.choice([0, 1, 2, 50, 500, 4000]) + draw.randrange(9) for _ in range(60)] for k in range(8)}
+    share = [0.01, 0.2, 0.7, 1.0, 1.3, 2.0, 2.9, 3.0]
+    targets = [(k, sum(v), x * sum(v)) for (k, v), x in zip(sizes.items(), share, strict=True)]
+    cells = [(k, s, n) for k, v in sizes.items() for s, n in Counter(v).items()]
+    found = mixing.multipliers(
+        spark.createDataFrame(cells, "_c_key string, _c_size long, _n long"),
+        spark.createDataFrame(targets, "_c_key string, source_size long, target double"),
+    )
+    for r in found.collect():
+        if r.target < 3 * r.source_size:
+            words = sum(s * rate(r._m, s) for s in sizes[r._c_key])
+            assert words == pytest.approx(r.target, rel=1e-7)
+            assert r._m == pytest.approx(dual_by_halving(sizes[r._c_key], r.target), abs=1e-9)
+        else:
+            assert math.exp(r._m) >= mixing.MOST - 1e-9
+
+
+def test_larger_documents_are_tilted_more(spark):
+    """Rates depend on sizes: a source with too many words gives up its long documents first."""
+    rows = [(n, "w " * (10 if n % 2 else 400), "much") for n in range(200)] + [(1000 + n, "w " * 5, "few") for n in range(100)]
+    taken = mixing.mixed(docs(spark, rows)).where("source = 'much'").groupBy("size").agg(F.avg("copies").alias("rate"))
+    found = {r["size"]: r.rate for r in taken.collect()}
+    assert found[400] < 1 <= found[10] <= mixing.MOST
+
+
+def test_words_come_near_their_targets(spark):
+    large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    taken = F.sum(F.col("copies") * F.col("size")).alias("taken")
+    for r in mixing.mixed(large).groupBy("source", "target").agg(taken).collect():
+        assert abs(r.taken - r.target) <= 0.005 * r.target
+
+
+def test_mixing_of_text_ids_and_reruns(spark):
+    rows = [(f"d{n}" if n % 9 else None, "w " * (n % 40), ["x", "y"][n % 2]) for n in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    key = lambda f: Counter((r.doc_id, r["size"], r.source, r.copies) for r in mixing.mixed(f).collect())
+    assert key(frame) == key(frame.repartition(7))
+
+
+def test_one_of_each_group_whatever_the_ids(spark):
+    texts = {c: " ".join(f"{c}{n}" for n in range(60)) for c in "abcd"}
+    rows = [(3, texts["a"]), (3, texts["b"]), (7, texts["a"] + " x"), (2, texts["b"] + " y"), (None, texts["c"]), (None, texts["c"] + " z")]
+    rows += [(11, texts["d"]), (11, texts["d"]), (12, None), (None, None), (13, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_row": F.lit(1), "_member": F.lit("x")})
+    left = minhash.one_of_each(frame)
+    assert left.columns == frame.columns
+    found = Counter((r.doc_id, (r.text or "")[:1], len(r.text or "")) for r in left.collect())
+    assert found == Counter(
+        [(3, "a", len(texts["a"])), (2, "b", len(texts["b"]) + 2), (11, "d", len(texts["d"])), (12, "", 0), (None, "", 0), (13, "", 0)]
+        + [next((None, "c", len(t)) for t in (texts["c"], texts["c"] + " z") if (None, "c", len(t)) in found)]
+    )
+    assert minhash.one_of_each(frame.limit(0)).collect() == []
