@@ -14,7 +14,7 @@ def offsets(frame):
     return sorted(r.offset for r in frame.collect())
 
 
-@pytest.mark.parametrize("compact_at", [set(), set(range(6)), {3}])
+@pytest.mark.parametrize("compact_at", [set(range(6)), {3}])
 def test_state_equals_fold(spark, tmp_path, stats, compact_at):
     rows = some_rows(31, 240)
     log = BucketLog(spark, str(tmp_path), buckets=3)
@@ -49,17 +49,17 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path, stats):
 
 
 def test_reads_follow_the_state_and_writes_the_batch(spark, tmp_path, stats):
-    """Sixteen batches over the same keys: what is read stays in proportion to the state, what is written to the batches."""
+    """Ten batches over the same keys: what is read stays in proportion to the state, what is written to the batches."""
     log = BucketLog(spark, str(tmp_path), buckets=2)
     rewritten, rows_of_all = 0, 0
-    for epoch in range(16):
-        batch = [("team_whip", None, f"T{(epoch * 7 + n) % 40}", str(n), epoch, epoch * 100 + n) for n in range(10)]
+    for epoch in range(10):
+        batch = [("team_whip", None, f"T{(epoch * 7 + n) % 24}", str(n), epoch, epoch * 100 + n) for n in range(10)]
         rows_of_all += len(batch)
         log.append(stats(batch), epoch)
         if log.compact() is not None:
             rewritten += log._live().where(f"run = 'm{log.versions()[-1]}'").groupBy().sum("rows").first()[0]
     state = log.state().count()
-    assert state == 40 and log.read().count() <= 3 * state
+    assert state == 24 and log.read().count() <= 3 * state
     runs = log._live().groupBy("bucket").count().collect()
     assert max(r["count"] for r in runs) <= 4
     assert rewritten <= rows_of_all * 5
