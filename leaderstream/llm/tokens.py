@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 _ENDS = ".,;:!?"
 
 
