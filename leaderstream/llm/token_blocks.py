@@ -9,7 +9,7 @@ what the steps before have shown:
 * order 1: the same for the one id before;
 * order 0: counts of all ids.
 
-The share of each prediction in the mix is what predictions of that standing have earned so far in the block. An id takes the part of
+The share of each prediction in the mix is how often it came true so far in the block where both had these standings. An id takes the part of
 the range that the mix gives it, in one coding step. All arithmetic is in whole numbers.
 
 File: rows of a Parquet table, ordered by ``part`` and ``block``, the bytes in ``data``. Layout of a block, little-endian:
@@ -39,6 +39,7 @@ LANES = 4096
 LANE_IDS = 256
 
 _MAGIC = b"TIDB"
+_VERSION = 2
 #: magic, version, vocabulary, ids, documents, lanes, CRC-32 of the ids; then a CRC-32 of these and of what follows.
 _HEADER = struct.Struct("<4sHIIIII")
 _CRC = struct.Struct("<I")
@@ -54,17 +55,19 @@ _LOW = _U(0xFFFFFFFF)
 class _Model:
     """What a step can know: tables, standings and counts. Encoder and decoder call it alike.
 
-    An entry of a table is an id, and in its lowest bits the standing of that prediction.
+    An entry of a table is an id, and in its lowest bits the standing of that prediction. The mix is learned for each
+    standing of both predictions together, apart for those that agree on an id.
     """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
-        self.table1 = np.zeros(vocabulary, np.int64)
-        self.table2 = np.zeros(1 << _PAIRS, np.int64)
-        # Guesses and right guesses, by standing and being right.
-        start = np.arange(_TOP + 1, dtype=np.int64)
-        self.tally1 = np.stack([2 * _TOP - start, start], axis=1).reshape(-1)
-        self.tally2 = self.tally1.copy()
+        self.table1 = np.zeros(vocabulary, np.int32)
+        self.table2 = np.zeros(1 << _PAIRS, np.int32)
+        # What came true, order 2, order 1 alone or neither, by agreement and standings.
+        both = np.arange(512)
+        stand2, stand1 = both >> 4 & 15, (both & 15) * (both < 256)
+        self.tally = np.stack([stand2, stand1, np.full(512, 2 * _TOP)])
+        self.usable = np.stack([stand2 > 0, stand1 > 0]).astype(np.int64) << _TOTAL
         self.counts = np.zeros(vocabulary, np.int64)
         self.seen, self.fresh, self.n_fresh = 0, [], 0
         self.prev1, self.hash1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
@@ -76,44 +79,41 @@ class _Model:
         parts = 1 + self.counts * rest // max(self.seen, 1) if self.seen else np.full(
             self.vocabulary, (1 << _ZERO) // self.vocabulary, np.int64
         )
-        self.cum = np.zeros(self.vocabulary + 1, np.int64)
-        np.cumsum(parts, out=self.cum[1:])
-        self.cum[-1] = 1 << _ZERO
+        cum = np.zeros(self.vocabulary + 1, np.int64)
+        np.cumsum(parts, out=cum[1:])
+        cum[-1] = 1 << _ZERO
+        self.cum = cum.astype(np.uint32)
         self._id_at = None
 
     def id_at(self, place: np.ndarray) -> np.ndarray:
         """The ids whose order-0 parts hold these places, from a table made when it is first asked for."""
         if self._id_at is None:
-            self._id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), np.diff(self.cum))
+            sizes = np.diff(self.cum.astype(np.int64))
+            self._id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), sizes)
         return self._id_at.take(place)
 
-    @staticmethod
-    def _earned(tally: np.ndarray) -> np.ndarray:
-        """The part of the mix for each standing, three quarters at most."""
-        wrong, right = tally[::2], tally[1::2]
-        share = np.minimum((right << _TOTAL) // (wrong + right), (1 << _TOTAL) - (1 << _TOTAL - 2))
-        share[0] = 0
-        return share
-
     def predict(self) -> None:
         """Guesses of order 2 and 1 for each lane, and the parts of the mix that they have."""
-        pair = (self.hash1 * np.uint32(0x9E3779B1) + self.prev1.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+        now = self.prev1.astype(np.uint32)
+        pair = (self.hash1 * np.uint32(0x9E3779B1) + now) * np.uint32(0x85EBCA6B)
         self.at2 = (pair >> np.uint32(32 - _PAIRS)).astype(np.int64)
-        self.hash1 = self.prev1.astype(np.uint32)
+        self.hash1 = now
         self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.prev1)
         self.guess2, self.guess1 = self.entry2 >> 4, self.entry1 >> 4
         self.stand2, self.stand1 = self.entry2 & 15, self.entry1 & 15
-        self.part2 = self._earned(self.tally2).take(self.stand2)
-        self.part1 = self._earned(self.tally1).take(self.stand1) * ((1 << _TOTAL) - self.part2) >> _TOTAL
-        self.part1 *= (self.guess1 != self.guess2) | (self.part2 == 0)
-        self.known = self.part2 + self.part1
-        self.rest = (1 << _TOTAL) - self.known
+        self.both = ((self.guess2 == self.guess1).astype(np.int64) << 8) + (self.stand2 << 4) + self.stand1
+        # The part of what came true so far, 15 of 16 at most for both together.
+        part2, part1 = self.tally[:2] * self.usable // self.tally.sum(axis=0)
+        known = np.minimum(part2 + part1, (1 << _TOTAL) - (1 << _ZERO))
+        self.part2 = np.minimum(part2, known).astype(np.uint64).take(self.both)
+        self.known = known.astype(np.uint64).take(self.both)
+        self.rest = _U(1 << _TOTAL) - self.known
 
     def learn(self, ids: np.ndarray) -> None:
         right2, right1 = ids == self.guess2, ids == self.guess1
-        self.tally2 += np.bincount(2 * self.stand2 + right2, minlength=2 * _TOP + 2)
-        self.tally1 += np.bincount(2 * self.stand1 + right1, minlength=2 * _TOP + 2)
-        first = (ids << 4) + 1
+        what = self.both + (np.where(right2, 0, 2 - right1.view(np.int8)).astype(np.int64) << 9)
+        self.tally += np.bincount(what, minlength=3 * 512).reshape(3, 512)
+        first = (ids.astype(np.int32) << 4) + 1
         for table, at, entry, stand, right in (
             (self.table2, self.at2, self.entry2, self.stand2, right2),
             (self.table1, self.prev1, self.entry1, self.stand1, right1),
@@ -131,16 +131,14 @@ class _Model:
 
     def share_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the part of the range begins that the mix gives to ids, and how long it is."""
-        lower = (self.cum.take(ids) * self.rest >> _ZERO) + self.known
-        upper = (self.cum.take(ids + 1) * self.rest >> _ZERO) + self.known
-        is1 = (ids == self.guess1) & (self.part1 > 0)
-        is2 = (ids == self.guess2) & (self.part2 > 0)
-        lower = np.where(is1, self.part2, lower)
-        upper = np.where(is1, self.known, upper)
-        lower[is2] = 0
-        part = upper - lower
-        part[is2] = self.part2[is2]
-        return lower.view(np.uint64), part.view(np.uint64)
+        lower = (self.cum.take(ids) * self.rest >> _U(_ZERO)) + self.known
+        upper = (self.cum.take(ids + 1) * self.rest >> _U(_ZERO)) + self.known
+        is1 = np.flatnonzero((ids == self.guess1) & (self.known > self.part2))
+        is2 = np.flatnonzero((ids == self.guess2) & (self.part2 > 0))
+        lower[is1], upper[is1] = self.part2.take(is1), self.known.take(is1)
+        lower[is2], upper[is2] = 0, self.part2.take(is2)
+        upper -= lower
+        return lower, upper
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -216,11 +214,12 @@ def decode_ids(n: int, vocabulary: int, lanes: int, sizes: np.ndarray, words: np
     grid = np.empty((steps, lanes), np.int64)
     for step in range(steps):
         model.predict()
-        place = ((code - low) // (size >> _U(_TOTAL))).view(np.int64)
-        now = np.where(place < model.part2, model.guess2, model.guess1)
+        place = (code - low) // (size >> _U(_TOTAL))
+        now = np.where(place < model.part2, model.guess2, model.guess1).astype(np.int64)
         counted = np.flatnonzero(place >= model.known)
-        x = (((place.take(counted) - model.known.take(counted) + 1) << _ZERO) - 1) // model.rest.take(counted)
-        now[counted] = model.id_at(x)
+        x = ((place.take(counted) - model.known.take(counted) + _U(1)) << _U(_ZERO)) - _U(1)
+        # Numbers below 2 ** 45: the quotient's whole part is exact.
+        now[counted] = model.id_at((x.astype(float) / model.rest.take(counted)).astype(np.int64))
         out = _narrow(low, size, *model.share_of(now))
         low[out] <<= _32
         size[out] <<= _32
@@ -234,7 +233,7 @@ def pack_block(documents: list[np.ndarray], vocabulary: int) -> bytes:
     ids = np.concatenate(documents) if documents else np.empty(0, np.int64)
     lanes, sizes, words = encode_ids(ids, vocabulary)
     body = np.array([len(d) for d in documents], "<u4").tobytes() + sizes.tobytes() + words.tobytes()
-    header = _HEADER.pack(_MAGIC, 1, vocabulary, len(ids), len(documents), lanes, crc32_of(ids))
+    header = _HEADER.pack(_MAGIC, _VERSION, vocabulary, len(ids), len(documents), lanes, crc32_of(ids))
     return header + _CRC.pack(zlib.crc32(body, zlib.crc32(header))) + body
 
 
@@ -245,12 +244,12 @@ def unpack_block(data: bytes) -> list[np.ndarray]:
     magic, version, vocabulary, n, documents, lanes, ids_crc = _HEADER.unpack_from(data)
     (crc,) = _CRC.unpack_from(data, _HEADER.size)
     header, body = memoryview(data)[: _HEADER.size], memoryview(data)[_HEADER.size + _CRC.size :]
-    if magic != _MAGIC or version != 1 or zlib.crc32(body, zlib.crc32(header)) != crc:
+    if magic != _MAGIC or version != _VERSION or zlib.crc32(body, zlib.crc32(header)) != crc:
         raise ValueError("a block is damaged")
     numbers = np.frombuffer(body, "<u4")
     lengths, sizes, words = np.split(numbers, [documents, documents + lanes])
-    ids = decode_ids(n, vocabulary, lanes, sizes, words)
-    if crc32_of(ids) != ids_crc:
+    ids = decode_ids(n, vocabulary, lanes, sizes, words).astype("<u4")
+    if zlib.crc32(ids) != ids_crc:
         raise ValueError("a block's ids differ from those written")
     return np.split(ids, np.cumsum(lengths.astype(np.int64))[:-1]) if documents else []
 
@@ -317,31 +316,32 @@ def write_ids(
     ordered.mapInArrow(_write(tokenizer, end_id, id_type), schema).write.parquet(path)
 
 
-def _read(id_type: pa.DataType):
+def _read(id_type: pa.DataType, with_ids: bool):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part, start, doc_ids, data = (c[row] for c in batch.columns)
                 ids = unpack_block(data.as_buffer())
                 lengths = np.array([len(d) for d in ids], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.values,
-                        pa.array(np.full(len(ids), part.as_py()), pa.int32()),
-                        pa.array(start.as_py() + np.cumsum(lengths) - lengths),
-                        pa.array(lengths),
-                        pa.array([crc32_of(d) for d in ids], pa.int64()),
-                        pa.array([d.astype("<u4").tobytes() for d in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {
+                    "doc_id": doc_ids.values,
+                    "part": pa.array(np.full(len(ids), part.as_py()), pa.int32()),
+                    "part_start": pa.array(start.as_py() + np.cumsum(lengths) - lengths),
+                    "n_tokens": pa.array(lengths),
+                    "ids_crc32": pa.array([zlib.crc32(d) for d in ids], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([d.tobytes() for d in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return documents
 
 
-def read_ids(spark, path: str) -> DataFrame:
+def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
     """The documents below ``path``: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids`` (32-bit numbers).
 
+    All blocks are decoded and checked; without ``with_ids`` the ids stay in the tasks that read them.
+
     ``start`` counts the ids of all documents before. Parts are as many as the writing tasks, so
     the table of their sizes is small.
     """
@@ -353,10 +353,12 @@ def read_ids(spark, path: str) -> DataFrame:
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    schema = f"doc_id {element.simpleString()}, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    read = files.select("part", "part_start", "doc_ids", "data").mapInArrow(_read(id_type), schema)
+    schema = f"doc_id {element.simpleString()}, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint"
+    ids = ["ids"] if with_ids else []
+    schema += ", ids binary" if with_ids else ""
+    read = files.select("part", "part_start", "doc_ids", "data").mapInArrow(_read(id_type, with_ids), schema)
     return read.join(F.broadcast(starts), "part").select(
-        "doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        "doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", *ids
     )
 
 
@@ -365,4 +367,4 @@ def digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     path = shared_dir(spark, "token-blocks")
     write_ids(docs, path, tokenizer, end_id)
-    return read_ids(spark, path).drop("ids")
+    return read_ids(spark, path, with_ids=False)
