@@ -64,6 +64,10 @@ class Board:
     def facets(self, name: str) -> DataFrame:
         return serving.facet_values(self.leaderboard(name))
 
+    def facet_options(self, name: str) -> DataFrame:
+        """Values on offer for each filter of a table under every choice of the other filters, with counts."""
+        return serving.facet_options(serving.facet_counts(self.leaderboard(name)))
+
     def snapshots(self, prefix: str = INDIVIDUAL) -> DataFrame:
         return serving.snapshots(self.leaderboard(), prefix)
 

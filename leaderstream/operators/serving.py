@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,6 +67,40 @@ def facet_values(rows: DataFrame) -> DataFrame:
     )
 
 
+def facet_counts(rows: DataFrame) -> DataFrame:
+    """``table_name, Team, Cl, Position, n``: rows of individual tables under every combination of chosen values.
+
+    An empty text chooses all, as in ``filter_rows``; combinations without rows are left out. Rows whose value is
+    NULL or empty count where that facet is not chosen. Rows are counted by all three facets first, before the shuffle;
+    the eight grouping sets add up these counts.
+    """
+    given = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in FACETS]
+    cells = rows.where(F.col("entity_type") == INDIVIDUAL).select("table_name", *given)
+    cells = cells.groupBy("table_name", *FACETS).agg(F.count("*").alias("_n"))
+    sets = [("table_name", *chosen) for k in range(len(FACETS) + 1) for chosen in combinations(FACETS, k)]
+    # A facet that is not chosen is NULL in its set, and no value is.
+    counts = cells.groupingSets(sets, "table_name", *FACETS).agg(F.sum("_n").alias("n"))
+    for facet in FACETS:
+        counts = counts.where(F.col(facet).isNull() | (F.col(facet) != ""))
+    return counts.select("table_name", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in FACETS], "n")
+
+
+def facet_options(counts: DataFrame) -> DataFrame:
+    """``table_name, for_team, for_cl, for_position, facet, facet_value, n`` from ``facet_counts``.
+
+    The values on offer for a facet while the others are chosen as the ``for_`` columns say, and the rows
+    each would leave. A facet's own choice doesn't narrow its offer. No shuffle: each count is an offer of every facet it chooses.
+    """
+
+    def offer(facet: str) -> Column:
+        others = [(F.lit("") if c == facet else F.col(c)).alias(f"for_{c.lower()}") for c in FACETS]
+        one = F.struct(*others, F.lit(facet).alias("facet"), F.col(facet).alias("facet_value"))
+        return F.when(F.col(facet) != "", one)
+
+    offers = F.array_compact(F.array(*[offer(c) for c in FACETS]))
+    return counts.select("table_name", F.inline(offers), "n")
+
+
 def sort_order(column: str, ascending: bool = True) -> list[Column]:
     """Sort keys that put numbers in numeric order and before other texts."""
     value = F.col(column).cast("string")

@@ -93,6 +93,16 @@ def _with(*ctes: str) -> str:
     return "with " + ",".join(ctes) + "\n"
 
 
+def _chosen(*facets: str, prefix: str = "") -> str:
+    """Columns of a cube, empty where a facet is not chosen."""
+    columns = (f"""case when grouping("{c}") = 1 then '' else "{c}" end as "{(prefix + c.lower()) if prefix else c}\"""" for c in facets)
+    return ", ".join(columns)
+
+
+def _any_or_given(*facets: str) -> str:
+    return " and ".join(f"""(grouping("{c}") = 1 or "{c}" <> '')""" for c in facets)
+
+
 _PLAYER = 'table_name, "Name", "Team", "Cl", "Position", "Value"'
 
 _QUOTED = """coalesce('"' || {0} || '"', 'null')"""
@@ -295,6 +305,16 @@ union all select table_name, null, "Team", null, null, "Value", "Rank" from team
     + """select table_name, 'Team' as facet, "Team" as facet_value from board where "Team" <> ''
 union select table_name, 'Cl', "Cl" from board where "Cl" <> ''
 union select table_name, 'Position', "Position" from board where "Position" <> ''""",
+    "facet_counts": _with(_IND, _IND_STATE)
+    + f"""select table_name, {_chosen("Team", "Cl", "Position")}, count(*) as n from ind_state
+group by table_name, cube("Team", "Cl", "Position") having {_any_or_given("Team", "Cl", "Position")}""",
+    "facet_options": _with(_IND, _ranked("ind", "board", "number", _IND_TIES))
+    + " union all by name ".join(
+        f"""select table_name, '{facet}' as facet, "{facet}" as facet_value, '' as for_{facet.lower()},
+       {_chosen(*others, prefix="for_")}, count(*) as n from board where "{facet}" <> ''
+group by table_name, "{facet}", cube({", ".join(f'"{c}"' for c in others)}) having {_any_or_given(*others)}"""
+        for facet, others in (("Team", ("Cl", "Position")), ("Cl", ("Team", "Position")), ("Position", ("Team", "Cl")))
+    ),
     "numeric_aware_sort": _with(_PART)
     + f"""select table_name, "Name", "Value", 'up' as direction,
        cast(row_number() over (partition by table_name order by {_NUMBER} asc nulls last,

@@ -182,6 +182,14 @@ def facet_values(spark: SparkSession, sf: str) -> DataFrame:
     return serving.facet_values(ranking.leaderboards(fx.players(spark, sf)))
 
 
+def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return serving.facet_counts(upsert.resolve_batches(fx.players(spark, sf)))
+
+
+def facet_options(spark: SparkSession, sf: str) -> DataFrame:
+    return serving.facet_options(serving.facet_counts(ranking.leaderboards(fx.players(spark, sf))))
+
+
 def numeric_aware_sort(spark: SparkSession, sf: str) -> DataFrame:
     served = ranking.leaderboards(fx.part_rows(spark, sf))
     up = serving.sort_served(served, "Value").withColumn("direction", F.lit("up"))
@@ -402,6 +410,8 @@ QUERIES: dict[str, Query] = {
         unranked_limit,
         leaderboard_filtered,
         facet_values,
+        facet_counts,
+        facet_options,
         numeric_aware_sort,
         table_by_name,
         table_view,

@@ -22,6 +22,26 @@ def test_filters_keep_ranks(spark, stats):
     assert [(r.facet, r.facet_value) for r in facets] == [("Team", "T0"), ("Team", "T1")]
 
 
+def test_facets_depend_on_each_other(spark):
+    """Every combination of filters has the counts that filtering the rows gives."""
+    fields = "entity_type string, table_name string, Team string, Cl string, Position string"
+    values = [("T1", "Jr", "P"), ("T1", "Sr", "P"), ("T1", None, "C"), ("T2", "Jr", ""), (None, "Jr", "P"), ("T1", "Jr", "P")]
+    rows = [("individual", "individual_whip", *v) for v in values] + [("team", "team_whip", "T1", None, None)]
+    frame = spark.createDataFrame(rows, fields)
+    got = {(r.Team, r.Cl, r.Position): r.n for r in serving.facet_counts(frame).collect()}
+    want = {}
+    for team in ("", "T1", "T2"):
+        for cl in ("", "Jr", "Sr"):
+            for position in ("", "P", "C"):
+                left = serving.filter_rows(frame, team, cl, position).where("entity_type = 'individual'").count()
+                if left:
+                    want[team, cl, position] = left
+    assert got == want
+    offers = serving.facet_options(serving.facet_counts(frame)).where("facet = 'Cl' and for_team = 'T1' and for_position = ''")
+    assert {(r.facet_value, r.for_cl, r.n) for r in offers.collect()} == {("Jr", "", 2), ("Sr", "", 1)}
+    assert serving.facet_options(serving.facet_counts(frame.limit(0))).count() == 0
+
+
 def test_sorting_puts_numbers_first(spark):
     frame = spark.createDataFrame([(v,) for v in ["b", "10", "9 x", None, "A", ".5"]], "v string")
     assert [r.v for r in serving.sort_rows(frame, "v").collect()] == [".5", "9 x", "10", None, "A", "b"]
