@@ -16,7 +16,8 @@ KEY = ["table_name", "_name", "Team"]
 LATEST = ("event_time", "offset", "Value", "Cl", "Position")
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with ``_name``, the part of their key that tells players apart."""
     # Teams have no name; an empty one keeps the key free of NULLs for them.
     name = F.when(F.col("entity_type") == INDIVIDUAL, F.col("Name")).otherwise(F.lit(""))
     return rows.withColumn("_name", name)
@@ -29,7 +30,7 @@ def resolve_batches(log: DataFrame, batch: str = "batch_id", spread_by: str = "o
     of one key within its newest batch all stay, and rows with a NULL key part
     are never replaced.
     """
-    rows = _keyed(log)
+    rows = keyed(log)
     newest = key_facts(rows, KEY, F.max(batch).alias("_newest"), F.lit(1))
     placed = with_key_facts(rows, newest, KEY, "_newest", [spread_by], **balance)
     kept = placed.where(null_key() | (F.col(batch) == F.col("_newest")))
@@ -42,8 +43,8 @@ def anti_join_keys(state: DataFrame, batch: DataFrame) -> DataFrame:
     A plain join: Spark broadcasts the keys of a small batch, so that the state
     stays where it is, and splits a hot key of the state otherwise.
     """
-    replaced = _keyed(batch).select(*KEY).dropDuplicates()
-    return _keyed(state).join(replaced, KEY, "left_anti").select(*state.columns)
+    replaced = keyed(batch).select(*KEY).dropDuplicates()
+    return keyed(state).join(replaced, KEY, "left_anti").select(*state.columns)
 
 
 def apply_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -58,5 +59,5 @@ def upsert_latest(log: DataFrame, order: Sequence[str] = LATEST) -> DataFrame:
     """
     carried = [c for c in log.columns if c not in {"table_name", "Team"}]
     last = F.max_by(F.struct(*carried), F.struct(*order)).alias("_row")
-    latest = _keyed(log.where(~null_key())).groupBy(*KEY).agg(last)
+    latest = keyed(log.where(~null_key())).groupBy(*KEY).agg(last)
     return latest.select("table_name", "Team", "_row.*").select(*log.columns)

@@ -38,6 +38,10 @@ def _chosen(value: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(literal, value)
 
 
+#: Days after which ``states_at_times`` looks.
+STATE_DAYS = (0, 7, 20, 90, 400)
+
+
 def _money(value: Column) -> Column:
     return value.cast("decimal(18,2)").cast("string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from leaderstream.metrics import STAT_PAGES
 from leaderstream.operators.prompts import INVALID_REQUEST, PROMPT, SECTION
-from leaderstream.plans.fixtures import EVENT_METRICS, LINE_METRICS
+from leaderstream.plans.fixtures import EVENT_METRICS, LINE_METRICS, STATE_DAYS
 
 
 def _case(value: str, names: dict[str, str]) -> str:
@@ -284,6 +284,21 @@ qualify row_number() over (partition by table_name, "Team"
     )
     + f"""select {_PLAYER}, "Rank", place, "offset" from players
 union all select table_name, null, "Team", null, null, "Value", "Rank", place, "offset" from teams""",
+    "validity_intervals": _with(_TEAM)
+    + """select "offset", table_name, "Team", "Value", batch_id, valid_to from team join (
+  select table_name, "Team", batch_id, lead(batch_id) over (partition by table_name, "Team" order by batch_id) as valid_to
+  from (select distinct table_name, "Team", batch_id from team)) using (table_name, "Team", batch_id)""",
+    "states_at_times": _with(_IND)
+    + f"""select as_of, "offset", {_PLAYER}, batch_id
+from ind, (select cast(unnest([{", ".join(map(str, STATE_DAYS))}]) as bigint) as as_of) where batch_id <= as_of
+qualify rank() over (partition by as_of, table_name, "Name", "Team" order by batch_id desc) = 1
+     or "Name" is null or "Team" is null""",
+    "as_of_lookup": _with(_IND)
+    + """select l.as_of, i."offset", i.table_name, i."Name", i."Team", i."Cl", i."Position", i."Value", i.batch_id
+from (select distinct table_name, "Name", "Team", batch_id - 7 as as_of from ind) l
+asof join (select distinct table_name, "Name", "Team", batch_id from ind) b
+  on l.table_name = b.table_name and l."Name" = b."Name" and l."Team" = b."Team" and l.as_of >= b.batch_id
+join ind i on i.table_name = b.table_name and i."Name" = b."Name" and i."Team" = b."Team" and i.batch_id = b.batch_id""",
     "rank_all_text": _with(_TEAM, _ranked("team", "board", "text", _TEAM_TIES, "bigint", "true"))
     + 'select table_name, "Team", "Value", "Rank", place, "offset" from board',
     "leaderboard": _with(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leaderstream.functions import naming, values
 from leaderstream.metrics import INDIVIDUAL, TEAM
 from leaderstream.operators import flatten as fl
-from leaderstream.operators import prompts, ranking, serving, upsert
+from leaderstream.operators import history, prompts, ranking, serving, upsert
 from leaderstream.plans import fixtures as fx
 from leaderstream.session import settled, shared_dir
 from leaderstream.sources import board_tables, messages, pages
@@ -138,6 +138,26 @@ def upsert_latest_individual(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.upsert_latest(fx.players(spark, sf)).select(*PLAYER, _time(), "offset")
 
 
+# Earlier states
+
+
+def validity_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return history.validity(fx.teams(spark, sf)).select("offset", "table_name", "Team", "Value", "batch_id", "valid_to")
+
+
+def states_at_times(spark: SparkSession, sf: str) -> DataFrame:
+    """The individual tables as they were after some days."""
+    states = history.states_at(fx.players(spark, sf), fx.STATE_DAYS)
+    return states.select("as_of", "offset", *PLAYER, "batch_id")
+
+
+def as_of_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """What was current a week before each day on which a player's row came."""
+    rows = fx.players(spark, sf)
+    week_before = rows.select("table_name", "Name", "Team", (F.col("batch_id") - 7).alias("as_of"))
+    return history.as_of(week_before, rows).select("as_of", "offset", *PLAYER, "batch_id")
+
+
 # Leaderboards
 
 
@@ -402,6 +422,9 @@ QUERIES: dict[str, Query] = {
         upsert_team,
         upsert_latest,
         upsert_latest_individual,
+        validity_intervals,
+        states_at_times,
+        as_of_lookup,
         rank_lexicographic,
         rank_numeric,
         rank_all_rows,
