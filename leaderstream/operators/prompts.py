@@ -36,6 +36,9 @@ Here are relevant stats from multiple categories:
 Answer clearly and professionally using this data.
 """
 
+#: Words of one automaton, about: some tens of megabytes in a task.
+SLICE_WORDS = 100_000
+
 _BLANKS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
 
 
@@ -54,37 +57,59 @@ def query_words(query: Column) -> Column:
     return F.filter(F.split(F.lower(query), _BLANKS), lambda w: w != "")
 
 
-def _name_parts(tables: DataFrame, fill: int) -> DataFrame:
-    """``type, word, table_name``: every text inside a table name, once per name.
+def _typed(tables: DataFrame) -> DataFrame:
+    return tables.select(F.element_at(F.split("table_name", "_"), 1).alias("type"), "table_name")
+
+
+def _words_in_names(key: tuple, words: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    """One automaton over the words of a slice, run once over each name of their type."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in words["word"]:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    # An automaton without words cannot be run.
+    found = [(name, set(w for _, w in automaton.iter(name))) for name in names["table_name"] if len(words)]
+    rows = [(key[0], word, name) for name, hits in found for word in sorted(hits)]
+    return pd.DataFrame(rows, columns=["type", "word", "table_name"], dtype=object)
+
+
+def words_in_names(words: DataFrame, tables: DataFrame, most: int = SLICE_WORDS) -> DataFrame:
+    """``type, word, table_name`` for every distinct ``type, word`` that occurs inside a table name of that type.
 
-    The empty word stands for the first ``fill`` names of a type.
+    Words are cut by hash into slices of about ``most``, each of which becomes one automaton; the names, few and
+    short, go to every slice. What comes out grows with the matches. No words or no names: no rows.
     """
-    typed = tables.select(F.element_at(F.split("table_name", "_"), 1).alias("type"), "table_name")
-    length = F.length("table_name")
-    starts = typed.select("*", F.explode(F.sequence(F.lit(1), length)).alias("_from"))
-    ends = F.sequence(F.lit(1), length - F.col("_from") + 1)
-    parts = starts.select("*", F.explode(ends).alias("_len"))
-    words = parts.select("type", F.expr("substr(table_name, _from, _len)").alias("word"), "table_name").distinct()
-    first = top_k_per_group(typed, ["type"], [F.col("table_name")], fill)
-    return words.unionByName(first.select("type", F.lit("").alias("word"), "table_name"))
+    words = settled(words.select("type", "word").where(F.col("word") != "").distinct())
+    slices = max(1, -(-words.count() // most))
+    sliced = words.withColumn("_slice", F.pmod(F.xxhash64("word"), F.lit(slices)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("_slice")
+    names = _typed(tables).distinct().select("*", every)
+    met = sliced.groupBy("type", "_slice").cogroup(names.groupBy("type", "_slice"))
+    return met.applyInPandas(_words_in_names, "type string, word string, table_name string")
 
 
 def relevance(asked: DataFrame, tables: DataFrame, fill: int = 0) -> DataFrame:
     """``question_id, table_name, score`` for every score above zero.
 
     The score is the number of words of the question that occur inside the
-    table name, repeats counted. Names are few and short, so all their parts
-    are listed once and words meet names by an equi-join on equal text, salted
+    table name, repeats counted. The distinct words of all questions are looked for in the names, and
+    questions meet the hits by an equi-join on equal words, salted
     as some words are in every question. With ``fill``, the first ``fill``
     names of the type come along whatever their score.
     """
     words = query_words(F.col("query"))
+    hits = words_in_names(asked.select("type", F.explode(words).alias("word")), tables)
     if fill:
         words = F.concat(words, F.array(F.lit("")))
+        # The empty word stands for the first names of a type.
+        first = top_k_per_group(_typed(tables), ["type"], [F.col("table_name")], fill)
+        hits = hits.unionByName(first.select("type", F.lit("").alias("word"), "table_name"))
     exploded = asked.select("question_id", "type", F.posexplode(words).alias("_pos", "word"))
-    hits = salted_join(exploded, _name_parts(tables, fill), ["type", "word"], ["question_id", "_pos"])
+    met = salted_join(exploded, hits, ["type", "word"], ["question_id", "_pos"])
     counted = F.when(F.col("word") != "", 1).otherwise(0)
-    return hits.groupBy("question_id", "table_name").agg(F.sum(counted).alias("score"))
+    return met.groupBy("question_id", "table_name").agg(F.sum(counted).alias("score"))
 
 
 def relevant_tables(asked: DataFrame, tables: DataFrame, k: int = PROMPT_TABLES) -> DataFrame:
@@ -133,21 +158,16 @@ def build_prompts(questions: DataFrame, records: DataFrame, category: str | None
     # One text per table, used several times below: worked out once.
     sections = settled(table_sections(records))
     tables = sections.select("table_name")
-    picked = F.transform(F.array_sort(F.collect_list(F.struct("place", "table_name"))), lambda p: p["table_name"])
-    names = relevant_tables(asked, tables).groupBy("question_id").agg(picked.alias("_names"))
-    # Names travel with the question; the texts meet it last, behind all shuffles where Spark can
-    # broadcast them. question_id is unique, so neither side of this join can be skewed.
-    answered = requests.join(names, "question_id", "left")
-    texts = []
-    for place in range(PROMPT_TABLES):
-        texts.append(f"_text{place}")
-        one = sections.select(F.col("table_name").alias("_name"), F.col("section").alias(texts[-1]))
-        answered = answered.join(one, F.get("_names", F.lit(place)) == F.col("_name"), "left").drop("_name")
-    body = F.concat_ws("\n\n", *texts)
+    # One join for all places: a name that nearly all questions hold is salted, or the sections are broadcast where Spark
+    # measures that they may be. question_id is unique, so what follows cannot be skewed.
+    named = salted_join(relevant_tables(asked, tables), sections, ["table_name"], ["question_id"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda p: p["section"])
+    bodies = named.groupBy("question_id").agg(F.array_join(listed, "\n\n").alias("_body"))
+    answered = requests.join(bodies, "question_id", "left")
     return answered.select(
         "question_id",
-        F.when(F.col("_names").isNotNull(), F.format_string(PROMPT, F.col("query"), body)).alias("prompt"),
+        F.when(F.col("_body").isNotNull(), F.format_string(PROMPT, F.col("query"), F.col("_body"))).alias("prompt"),
         F.when(~F.col("valid"), INVALID_REQUEST)
-        .when(F.col("_names").isNull(), F.format_string(NO_DATA, "type"))
+        .when(F.col("_body").isNull(), F.format_string(NO_DATA, "type"))
         .alias("message"),
     )

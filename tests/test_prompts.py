@@ -87,3 +87,18 @@ def test_no_section_text_in_a_shuffle(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert shuffles and not any("section" in line or "_text" in line for line in shuffles)
+
+
+def test_words_in_names_by_slices(spark):
+    """Overlapping and nested words, in one automaton and in many."""
+    tables = [("individual_strikeouts",), ("individual_era",), ("team_era",), ("individual_era",)]
+    names = spark.createDataFrame(tables, "table_name string")
+    words = ["e", "era", "ra", "strike", "outs", "strikeouts", "", "none", "_", "individual_era"]
+    rows = [(kind, w) for kind in ("individual", "team", "other") for w in words] * 2
+    asked = spark.createDataFrame(rows, "type string, word string")
+    want = sorted({(k, w, n) for k, w in rows for (n,) in tables if w and w in n and n.split("_")[0] == k})
+    for most in (1, 4, 1000):
+        got = prompts.words_in_names(asked, names, most=most).collect()
+        assert sorted((r.type, r.word, r.table_name) for r in got) == want
+    assert prompts.words_in_names(asked.limit(0), names).count() == 0
+    assert prompts.words_in_names(asked, names.limit(0)).count() == 0
