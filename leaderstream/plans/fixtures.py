@@ -113,33 +113,48 @@ def team_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(team_rows(read(spark, sf_dir, "lineitem")))
 
 
-# Files of a batch of a stream, at most.
+# Files of a batch of a stream, unless it has so many rows that it needs more or so few that it needs less.
 BATCH_FILES = 8
+FILE_ROWS = 500_000
+SMALL_FILE_ROWS = 1_000
 
 
-def message_files(messages: DataFrame, purpose: str) -> tuple[str, int]:
+def message_files(messages: DataFrame, purpose: str, file_rows: int = FILE_ROWS) -> tuple[str, int]:
     """Messages in a fresh folder, and how many files each of their few batches has there.
 
-    All batches are encoded and written in one pass, by as many tasks as a batch has files. Files of a
-    batch are as old as its place in the order of batches, which is the order streams read files in.
+    All batches are encoded and written in one pass. A file has about ``file_rows`` rows at most, so that files, and the
+    tasks that write them, grow in number and not in size. Files of a batch are as old as its place in the order of
+    batches, which is the order streams read files in.
     """
     spark = messages.sparkSession
     path = shared_dir(spark, purpose)
-    slot = F.pmod(F.xxhash64("offset"), F.lit(BATCH_FILES)).alias("slot")
+    # A number for each batch.
+    rows = {r["batch_id"]: r["count"] for r in messages.groupBy("batch_id").count().collect()}
+    batches = sorted(rows)
+    largest = max(rows.values(), default=0)
+    files = max(1, min(BATCH_FILES, largest // SMALL_FILE_ROWS), -(-largest // file_rows))
+    tasks = max(1, min(len(batches) * files, max(BATCH_FILES, -(-sum(rows.values()) // file_rows))))
+    # By the message too: rows without an offset would meet in one file.
+    slot = F.pmod(F.xxhash64("offset", "value"), F.lit(files)).alias("slot")
     dealt = messages.select("value", "offset", "batch_id", slot)
-    # A few numbers for each batch: a stream takes whole batches only where all have the same number of files.
-    found = [(r.batch_id, r.slot) for r in messages.select("batch_id", slot).distinct().collect()]
-    batches = sorted({b for b, _ in found})
-    files = BATCH_FILES
-    while len({(b, s % files) for b, s in found}) < files * len(batches):
-        files //= 2
-    dealt = dealt.withColumn("slot", F.col("slot") % files).repartition(files, "slot")
-    dealt.write.partitionBy("batch_id", "slot").parquet(path)
+    # Each file is dealt to one task, in turn: by a hash, several would meet in some tasks.
+    place = F.array_position(F.array(*[F.lit(b).cast("bigint") for b in batches]), F.col("batch_id"))
+    task = F.pmod(place * files + F.col("slot"), F.lit(tasks)).cast("int")
+    dealt.repartitionById(tasks, task).write.partitionBy("batch_id", "slot").parquet(path)
+    # A stream takes whole batches only where all have the same number of files.
+    empty = f"{path}-empty"
+    spark.createDataFrame([], messages.select("value", "offset").schema).coalesce(1).write.parquet(empty)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = hadoop.Path(path).getFileSystem(conf)
+    (nothing,) = fs.globStatus(hadoop.Path(f"{empty}/*.parquet"))
     for age, batch in enumerate(reversed(batches)):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch}/*/*.parquet")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in fs.globStatus(folder):
-            fs.setTimes(status.getPath(), _NEWEST - 1000 * age, -1)
+        folder = f"{path}/batch_id={batch}"
+        paths = [status.getPath() for status in fs.globStatus(hadoop.Path(f"{folder}/*/*.parquet"))]
+        for n in range(len(paths), files):
+            paths.append(hadoop.Path(f"{folder}/slot={files}/part-{n}.parquet"))
+            hadoop.FileUtil.copy(fs, nothing.getPath(), fs, paths[-1], False, conf)
+        for file in paths:
+            fs.setTimes(file, _NEWEST - 1000 * age, -1)
     return path, files
 
 

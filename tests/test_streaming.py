@@ -9,6 +9,7 @@ from test_upsert import literal_fold, some_rows
 from leaderstream import Board, __main__
 from leaderstream.operators import flatten as fl
 from leaderstream.operators import serving
+from leaderstream.plans import fixtures
 from leaderstream.sources import messages
 from leaderstream.streaming import ingest, latest
 from leaderstream.streaming.epoch_log import EpochLog
@@ -302,3 +303,18 @@ def test_table_stream_of_odd_paths(spark, tmp_path, name):
         query = messages.table_stream(spark, source).writeStream.format("memory").queryName(f"t{n}").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table(f"t{n}").count() == 3
+
+
+def test_files_of_a_batch_stay_small(spark, tmp_path):
+    """A large batch and one of a few rows: as many files each, none with much more than its share of the rows."""
+    batch, offset = F.when(F.col("id") < 5, 0).otherwise(1).cast("bigint"), F.when(F.col("id") % 2 == 0, F.col("id"))
+    rows = spark.range(4005).select(F.col("id").cast("string").cast("binary").alias("value"), offset.alias("offset"), batch.alias("batch_id"))
+    path, files = fixtures.message_files(rows, "small-files", file_rows=200)
+    written = spark.read.parquet(path).groupBy("batch_id", F.input_file_name().alias("file")).count().collect()
+    assert files == 20
+    assert max(r["count"] for r in written) < 400
+    source = messages.table_stream(spark, path, max_files=files).select("value")
+    epochs = {}
+    take = source.writeStream.foreachBatch(lambda b, n: epochs.update({n: sorted(int(r.value.decode()) for r in b.collect())}))
+    take.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert epochs == {0: list(range(5)), 1: list(range(5, 4005))}
