@@ -48,7 +48,9 @@ def decode_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     Text that is no JSON object gives NULL in every envelope field.
     """
     rest = [c for c in raw.columns if c != value]
-    parsed = raw.select(*rest, F.from_json(F.col(value).cast("string"), ENVELOPE).alias("data"))
+    # Spark interprets a parse and all that it puts into it. A text that is used twice is computed before, in generated code.
+    text = F.col(value).cast("string")
+    parsed = raw.select(*rest, F.when(text != "", F.from_json(text, ENVELOPE)).alias("data"))
     envelopes = parsed.select(*rest, "data.*")
     return envelopes.withColumn("event_time", event_time(F.col("timestamp"))).drop("timestamp")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaderstream.metrics import INDIVIDUAL, METRICS, STAT_PAGES, TEAM, table_name_of, value_field
+from leaderstream.metrics import INDIVIDUAL, METRICS, STAT_PAGES, TEAM, table_name_of, value_field, value_fields
 from leaderstream.operators.flatten import STATS, encode_events
 from leaderstream.session import shared_dir
 from leaderstream.sources.pages import page_url
@@ -98,9 +98,10 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(rows: DataFrame) -> DataFrame:
     """Statistic rows as messages: ``value`` in bytes, ``offset`` and ``batch_id``."""
     field = value_field(METRICS, F.col("entity_type"), F.col("stat_category"))
-    names = ["Name", "Team", "Cl", "Position"]
-    pairs = [x for n in names for x in (F.lit(n), F.col(n))]
-    record = F.map_filter(F.create_map(*pairs, field, F.col("Value")), lambda _, v: v.isNotNull())
+    rows = rows.withColumn("_field", field)
+    # A struct leaves fields without a value out of the JSON; to filter a map Spark interprets a function for each row.
+    value = [F.when(F.col("_field") == f, F.col("Value")).alias(f) for f in value_fields(METRICS)]
+    record = F.struct("Name", "Team", "Cl", "Position", *value)
     encoded = encode_events(rows, record, F.col("event_time"))
     return encoded.select(F.col("value").cast("binary").alias("value"), "offset", "batch_id")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaderstream.operators import flatten as fl
+from leaderstream.plans import fixtures as fx
 
 
 def envelope(category="Slugging Percentage", kind="player", **extra):
@@ -121,3 +122,30 @@ def test_encode_round_trip(spark):
 
 def test_empty_table(spark):
     assert fl.empty_stats(spark).count() == 0
+
+
+def test_messages_are_encoded_before_the_parse(spark):
+    """Not within it, where Spark interprets them row by row."""
+    text = F.col("id").cast("string")
+    lines = spark.range(3).select(
+        F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), F.col("id").alias("l_suppkey"),
+        text.alias("l_extendedprice"), F.timestamp_seconds("id").alias("l_shipdate"), F.col("id").alias("l_orderkey"),
+        F.when(F.col("id") > 0, 1).alias("l_linenumber"),
+    )
+    rows = fl.flatten(fl.decode_envelopes(fx.messages(fx.team_rows(lines))))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    parses = [line for line in plan.splitlines() if "from_json(" in line]
+    assert len(parses) == 2
+    assert not any("StructsToJson" in line for line in parses)
+    assert sorted(r.Team for r in rows.collect()) == ["Supplier 0", "Supplier 1", "Supplier 2"]
+
+
+def test_fields_without_a_value_leave_no_key(spark):
+    rows = spark.range(2).select(
+        F.lit("individual").alias("entity_type"), F.lit("WHIP").alias("stat_category"), F.lit("A").alias("Name"),
+        F.lit(None).cast("string").alias("Team"), F.lit("").alias("Cl"), F.lit(None).cast("string").alias("Position"),
+        F.when(F.col("id") == 1, "1.5").alias("Value"), F.timestamp_seconds("id").alias("event_time"),
+        F.col("id").alias("batch_id"), F.col("id").alias("offset"),
+    )
+    texts = [json.loads(r.value.decode())["player_stats"] for r in fx.messages(rows).orderBy("offset").collect()]
+    assert [list(t.items()) for t in texts] == [[("Name", "A"), ("Cl", "")], [("Name", "A"), ("Cl", ""), ("WHIP", "1.5")]]
