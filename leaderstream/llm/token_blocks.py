@@ -10,10 +10,12 @@ what the steps before have shown:
 * order 0: counts of all ids.
 
 The share of each prediction in the mix is how often it came true so far in the block where both had these standings. An id takes the part of
-the range that the mix gives it, in one coding step. All arithmetic is in whole numbers.
+the range that the mix gives it, in one coding step. A lane's range is one 64-bit number (range asymmetric numeral system): a step
+takes 32-bit words off it or puts them back, and the words of all lanes are one stream, in the order of steps, then lanes.
+All arithmetic is in whole numbers.
 
 File: rows of a Parquet table, ordered by ``part`` and ``block``, the bytes in ``data``. Layout of a block, little-endian:
-``header`` (see ``_HEADER``), ``n_docs`` 32-bit lengths, ``lanes`` 32-bit word counts, and each lane's 32-bit words.
+``header`` (see ``_HEADER``), ``n_docs`` 32-bit lengths, ``lanes`` 64-bit numbers that the lanes start reading with, and the 32-bit words.
 """
 
 from __future__ import annotations
@@ -33,20 +35,25 @@ from .tables import partitions
 from .tokens import crc32_of, encoder
 
 #: Ids after which a block is closed; one longer document makes a longer block.
-BLOCK_IDS = 1 << 20
-LANES = 4096
+BLOCK_IDS = 1 << 21
+LANES = 8192
 #: Steps of a lane that should at least pay for its last word.
 LANE_IDS = 256
+#: Words that a worker remembers, see ``tokens.REMEMBERED``; nothing else in these tasks needs much memory.
+WORDS = 1_200_000
 
 _MAGIC = b"TIDB"
-_VERSION = 2
+_VERSION = 3
 #: magic, version, vocabulary, ids, documents, lanes, CRC-32 of the ids; then a CRC-32 of these and of what follows.
 _HEADER = struct.Struct("<4sHIIIII")
 _CRC = struct.Struct("<I")
-_TOTAL = 24  # bits of the range that a step shares out
 _ZERO = 20  # bits of the order-0 counts
+_MIX = 10  # bits of the shares of the mix
+_TOTAL = _ZERO + _MIX  # bits of the range that a step shares out
 _PAIRS = 18  # bits of the table of order-2 contexts
 _TOP = 12  # highest standing of a prediction
+#: Steps at a block's begin after each of which the mix is learned anew; later ones learn it in groups of ``_OFTEN``.
+_EARLY, _OFTEN = 16, 8
 _U = np.uint64
 _32 = _U(32)
 _LOW = _U(0xFFFFFFFF)
@@ -56,90 +63,120 @@ class _Model:
     """What a step can know: tables, standings and counts. Encoder and decoder call it alike.
 
     An entry of a table is an id, and in its lowest bits the standing of that prediction. The mix is learned for each
-    standing of both predictions together, apart for those that agree on an id.
+    standing of both predictions together, apart for those that agree on an id. The tables of both orders are one array, order 2
+    first, and so are the lanes' places, entries and hits: what is done to them is done in one call.
     """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
-        self.table1 = np.zeros(vocabulary, np.int32)
-        self.table2 = np.zeros(1 << _PAIRS, np.int32)
+        self.table = np.zeros((1 << _PAIRS) + vocabulary, np.int32)
         # What came true, order 2, order 1 alone or neither, by agreement and standings.
         both = np.arange(512)
         stand2, stand1 = both >> 4 & 15, (both & 15) * (both < 256)
         self.tally = np.stack([stand2, stand1, np.full(512, 2 * _TOP)])
-        self.usable = np.stack([stand2 > 0, stand1 > 0]).astype(np.int64) << _TOTAL
+        self.usable = np.stack([stand2 > 0, stand1 > 0]).astype(np.int64) << _MIX
+        self.steps, self.came, self.came_true = 0, [], []
         self.counts = np.zeros(vocabulary, np.int64)
         self.seen, self.fresh, self.n_fresh = 0, [], 0
-        self.prev1, self.hash1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
+        self.at = np.zeros((2, lanes), np.int64)
+        self.prev1, self.hash1 = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+        # A standing after a prediction failed, less the one before; and the same after it came true.
+        stand = np.arange(16, dtype=np.int32)
+        self.moves = np.concatenate([-((stand + 1) >> 1), (stand < _TOP).astype(np.int32)])
+        self._mix()
         self._share()
 
+    def _mix(self) -> None:
+        """The part of what came true so far, 15 of 16 at most for both predictions together."""
+        part2, part1 = self.tally[:2] * self.usable // self.tally.sum(axis=0)
+        known = np.minimum(part2 + part1, (1 << _MIX) - (1 << _MIX - 4))
+        self.part2, self.known = np.minimum(part2, known).astype(np.uint32), known.astype(np.uint32)
+        self.rest = np.uint32(1 << _MIX) - self.known
+
     def _share(self) -> None:
         """Counts to parts of 2 ** _ZERO, at least 1 for every id."""
         rest = (1 << _ZERO) - self.vocabulary
         parts = 1 + self.counts * rest // max(self.seen, 1) if self.seen else np.full(
             self.vocabulary, (1 << _ZERO) // self.vocabulary, np.int64
         )
-        cum = np.zeros(self.vocabulary + 1, np.int64)
-        np.cumsum(parts, out=cum[1:])
-        cum[-1] = 1 << _ZERO
-        self.cum = cum.astype(np.uint32)
+        # What is left over is the last id's.
+        parts[-1] += (1 << _ZERO) - parts.sum()
+        self.sizes = parts.astype(np.uint32)
+        self.begins = (np.cumsum(parts) - parts).astype(np.uint32)
         self._id_at = None
 
     def id_at(self, place: np.ndarray) -> np.ndarray:
         """The ids whose order-0 parts hold these places, from a table made when it is first asked for."""
         if self._id_at is None:
-            sizes = np.diff(self.cum.astype(np.int64))
-            self._id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), sizes)
-        return self._id_at.take(place)
+            self._id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.sizes)
+        return self._id_at.take(place, mode="clip")
 
     def predict(self) -> None:
-        """Guesses of order 2 and 1 for each lane, and the parts of the mix that they have."""
-        now = self.prev1.astype(np.uint32)
-        pair = (self.hash1 * np.uint32(0x9E3779B1) + now) * np.uint32(0x85EBCA6B)
-        self.at2 = (pair >> np.uint32(32 - _PAIRS)).astype(np.int64)
-        self.hash1 = now
-        self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.prev1)
-        self.guess2, self.guess1 = self.entry2 >> 4, self.entry1 >> 4
-        self.stand2, self.stand1 = self.entry2 & 15, self.entry1 & 15
-        self.both = ((self.guess2 == self.guess1).astype(np.int64) << 8) + (self.stand2 << 4) + self.stand1
-        # The part of what came true so far, 15 of 16 at most for both together.
-        part2, part1 = self.tally[:2] * self.usable // self.tally.sum(axis=0)
-        known = np.minimum(part2 + part1, (1 << _TOTAL) - (1 << _ZERO))
-        self.part2 = np.minimum(part2, known).astype(np.uint64).take(self.both)
-        self.known = known.astype(np.uint64).take(self.both)
-        self.rest = _U(1 << _TOTAL) - self.known
+        """Guesses of order 2 and 1 for each lane, and the part that the mix leaves to order 0."""
+        pair = self.at[0].view(np.uint64)
+        np.add(self.hash1, self.prev1, out=pair)
+        pair *= _U(0x9E3779B97F4A7C15)
+        pair >>= _U(64 - _PAIRS)
+        np.multiply(self.prev1, _U(0xC2B2AE3D27D4EB4F), out=self.hash1)
+        np.add(self.prev1.view(np.int64), 1 << _PAIRS, out=self.at[1])
+        self.entry = self.table.take(self.at, mode="clip")
+        self.stand = self.entry & 15
+        both = self.stand[0] << 4
+        both += self.stand[1]
+        np.add(both, 256, out=both, where=self.entry[0] ^ self.entry[1] < 16)
+        self.both = both.astype(np.int64)
+        self.left = self.rest.take(self.both, mode="clip")
+
+    def meet(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of the range begins that the mix gives to these ids, and how long it is."""
+        self.first = ids.astype(np.int32) << 4
+        self.right = self.entry ^ self.first < 16
+        begin, size = self.begins.take(ids, mode="clip"), self.sizes.take(ids, mode="clip")
+        size *= self.left
+        begin *= self.left
+        self.hit = hit = (self.right[0] | self.right[1]).nonzero()[0]
+        self.second = second = self.right[0].take(hit)
+        self.hit_both = both = self.both.take(hit)
+        part2, known = self.part2.take(both), self.known.take(both)
+        # From the range's end, order 2 if it is right, else order 1; without a part of its own the id has that of order 0.
+        start, end = np.where(second, 0, part2), np.where(second, part2, known)
+        own = (end > start).nonzero()[0]
+        at, start, end = hit.take(own), start.take(own), end.take(own)
+        begin[at], size[at] = (1 << _MIX) - end << _ZERO, end - start << _ZERO
+        return begin, size
+
+    def guessed(self, hit: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The ids of those lanes whose places are not order 0's."""
+        part2 = self.part2.take(self.both.take(hit))
+        second = place >= np.uint32(1 << _MIX) - part2 << np.uint32(_ZERO)
+        return np.where(second, self.entry[0].take(hit), self.entry[1].take(hit)) >> 4
 
     def learn(self, ids: np.ndarray) -> None:
-        right2, right1 = ids == self.guess2, ids == self.guess1
-        what = self.both + (np.where(right2, 0, 2 - right1.view(np.int8)).astype(np.int64) << 9)
-        self.tally += np.bincount(what, minlength=3 * 512).reshape(3, 512)
-        first = (ids.astype(np.int32) << 4) + 1
-        for table, at, entry, stand, right in (
-            (self.table2, self.at2, self.entry2, self.stand2, right2),
-            (self.table1, self.prev1, self.entry1, self.stand1, right1),
-        ):
-            weaker = np.where(stand > 1, entry - ((stand + 1) >> 1), first)
-            table[at] = np.where(right, entry + (stand < _TOP), weaker)
-        self.prev1 = ids
+        """To be called after ``meet`` with the same ids."""
+        self.came.append(self.both)
+        self.came_true.append(self.hit_both + np.where(self.second, 0, 512))
+        self.steps += 1
+        if self.steps <= _EARLY or self.steps % _OFTEN == 0:
+            true = np.bincount(np.concatenate(self.came_true), minlength=2 * 512).reshape(2, 512)
+            self.tally[:2] += true
+            self.tally[2] += np.bincount(np.concatenate(self.came), minlength=512) - true.sum(axis=0)
+            self.came, self.came_true = [], []
+            self._mix()
+        new = np.empty_like(self.entry)
+        np.add(self.first, 1, out=new)
+        stays = (self.right | (self.stand > 1)).ravel().nonzero()[0]
+        entry, right = self.entry.ravel().take(stays), self.right.ravel().take(stays)
+        new.ravel()[stays] = entry + self.moves.take((entry & 15) + np.where(right, 16, 0))
+        self.table[self.at] = new
+        self.prev1 = ids.view(np.uint64)
         self.fresh.append(ids)
         self.n_fresh += len(ids)
-        if self.n_fresh >= max(512, self.seen >> 1):
+        if self.n_fresh >= max(512, self.seen):
             self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary)
             self.seen += self.n_fresh
             self.fresh, self.n_fresh = [], 0
             self._share()
 
-    def share_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the part of the range begins that the mix gives to ids, and how long it is."""
-        lower = (self.cum.take(ids) * self.rest >> _U(_ZERO)) + self.known
-        upper = (self.cum.take(ids + 1) * self.rest >> _U(_ZERO)) + self.known
-        is1 = np.flatnonzero((ids == self.guess1) & (self.known > self.part2))
-        is2 = np.flatnonzero((ids == self.guess2) & (self.part2 > 0))
-        lower[is1], upper[is1] = self.part2.take(is1), self.known.take(is1)
-        lower[is2], upper[is2] = 0, self.part2.take(is2)
-        upper -= lower
-        return lower, upper
-
 
 def _lanes(n: int) -> tuple[int, int]:
     """Lanes of a block, and the ids of all but its last lanes."""
@@ -148,91 +185,71 @@ def _lanes(n: int) -> tuple[int, int]:
     return (-(-n // steps) if n else 0), steps
 
 
-def _narrow(low: np.ndarray, size: np.ndarray, begin: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The range narrowed to a part, in place; which lanes must move on by a word."""
-    size >>= _U(_TOTAL)
-    low += size * begin
-    size *= part
-    moves = (low ^ (low + size - _U(1))) <= _LOW
-    small = size <= _LOW
-    if small.any():
-        # Neither sharing the upper word nor large enough to go on: cut at the word's end.
-        cut = np.flatnonzero(small & ~moves)
-        size[cut] = (_U(0) - low[cut]) & _LOW
-        moves |= small
-    moving = np.flatnonzero(moves)
-    # A part of exactly 2 ** 32 would be 2 ** 64 after the move.
-    size[moving] = np.minimum(size.take(moving), _LOW)
-    return moving
-
-
 def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Lanes, words of each lane, and all words, lane by lane."""
+    """Lanes, the number that a reader starts each with, and the words that it takes, from the first step on."""
     lanes, steps = _lanes(len(ids))
     if not lanes:
-        return 0, np.empty(0, "<u4"), np.empty(0, "<u4")
-    grid = np.zeros(lanes * steps, np.int64)
+        return 0, np.empty(0, "<u8"), np.empty(0, "<u4")
+    grid = np.zeros(lanes * steps, ids.dtype)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary, lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    lane_of, words = [], []
+    begins, sizes = np.empty((steps, lanes), np.uint32), np.empty((steps, lanes), np.uint32)
     for step in range(steps):
-        now = grid[step]
+        now = grid[step].astype(np.int64)
         model.predict()
-        out = _narrow(low, size, *model.share_of(now))
-        lane_of.append(out)
-        moved = low.take(out)
-        words.append((moved >> _32).astype("<u4"))
-        low[out] = moved << _32
-        size[out] = size.take(out) << _32
+        begins[step], sizes[step] = model.meet(now)
         model.learn(now)
-    lane_of.append(np.arange(lanes))
-    words.append(((low + _LOW) >> _32).astype("<u4"))
-    lane_of, words = np.concatenate(lane_of), np.concatenate(words)
-    return lanes, np.bincount(lane_of, minlength=lanes).astype("<u4"), words[np.argsort(lane_of, kind="stable")]
-
-
-def decode_ids(n: int, vocabulary: int, lanes: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    # A reader undoes the last step that was coded first, so the steps are coded from the last one on.
+    state, words = np.full(lanes, 1 << 32, np.uint64), []
+    for step in range(steps - 1, -1, -1):
+        size = sizes[step].astype(np.uint64)
+        moves = (state >= size << _U(64 - _TOTAL)).nonzero()[0]
+        moved = state.take(moves)
+        words.append(moved.astype("<u4"))
+        state[moves] = moved >> _32
+        times = state // size
+        state += times * (_U(1 << _TOTAL) - size)
+        state += begins[step]
+    return lanes, state.astype("<u8"), np.concatenate(words[::-1])
+
+
+def decode_ids(n: int, vocabulary: int, lanes: int, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``ValueError`` where numbers and words are not those of ``n`` ids."""
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint32)
     steps = _lanes(n)[1]
-    ends = np.cumsum(sizes.astype(np.int64))
-    at = ends - sizes
-    padded = np.append(words, np.zeros(1, "<u4")).astype(np.uint64)
-
-    def take(which: np.ndarray) -> np.ndarray:
-        got = np.where(at[which] < ends[which], padded[np.minimum(at[which], len(words))], _U(0))
-        at[which] += 1
-        return got
-
-    every = np.arange(lanes)
     model = _Model(vocabulary, lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = take(every) << _32
-    code |= take(every)
-    grid = np.empty((steps, lanes), np.int64)
+    state, taken = starts.astype(np.uint64), 0
+    grid = np.empty((steps, lanes), np.uint32)
     for step in range(steps):
         model.predict()
-        place = (code - low) // (size >> _U(_TOTAL))
-        now = np.where(place < model.part2, model.guess2, model.guess1).astype(np.int64)
-        counted = np.flatnonzero(place >= model.known)
-        x = ((place.take(counted) - model.known.take(counted) + _U(1)) << _U(_ZERO)) - _U(1)
-        # Numbers below 2 ** 45: the quotient's whole part is exact.
-        now[counted] = model.id_at((x.astype(float) / model.rest.take(counted)).astype(np.int64))
-        out = _narrow(low, size, *model.share_of(now))
-        low[out] <<= _32
-        size[out] <<= _32
-        code[out] = (code[out] << _32) | take(out)
+        place = state.astype(np.uint32)
+        place &= np.uint32((1 << _TOTAL) - 1)
+        # Where a prediction came true this is beyond the last id's part: there the id is the guess.
+        zero = place // model.left
+        hit = (zero >= 1 << _ZERO).nonzero()[0]
+        now = model.id_at(zero).astype(np.int64)
+        now[hit] = model.guessed(hit, place.take(hit))
+        begin, size = model.meet(now)
+        place -= begin
+        state >>= _U(_TOTAL)
+        state *= size
+        state += place
+        moves = (state <= _LOW).nonzero()[0]
+        state[moves] = (state.take(moves) << _32) | words[taken : taken + len(moves)]
+        taken += len(moves)
         grid[step] = now
         model.learn(now)
+    if taken != len(words) or (state != 1 << 32).any():
+        raise ValueError("a block's words are not those of its ids")
     return grid.T.reshape(-1)[:n]
 
 
 def pack_block(documents: list[np.ndarray], vocabulary: int) -> bytes:
     ids = np.concatenate(documents) if documents else np.empty(0, np.int64)
-    lanes, sizes, words = encode_ids(ids, vocabulary)
-    body = np.array([len(d) for d in documents], "<u4").tobytes() + sizes.tobytes() + words.tobytes()
+    lanes, starts, words = encode_ids(ids, vocabulary)
+    body = np.array([len(d) for d in documents], "<u4").tobytes() + starts.tobytes() + words.tobytes()
     header = _HEADER.pack(_MAGIC, _VERSION, vocabulary, len(ids), len(documents), lanes, crc32_of(ids))
     return header + _CRC.pack(zlib.crc32(body, zlib.crc32(header))) + body
 
@@ -247,8 +264,8 @@ def unpack_block(data: bytes) -> list[np.ndarray]:
     if magic != _MAGIC or version != _VERSION or zlib.crc32(body, zlib.crc32(header)) != crc:
         raise ValueError("a block is damaged")
     numbers = np.frombuffer(body, "<u4")
-    lengths, sizes, words = np.split(numbers, [documents, documents + lanes])
-    ids = decode_ids(n, vocabulary, lanes, sizes, words).astype("<u4")
+    lengths, starts, words = np.split(numbers, [documents, documents + 2 * lanes])
+    ids = decode_ids(n, vocabulary, lanes, np.frombuffer(starts.tobytes(), "<u8"), words).astype("<u4")
     if zlib.crc32(ids) != ids_crc:
         raise ValueError("a block's ids differ from those written")
     return np.split(ids, np.cumsum(lengths.astype(np.int64))[:-1]) if documents else []
@@ -261,7 +278,7 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
+        encode = encoder(path, WORDS)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, held, n = [], [], 0
 

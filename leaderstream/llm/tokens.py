@@ -10,12 +10,16 @@ from __future__ import annotations
 import zlib
 from array import array
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 
-#: Words a worker remembers before it starts anew.
+#: Words a worker remembers. When half of them are new, the older half goes, but for what was met again since.
 REMEMBERED = 600_000
-_ENDS = ".,;:!?"
+#: The pattern parts letters from a run of these behind them, and leaves the run whole.
+_ENDS = punctuation
+#: Longer words are encoded each time they come.
+_LONGEST = 64
 
 
 class _Odd(Exception):
@@ -26,37 +30,44 @@ class _Words(dict):
     """Word to the bytes of its ids as 16-bit numbers; a word that begins with a line break has no space before it."""
 
     def __init__(self, tokenizer, most: int | None = None):
-        self.most = most or REMEMBERED
+        self.most = max(1, (most or REMEMBERED) // 2)
+        self.older: dict[str, bytes] = {}
         model, letters = tokenizer.model, _byte_letters()
-        space = letters[0x20]
+        spelled = {c: "".join(chr(letters.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
+        space = spelled[0x20]
         self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.ends: dict[str, bytes] = {}
 
         def one(piece: str) -> bytes:
-            """Ids of a text that the pattern doesn't cut."""
-            return array("H", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+            """Ids of a text below "ɐ" that the pattern doesn't cut."""
+            return array("H", [t.id for t in model.tokenize(piece.translate(spelled))]).tobytes()
 
         def spaced(word: str) -> bytes:
             """The same for an ASCII word, with a space before it."""
-            return array("H", [t.id for t in model.tokenize(chr(space) + word)]).tobytes()
+            return array("H", [t.id for t in model.tokenize(space + word)]).tobytes()
 
-        self.one, self.spaced = one, spaced
+        self.one, self.spaced, self.line = one, spaced, one("\n")
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_ENDS)
-        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
-            if len(core) < len(word):
-                found = self[core] + self.end(word[len(core) :])
-            elif core.isascii():
-                found = self.spaced(core)
+        found = self.older.get(word)
+        if found is None:
+            core = word.rstrip(_ENDS)
+            if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+                if len(core) < len(word):
+                    found = self[core] + self.end(word[len(core) :])
+                elif core.isascii():
+                    found = self.spaced(core)
+                else:
+                    found = self.one(" " + core)
             else:
-                found = self.one(" " + core)
-        else:
-            rest = word[1:] if word[:1] == "\n" else word
-            if not rest or rest[0].isspace() or rest[-1].isspace():
-                raise _Odd
-            found = self.one("\n") + self.bare(rest) if rest is not word else self.bare(" " + word)
+                rest = word[1:] if word[:1] == "\n" else word
+                if not rest or rest[0].isspace() or rest[-1].isspace():
+                    raise _Odd
+                found = self.line + self.bare(rest) if rest is not word else self.bare(" " + word)
+        if len(word) > _LONGEST:
+            return found
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         self[word] = found
         return found
@@ -114,9 +125,9 @@ def _byte_letters() -> dict[int, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int | None = None) -> Encoder:
     """The encoder of this Python worker, with what it remembers from earlier tasks."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def crc32_of(ids: np.ndarray) -> int:

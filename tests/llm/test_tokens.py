@@ -40,6 +40,37 @@ def test_remembered_words_are_bounded(monkeypatch):
     assert len(encoder.words) <= 50
 
 
+def test_words_met_again_outlast_others():
+    """Words of every text are encoded once, though the others fill the store many times over."""
+    encoder, encoded = tokens.Encoder(PATH, 60), []
+    spaced = encoder.words.spaced
+    encoder.words.spaced = lambda word: encoded.append(word) or spaced(word)
+    for n in range(40):
+        letters = [chr(97 + n // 26) + chr(97 + n % 26) + c for c in "abcdefgh"]
+        text = "so often met " + " ".join(f"q{x}" for x in letters) + " often met"
+        assert encoder.ids(text).tolist() == encoder.words.encode(text)
+    assert encoded.count("often") == encoded.count("met") == 1
+    assert len(encoded) == len(set(encoded)) == 322
+    assert len(encoder.words) + len(encoder.words.older) <= 60
+
+
+def test_marks_behind_words_leave_the_word_its_own():
+    """Words with runs of any ASCII marks behind them are put together; only other odd words need the whole tokenizer."""
+    encoder = tokens.Encoder(PATH)
+    whole, called = encoder.words.encode, []
+    encoder.words.encode = lambda text: called.append(text) or whole(text)
+    text = "some word### other$$$ word.### (an é&&& word') word\"}]\nword*** x' a-b o'clock"
+    assert encoder.ids(text).tolist() == whole(text)
+    assert called == [" (an", " a-b", " o'clock"]
+
+
+def test_long_words_are_not_remembered():
+    encoder = tokens.Encoder(PATH)
+    text = "a " + "ab" * 5000 + " b"
+    assert encoder.ids(text).tolist() == encoder.words.encode(text)
+    assert all(len(word) < 100 for word in encoder.words)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 5000, 70_001])
 @pytest.mark.parametrize("kind", ["even", "skewed", "same", "periodic"])
 def test_blocks_round_trip(n, kind):
@@ -70,6 +101,27 @@ def test_damage_is_seen():
         token_blocks.unpack_block(bytes(data[:10]))
 
 
+def test_block_is_as_small_as_its_model_says():
+    """Random ids take their entropy, and a bit for what a block learns and its lanes begin with."""
+    random = np.random.default_rng(7)
+    share = 1 / np.arange(1, 301)
+    share /= share.sum()
+    ids = random.choice(np.arange(300), 1 << 20, p=share).astype(np.uint16)
+    entropy = -(share * np.log2(share)).sum()
+    data = token_blocks.pack_block([ids], 50_257)
+    assert (token_blocks.unpack_block(data)[0] == ids).all()
+    assert len(data) * 8 / len(ids) < entropy + 0.49
+
+
+def test_cut_or_added_words_are_seen():
+    ids = np.arange(3000) % 700
+    lanes, starts, words = token_blocks.encode_ids(ids, 50_257)
+    assert token_blocks.decode_ids(3000, 50_257, lanes, starts, words).tolist() == ids.tolist()
+    for wrong in (words[:-1], np.append(words, words[:1]), words ^ np.uint32(1)):
+        with pytest.raises(ValueError):
+            token_blocks.decode_ids(3000, 50_257, lanes, starts, wrong)
+
+
 def test_blocks_of_odd_rows(spark, monkeypatch):
     rows = [(5, "a b"), (None, "n"), (2, None), (9, ""), (5, "a b"), (1, "word " * 50_000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"part": F.lit(1), "data": F.lit("x")})
